@@ -81,12 +81,12 @@ assets AS (
            WHEN 'P' THEN 1 WHEN 'LA' THEN 2 END AS channels
   FROM raw)"""
 
-FLAG_COUNTS = """count_if(valid AND small) AS small,
-  count_if(valid AND below_ideal_resolution) AS below_ideal_resolution,
-  count_if(valid AND severely_undersized) AS severely_undersized,
-  count_if(valid AND extreme_aspect) AS extreme_aspect,
-  count_if(valid AND grayscale) AS grayscale, count_if(valid AND has_alpha) AS alpha,
-  count_if(valid AND tiny_file) AS tiny_files, count_if(valid AND large_file) AS large_files"""
+FLAG_COUNTS = """count(*) FILTER (valid AND small) AS small,
+  count(*) FILTER (valid AND below_ideal_resolution) AS below_ideal_resolution,
+  count(*) FILTER (valid AND severely_undersized) AS severely_undersized,
+  count(*) FILTER (valid AND extreme_aspect) AS extreme_aspect,
+  count(*) FILTER (valid AND grayscale) AS grayscale, count(*) FILTER (valid AND has_alpha) AS alpha,
+  count(*) FILTER (valid AND tiny_file) AS tiny_files, count(*) FILTER (valid AND large_file) AS large_files"""
 
 
 def _spread(column: str, tails: bool) -> str:
@@ -131,10 +131,10 @@ spread AS (
 def _duplicate_summary(source: str, key: str) -> str:
     return f"""
 SELECT count(DISTINCT {key}) AS unique_hashes,
-       count_if(place = 1 AND files > 1) AS duplicate_groups,
-       count_if(place > 1) AS duplicate_files,
-       count_if(place = 1 AND files > 1 AND cross_class) AS cross_class_groups,
-       count_if(place = 1 AND files > 1 AND NOT cross_class) AS within_class_groups
+       count(*) FILTER (place = 1 AND files > 1) AS duplicate_groups,
+       count(*) FILTER (place > 1) AS duplicate_files,
+       count(*) FILTER (place = 1 AND files > 1 AND cross_class) AS cross_class_groups,
+       count(*) FILTER (place = 1 AND files > 1 AND NOT cross_class) AS within_class_groups
 FROM {source}"""
 
 
@@ -204,7 +204,7 @@ listed AS (
   FROM history)"""
 
 STATS = f"""WITH {HISTORY}
-SELECT count(*) AS total_scans, count_if(healthy) AS healthy_diagnoses, count_if(NOT healthy) AS diseases_detected,
+SELECT count(*) AS total_scans, count(*) FILTER (healthy) AS healthy_diagnoses, count(*) FILTER (NOT healthy) AS diseases_detected,
        CAST(printf('%.1f', coalesce(avg(confidence_percent), 0)) AS DOUBLE) AS average_confidence,
        (SELECT display_name FROM history WHERE NOT healthy GROUP BY class_key, display_name
         ORDER BY count(*) DESC, display_name LIMIT 1) AS most_common_disease
@@ -257,7 +257,7 @@ UNION ALL SELECT 'id_out_of_order', index, key FROM classes WHERE index <> (24 -
 UNION ALL SELECT 'index_out_of_order', index, key FROM classes WHERE index <> 24 - index
 UNION ALL SELECT 'ids_not_contiguous', NULL, NULL FROM classes HAVING min(index) <> 1""",
     "class_create": f"""WITH {CLASSES} SELECT {CATALOG_COLUMNS} FROM classes
-UNION ALL SELECT count(*) + 1, count(*), 'sweet_corn__leaf_rust_2nd', 'Sweet Corn Leaf Rust 2Nd', 'sweet_corn',
+UNION ALL SELECT CAST(count(*) + 1 AS INTEGER), CAST(count(*) AS INTEGER), 'sweet_corn__leaf_rust_2nd', 'Sweet Corn Leaf Rust 2Nd', 'sweet_corn',
   'leaf_rust_2nd', 'sweet_corn/leaf_rust_2nd' FROM classes""",
     "class_rename": f"""WITH {MANIFEST}
 SELECT split, class_id, class_index,
@@ -279,17 +279,17 @@ FROM classes c LEFT JOIN manifest m ON m.class_id = c.id GROUP BY ALL""",
     "split_counts": f"""WITH {MANIFEST}
 SELECT s.split, count(relative_path) AS images FROM {SPLITS} LEFT JOIN manifest m ON m.split = s.split GROUP BY ALL""",
     "class_split_matrix": f"""WITH {MANIFEST}
-SELECT CAST(id AS BIGINT) AS class_id, key AS class_key, c.display_name, count_if(split = 'train') AS train,
-       count_if(split = 'val') AS val, count_if(split = 'test') AS test
+SELECT CAST(id AS BIGINT) AS class_id, key AS class_key, c.display_name, count(*) FILTER (split = 'train') AS train,
+       count(*) FILTER (split = 'val') AS val, count(*) FILTER (split = 'test') AS test
 FROM classes c LEFT JOIN manifest m ON m.class_id = c.id GROUP BY ALL""",
     "family_counts": f"""WITH {MANIFEST}
 SELECT CAST(id AS BIGINT) AS class_id, key AS class_key, count(DISTINCT family_id) AS families
 FROM classes c LEFT JOIN manifest m ON m.class_id = c.id GROUP BY ALL""",
     "family_leakage": f"""WITH {MANIFEST}
 SELECT CAST(class_id AS BIGINT) AS class_id, family_id, count(*) AS images,
-       concat_ws(',', CASE WHEN count_if(split = 'train') > 0 THEN 'train' END,
-                 CASE WHEN count_if(split = 'val') > 0 THEN 'val' END,
-                 CASE WHEN count_if(split = 'test') > 0 THEN 'test' END) AS splits
+       concat_ws(',', CASE WHEN count(*) FILTER (split = 'train') > 0 THEN 'train' END,
+                 CASE WHEN count(*) FILTER (split = 'val') > 0 THEN 'val' END,
+                 CASE WHEN count(*) FILTER (split = 'test') > 0 THEN 'test' END) AS splits
 FROM manifest GROUP BY class_id, family_id HAVING count(DISTINCT split) > 1""",
     "split_coverage": f"""WITH {MANIFEST},
 wanted AS (SELECT id, key FROM classes UNION ALL SELECT 26, 'sweet_corn__rust')
@@ -312,8 +312,8 @@ SELECT (SELECT count(*) FROM classes) AS class_count, count(*) AS image_count,
        count(DISTINCT (class_id, family_id)) AS family_count,
        (SELECT count(*) FROM (SELECT 1 FROM manifest GROUP BY class_id, family_id HAVING count(DISTINCT split) > 1))
          AS family_leakage_count,
-       count_if(split = 'train') AS train_images, count_if(split = 'val') AS val_images,
-       count_if(split = 'test') AS test_images FROM manifest""",
+       count(*) FILTER (split = 'train') AS train_images, count(*) FILTER (split = 'val') AS val_images,
+       count(*) FILTER (split = 'test') AS test_images FROM manifest""",
     "dataset_violation_counts": f"""WITH {FAULTY},
 numbered AS (SELECT * REPLACE (coalesce(class_id, -1) AS class_id) FROM faulty),
 found AS (
@@ -337,7 +337,7 @@ SELECT round(max(med), 6) AS median, round(avg(images), 6) AS mean, max(images)
        coalesce(string_agg(CASE WHEN images > med * 2 THEN class_id END, ',' ORDER BY class_id), '') AS classes_above_2x_median
 FROM filled""",
     "class_completeness": f"""WITH {DISTRIBUTION}
-SELECT count_if(expected) AS expected_classes, count_if(expected AND images > 0) AS classes_with_images,
+SELECT count(*) FILTER (expected) AS expected_classes, count(*) FILTER (expected AND images > 0) AS classes_with_images,
        coalesce(string_agg(CASE WHEN expected AND images = 0 THEN class_id END, ',' ORDER BY class_id), '') AS empty_classes,
        coalesce(string_agg(CASE WHEN NOT expected THEN class_id END, ',' ORDER BY class_id), '') AS unexpected_class_ids
 FROM distribution""",
@@ -355,11 +355,11 @@ SELECT relative_path, valid, pixels, round(aspect_ratio, 6) AS aspect_ratio, sma
     "mode_channels": f"""WITH {ASSETS}
 SELECT mode, channels, grayscale, has_alpha, count(*) AS images FROM assets WHERE valid GROUP BY ALL""",
     "class_quality_profile": f"""WITH {ASSETS}
-SELECT CAST(class_id AS BIGINT) AS class_id, count(*) AS total, count_if(valid) AS valid, count_if(NOT valid) AS corrupt,
+SELECT CAST(class_id AS BIGINT) AS class_id, count(*) AS total, count(*) FILTER (valid) AS valid, count(*) FILTER (NOT valid) AS corrupt,
   {FLAG_COUNTS}, {_spread('width', True)}, {_spread('height', True)}, {_spread('pixels', False)},
   {_spread('file_size', False)} FROM assets GROUP BY class_id""",
     "quality_summary": f"""WITH {ASSETS}
-SELECT count(*) AS total_records, count_if(valid) AS valid, count_if(NOT valid) AS corrupt, {FLAG_COUNTS},
+SELECT count(*) AS total_records, count(*) FILTER (valid) AS valid, count(*) FILTER (NOT valid) AS corrupt, {FLAG_COUNTS},
   CAST(min(width) AS BIGINT) AS min_width, CAST(min(height) AS BIGINT) AS min_height, min(pixels) AS min_pixels,
   round(min(aspect_ratio), 6) AS min_aspect_ratio, round(max(aspect_ratio), 6) AS max_aspect_ratio,
   CAST(sum(file_size) FILTER (valid) AS BIGINT) AS total_bytes, round(avg(file_size) FILTER (valid), 6) AS mean_bytes,
@@ -390,8 +390,8 @@ SELECT p_partkey, printf('%.2f', c / t * 100) || '%' AS percent,
             ELSE printf('%.2f', b / 1099511627776) || ' TB' END AS size
 FROM n""",
     "readiness_report": f"""WITH {ASSETS},
-q AS (SELECT greatest(1, count_if(valid)) AS n, count_if(valid AND small) AS small,
-             count_if(valid AND below_ideal_resolution) AS below, count_if(valid AND severely_undersized) AS severe
+q AS (SELECT greatest(1, count(*) FILTER (valid)) AS n, count(*) FILTER (valid AND small) AS small,
+             count(*) FILTER (valid AND below_ideal_resolution) AS below, count(*) FILTER (valid AND severely_undersized) AS severe
       FROM assets),
 d AS (SELECT class_id, count(*) AS images FROM assets GROUP BY class_id)
 SELECT n - below AS at_or_above_ideal, printf('%.2f', (n - below) / n * 100) || '%' AS at_or_above_ideal_pct,
@@ -405,9 +405,9 @@ FROM q""",
 e AS (SELECT count(*) AS n, count(DISTINCT class_id) AS k FROM assets WHERE valid GROUP BY sha256),
 v AS (SELECT count(*) AS n, count(DISTINCT class_id) AS k FROM assets WHERE valid GROUP BY dhash),
 d AS (SELECT count(*) AS n FROM assets GROUP BY class_id),
-f AS (SELECT count(*) AS t, count_if(NOT valid) AS bad, count_if(valid AND small) / count(*) AS small,
-             count_if(valid AND severely_undersized) / count(*) AS severe,
-             count_if(valid AND extreme_aspect) / count(*) AS aspect,
+f AS (SELECT count(*) AS t, count(*) FILTER (NOT valid) AS bad, count(*) FILTER (valid AND small) / count(*) AS small,
+             count(*) FILTER (valid AND severely_undersized) / count(*) AS severe,
+             count(*) FILTER (valid AND extreme_aspect) / count(*) AS aspect,
              (SELECT sum(n - 1) FROM e) AS dup, (SELECT count(*) FROM e WHERE n > 1 AND k > 1) AS ecross,
              (SELECT count(*) FROM v WHERE n > 1 AND k > 1) AS vcross, (SELECT max(n) / min(n) FROM d) AS ratio
       FROM assets),
