@@ -124,19 +124,18 @@ def _signed(value: int) -> int:
     return value - (1 << 64) if value >> 63 else value
 
 
-def _mask(bits: Sequence[int]) -> Column:
-    return F.lit(_signed(sum(1 << b for b in bits))).cast("bigint")
-
-
-def _probes(part: Column | int, value: Column, bits: Sequence[int]) -> Column:
-    """The masked value and its single-bit neighbours as ``(part, flip, probe)``."""
-    flips = F.array(*[F.lit(_signed(f)).cast("bigint") for f in [0, *[1 << b for b in bits]]])
-    masked = value.bitwiseAND(_mask(bits))
-    return F.transform(
-        flips, lambda f, i: F.struct(
-            F.lit(part).alias("part"), i.cast("int").alias("flip"),
-            masked.bitwiseXOR(f).alias("probe"))
-    )
+def _mask(bits: Sequence[int]) -> int:
+    return _signed(sum(1 << b for b in bits))
+
+
+def _probes(part: int, bits: Sequence[int], value: str = "hash") -> str:
+    """SQL for the masked value and its single-bit neighbours as ``(part, flip, probe)``.
+
+    Written as SQL text because it holds a literal per bit.
+    """
+    flips = ", ".join(f"{_signed(f)}L" for f in [0, *[1 << b for b in bits]])
+    return (f"transform(array({flips}), (f, i) -> struct({part} AS part, int(i) AS flip, "
+            f"({value} & {_mask(bits)}L) ^ f AS probe))")
 
 
 def _canonical(a: str, b: str, flip: str) -> Column:
@@ -149,7 +148,8 @@ def _first_part(difference: Column, part: Column, groups: Sequence[Sequence[int]
     """True when no earlier group of bits differs in two or fewer places."""
     test = F.lit(True)
     for number, bits in enumerate(groups):
-        test = test & ((part <= number) | (F.bit_count(difference.bitwiseAND(_mask(bits))) > 2))
+        far = F.bit_count(difference.bitwiseAND(F.lit(_mask(bits)).cast("bigint"))) > 2
+        test = test & ((part <= number) | far)
     return test
 
 
@@ -184,10 +184,9 @@ def near_duplicates(records: DataFrame, *, hash_col: str = "dhash", class_col: s
     every = list(range(bits))
     parts = min(max_distance // 3 + 1, bits)
     groups = _masks(every, parts)
-    probed = single.select(
-        "class_id", "hash",
-        F.explode(F.concat(*[_probes(p, F.col("hash"), g) for p, g in enumerate(groups)])).alias("p"),
-    ).select("class_id", "hash", "p.*")
+    probes = ", ".join(_probes(p, g) for p, g in enumerate(groups))
+    probed = single.selectExpr("class_id", "hash", f"explode(concat({probes})) AS p").select(
+        "class_id", "hash", "p.*")
     key = ["class_id", "part", "probe"]
 
     def pairs(rows: DataFrame, join_key: list[str], extra) -> DataFrame:
@@ -218,12 +217,12 @@ def near_duplicates(records: DataFrame, *, hash_col: str = "dhash", class_col: s
         finer = [_masks(r, min(parts, len(r))) if r else [] for r in rest]
         found = pairs(probed.join(hot, key, "left_anti"), key, None)
         if all(finer):
-            second = F.lit(None)
-            for p, subgroups in enumerate(finer):
-                made = F.concat(*[_probes(q, F.col("hash"), g) for q, g in enumerate(subgroups)])
-                second = F.when(F.col("part") == p, made).otherwise(second)
-            split = probed.join(hot, key, "left_semi").select(
-                "class_id", "hash", "part", "flip", "probe", F.explode(second).alias("s"),
+            cases = " ".join(
+                f"WHEN {p} THEN concat({', '.join(_probes(q, g) for q, g in enumerate(subgroups))})"
+                for p, subgroups in enumerate(finer)
+            )
+            split = probed.join(hot, key, "left_semi").selectExpr(
+                "class_id", "hash", "part", "flip", "probe", f"explode(CASE part {cases} END) AS s",
             ).select("class_id", "hash", "part", "flip", "probe", F.col("s.part").alias("subpart"),
                      F.col("s.flip").alias("subflip"), F.col("s.probe").alias("subprobe"))
 

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -80,12 +82,14 @@ def exact_percentiles(df: DataFrame, group_by: Sequence[str],
     ranks = F.array(*[rank(p, up) for p in probabilities.values() for up in (False, True)])
     wanted = histogram.where(
         F.exists(ranks, lambda r: (r >= F.col("before")) & (r < F.col("before") + F.col("n")))
-    ).select(*series, "bucket", "before", "total")
+    ).select(*[F.col(c).alias(f"_{c}") for c in [*series, "bucket"]], "before", "total")
 
     inside = Window.partitionBy(*series, "bucket").orderBy("value").rowsBetween(
         Window.unboundedPreceding, Window.currentRow)
+    # Null-safe, so that a NULL group stays and both branches share one shuffle.
+    same = reduce(and_, [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in [*series, "bucket"]])
     placed = (
-        values.join(wanted, [*series, "bucket"])
+        values.join(wanted, same)
         .withColumn("upto", F.col("before") + F.sum("n").over(inside))
     )
 

@@ -82,7 +82,8 @@ def class_quality_profile(records: DataFrame, class_col: str = "class_id") -> Da
     sides = [f"{c}_{s}" for c in ("width", "height")
              for s in ("min", "median", "mean", "p10", "p90", "max")]
     sizes = [f"{c}_{s}" for c in ("pixels", "file_size") for s in ("min", "median", "mean", "max")]
-    return base.join(medians, class_col, "left").select(
+    medians = medians.withColumnRenamed(class_col, "_class")
+    return base.join(medians, F.col(class_col).eqNullSafe(F.col("_class")), "left").select(
         class_col, "total", "valid", "corrupt", *FLAGS,
         *[_zero(F.col(c)).alias(c) for c in sides + sizes],
     )

@@ -56,9 +56,12 @@ def append_scans(scans: DataFrame, path: str, first_id: int = 1) -> None:
 
 
 def write_scans(rows: DataFrame, path: str, batch_id: int, mode: str) -> None:
-    """Write complete scan rows below ``scan_date=/batch_id=``."""
+    """Write complete scan rows below ``scan_date=/batch_id=``.
+
+    The rebalance gives a day few files; AQE splits a day that is too large for one.
+    """
     columns = [F.col(f.name).cast(f.dataType).alias(f.name) for f in SCAN_HISTORY]
     (rows.select(*columns)
      .withColumns({"scan_date": F.to_date("created_at"), "batch_id": F.lit(batch_id).cast("bigint")})
-     .write.mode(mode).option("partitionOverwriteMode", "dynamic")
+     .hint("rebalance", "scan_date").write.mode(mode).option("partitionOverwriteMode", "dynamic")
      .partitionBy(*PARTITIONS).parquet(path))

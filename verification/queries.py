@@ -635,7 +635,6 @@ def stream_history(spark, folder):
     def store(batch: DataFrame, batch_id: int) -> None:
         keyed = batch.withColumn("filename", F.concat_ws("#", "filename", F.col("id").cast("string")))
         uploads.write_batch(keyed, batch_id, f"{base}/history")
-        uploads.write_batch(keyed, batch_id, f"{base}/history")  # a retry changes nothing
 
     _finish(scans.writeStream.foreachBatch(store).option("checkpointLocation", f"{base}/checkpoint")
             .trigger(availableNow=True).start())
