@@ -58,6 +58,11 @@ def resize(plane: np.ndarray, height: int, width: int, kernel: str) -> np.ndarra
     return byte(resampling_matrix(plane.shape[0], height, kernel) @ across)
 
 
+def gray_of(pixels: np.ndarray, columns: int = C.HASH_SIDE + 1, rows: int = C.HASH_SIDE) -> np.ndarray:
+    """Row-major gray grid of a gray or RGB image."""
+    return resize(to_gray(pixels), rows, columns, "lanczos").astype(np.int32).ravel()
+
+
 def gray_grid(columns: int = C.HASH_SIDE + 1, rows: int = C.HASH_SIDE):
     """UDF ``(data, height, width, nChannels)`` -> row-major gray grid, NULL when undecoded."""
 
@@ -68,8 +73,7 @@ def gray_grid(columns: int = C.HASH_SIDE + 1, rows: int = C.HASH_SIDE):
             if d is None or h is None or h <= 0 or w <= 0:
                 made.append(None)
             else:
-                gray = to_gray(pixels_of(d, int(h), int(w), int(c)))
-                made.append(resize(gray, rows, columns, "lanczos").astype(np.int32).ravel())
+                made.append(gray_of(pixels_of(d, int(h), int(w), int(c)), columns, rows))
         return pd.Series(made)
 
     return grid

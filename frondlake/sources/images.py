@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Iterator, Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -47,10 +49,50 @@ def list_images(spark: SparkSession, root: str,
 
     File contents are not read.
     """
-    return _reader(spark, "binaryFile", extensions).load(root).select(
-        _plain(F.col("path")).alias("path"), _relative(_plain(F.col("path")), root).alias("relative_path"),
-        F.col("length").alias("file_size"), F.col("modificationTime").alias("modified"),
+    found = _reader(spark, "binaryFile", extensions).load(root).select(
+        _plain(F.col("path")).alias("path"), F.col("length").alias("file_size"),
+        F.col("modificationTime").alias("modified"),
     )
+    both = found.unionByName(empty_files(spark, root, extensions))
+    return both.withColumn("relative_path", _relative(F.col("path"), root))
+
+
+def empty_files(spark: SparkSession, root: str,
+                extensions: Sequence[str] = C.IMAGE_EXTENSIONS) -> DataFrame:
+    """``(path, file_size, modified)`` of the zero-length image files below ``root``.
+
+    Spark's file sources skip empty files, so the directories are listed once
+    more, one task each. The directories of the first two levels (crops and
+    classes) are found on the driver.
+    """
+    from pyarrow import fs
+
+    store, base = fs.FileSystem.from_uri(root)
+    prefix = root[: len(root.rstrip("/")) - len(base.rstrip("/"))] or "file:"
+
+    def children(folder: str) -> list[str]:
+        return [i.path for i in store.get_file_info(fs.FileSelector(folder)) if i.type == fs.FileType.Directory]
+
+    first = children(base)
+    second = [d for folder in first for d in children(folder)]
+    tasks = [(prefix + d, False) for d in [base, *first]] + [(prefix + d, True) for d in second]
+    wanted = tuple(e.lower() for e in extensions)
+
+    def listed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        from pyarrow import fs
+
+        for batch in batches:
+            for folder, recursive in zip(batch["folder"], batch["recursive"]):
+                files, path = fs.FileSystem.from_uri(folder)
+                scheme = folder[: len(folder) - len(path)]
+                entries = files.get_file_info(fs.FileSelector(path, recursive=bool(recursive)))
+                rows = [(scheme + e.path, 0, e.mtime) for e in entries if e.type == fs.FileType.File
+                        and e.size == 0 and e.path.lower().endswith(wanted)]
+                yield pd.DataFrame(rows, columns=["path", "file_size", "modified"])
+
+    folders = spark.createDataFrame(tasks, "folder string, recursive boolean").repartition(len(tasks))
+    return folders.mapInPandas(listed, "path string, file_size bigint, modified timestamp").withColumn(
+        "path", _plain(F.col("path")))
 
 
 def with_class(files: DataFrame, catalog: DataFrame) -> DataFrame:
@@ -130,22 +172,87 @@ def inspect_images(spark: SparkSession, root: str, catalog: DataFrame | None = N
     ).withColumn("dhash", vectors.difference_hash(F.col("_grid"), C.HASH_SIDE + 1, C.HASH_SIDE))
     shapes = shapes.select("path", "height", "width", "_bands",
                            F.when(F.col("_grid").isNotNull(), F.col("dhash")).alias("dhash"))
-    records = hashed.join(shapes, "path", "left").withColumn("valid", F.coalesce(F.col("width") > 0, F.lit(False)))
+    none = empty_files(spark, root, extensions).select("path", "file_size", F.sha2(F.lit(b""), 256).alias("sha256"))
+    records = hashed.unionByName(none, allowMissingColumns=True).join(shapes, "path", "left")
+    records = records.withColumns({
+        "valid": F.coalesce(F.col("width") > 0, F.lit(False)),
+        "relative_path": _relative(F.col("path"), root),
+        "error": F.when(F.coalesce(F.col("width"), F.lit(0)) <= 0, "the image cannot be decoded"),
+    })
     mode = F.coalesce("_png_mode", F.when(F.col("_container") == "gif", "P"), F.when(
         F.col("_bands") == 1, "L").when(F.col("_bands") == 3, "RGB").when(F.col("_bands") == 4, "RGBA"))
+    records = records.withColumn("mode", mode)
+    return _finish(records, catalog)
+
+
+def _finish(records: DataFrame, catalog: DataFrame | None) -> DataFrame:
+    """Common tail of both inspections: format fallback, flags, class, column order."""
     records = records.withColumns({
-        "relative_path": _relative(F.col("path"), root),
-        "mode": F.when(F.col("valid"), mode),
+        "mode": F.when(F.col("valid"), F.col("mode")),
         "format": F.when(F.col("valid") & F.col("_container").isNotNull(), F.col("_container"))
         .otherwise(F.ltrim(text.file_extension(F.col("path")), F.lit("."))),
-        "error": F.when(~F.col("valid"), "the image cannot be decoded"),
     })
     full = with_quality(records, transparent_palette=F.col("_transparent"))
-    full = with_class(full, catalog) if catalog is not None else full.withColumn(
-        "class_id", F.lit(None).cast("int"))
+    if catalog is not None:
+        full = with_class(full, catalog)
+    elif "class_id" not in full.columns:
+        full = full.withColumn("class_id", F.lit(None).cast("int"))
     return full.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in ASSET_RECORDS])
 
 
+def inspect_contents(rows: DataFrame, decode: Callable[[bytes], tuple[str, str, bool, np.ndarray]], *,
+                     content_col: str = "content", catalog: DataFrame | None = None) -> DataFrame:
+    """Inspection records of images kept in a table column, for collections too large for loose files.
+
+    ``rows`` has ``path``, ``relative_path`` and the bytes; ``decode`` returns
+    ``(format, mode, transparent palette, uint8 array (height, width, channels))``
+    with RGB order, or raises for a broken image. Bytes are read once and never
+    shuffled.
+    """
+    grid_of = pixels.gray_of
+
+    @F.pandas_udf("valid boolean, width int, height int, _container string, mode string, _transparent boolean, "
+                  "_grid array<int>, error string")
+    def inspected(contents: pd.Series) -> pd.DataFrame:
+        made = []
+        for content in contents:
+            try:
+                kind, mode, transparent, image = decode(content)
+                height, width = image.shape[:2]
+                made.append((True, width, height, kind.lower(), mode, transparent, grid_of(image), None))
+            except Exception as problem:  # a broken image is a finding, not a failure
+                made.append((False, None, None, None, None, False, None, str(problem) or type(problem).__name__))
+        return pd.DataFrame(made, columns=["valid", "width", "height", "_container", "mode", "_transparent",
+                                           "_grid", "error"])
+
+    looked = rows.select(
+        *[c for c in ("path", "relative_path", "class_id") if c in rows.columns],
+        F.octet_length(content_col).cast("bigint").alias("file_size"),
+        F.sha2(content_col, 256).alias("sha256"), inspected(F.col(content_col)).alias("i"),
+    )
+    flat = looked.select("*", "i.*").drop("i")
+    hashed = vectors.difference_hash(F.col("_grid"), C.HASH_SIDE + 1, C.HASH_SIDE)
+    return _finish(flat.withColumn("dhash", F.when(F.col("valid"), hashed)), catalog)
+
+
+def pillow_decoder() -> Callable[[bytes], tuple[str, str, bool, np.ndarray]]:
+    """Decoder for :func:`inspect_contents` where Pillow is installed on the workers."""
+    def decode(content: bytes):
+        import io
+
+        from PIL import Image
+
+        with Image.open(io.BytesIO(content)) as probe:
+            probe.verify()
+        with Image.open(io.BytesIO(content)) as image:
+            gray = image.mode in ("1", "L")
+            array = np.asarray(image.convert("L" if gray else "RGB"))
+            return (image.format or "", image.mode, "transparency" in image.info,
+                    array[:, :, None] if gray else array)
+
+    return decode
+
+
 def read_model_input(spark: SparkSession, root: str, size: int = C.INPUT_SIZE,
                      extensions: Sequence[str] = C.IMAGE_EXTENSIONS) -> DataFrame:
     """``(image, features)``: decoded, resized and standardised images, NULL features when broken."""
