@@ -128,16 +128,22 @@ def prediction_detail(samples: DataFrame, predictions: DataFrame, catalog: DataF
     """Actual and predicted class of every sample, paired by key and never by position.
 
     ``samples`` has the key and ``target``; ``predictions`` the key, ``predicted``
-    and ``confidence``.
+    and ``confidence``. :func:`named_predictions` needs no join when one table
+    holds both.
     """
+    paired = samples.select(key, "target").join(predictions.select(key, "predicted", "confidence"), key)
+    return named_predictions(paired, catalog, key)
+
+
+def named_predictions(rows: DataFrame, catalog: DataFrame, key: str = "image") -> DataFrame:
+    """Class ids and names of rows ``(key, target, predicted, confidence)``."""
     names = catalog.select("index", F.col("id"), "display_name")
     actual = names.select(F.col("index").alias("target"), F.col("id").alias("actual_class_id"),
                           F.col("display_name").alias("actual_name"))
     guessed = names.select(F.col("index").alias("predicted"), F.col("id").alias("predicted_class_id"),
                            F.col("display_name").alias("predicted_name"))
     return (
-        samples.select(key, F.col("target").cast("int").alias("target"))
-        .join(predictions.select(key, "predicted", "confidence"), key)
+        rows.select(key, F.col("target").cast("int").alias("target"), "predicted", "confidence")
         .join(actual, "target").join(guessed, "predicted")
         .select(key, "actual_class_id", "actual_name", "predicted_class_id", "predicted_name",
                 text.rounded(F.col("confidence"), 7).alias("confidence"),

@@ -25,6 +25,12 @@ def write_predictions_csv(details: DataFrame, path: str) -> None:
     details.write.mode("overwrite").option("header", True).csv(path)
 
 
+def write_epoch_history_csv(history: DataFrame, path: str) -> None:
+    """Write the epochs of a run in order as one headed CSV file, arrays as JSON text."""
+    arrays = {f.name: F.to_json(f.name) for f in history.schema if f.dataType.typeName() == "array"}
+    write_report_csv(history.withColumns(arrays).orderBy("epoch"), path)
+
+
 def write_predictions_json(nested: DataFrame, path: str, *, checkpoint: str, device: str = "spark") -> None:
     """Write one JSON line per image, each stamped with its checkpoint and device."""
     nested.withColumns({"checkpoint": F.lit(checkpoint), "device": F.lit(device)}).write.mode(

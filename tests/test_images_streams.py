@@ -216,3 +216,25 @@ def test_inspection_of_table_contents_matches_files(spark, catalog, folder):
     table = images.inspect_contents(rows, decode, catalog=catalog).select(*compared)
     loose = images.inspect_images(spark, str(root), catalog).select(*compared)
     assert sorted(map(str, table.collect())) == sorted(map(str, loose.collect()))
+
+
+def test_stored_history_reads_equal_the_whole_history(spark, tmp_path):
+    from frondlake.plans.stored_history import find_scan_image, newest_scans, stored_days
+
+    path = str(tmp_path / "history")
+    for batch in (0, 3):
+        rows = spark.createDataFrame(
+            [(f"{batch}-{i}.png", "image/png", b"%d%d" % (batch, i), datetime(2024, 5, 1 + (i * 7 + batch) % 20, i % 24))
+             for i in range(40)], UPLOAD)
+        uploads.write_batch(as_scans(rows), batch, path)
+    whole = read_history(spark, path)
+    assert len(stored_days(spark, path)) == 20
+    for options in ({"limit": 3}, {"limit": 30}, {"limit": 100}, {"limit": 5, "query": "0-3"}, {"query": "nothing"},
+                    {"category": "healthy"}):
+        want = history.list_scans(whole, **options).collect()
+        assert newest_scans(spark, path, growth=2, **options).collect() == want
+    plan = newest_scans(spark, path, limit=1)._jdf.queryExecution().toString()
+    assert "PartitionFilters: [isnotnull(scan_date" in plan
+    for row in whole.where("filename in ('0-5.png', '3-7.png')").collect():
+        assert find_scan_image(spark, path, row["id"]).first()["image"] == row["image"]
+    assert find_scan_image(spark, path, 12345678).count() == 0

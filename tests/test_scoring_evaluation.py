@@ -144,6 +144,13 @@ def test_early_stop_ignores_later_epochs(spark):
     assert training.early_stop(history, patience=3).count() == 5
 
 
+def test_epoch_history_export(spark, tmp_path):
+    rows = epochs(spark, [0.5, 0.4]).withColumn("learning_rates", F.array(F.lit(1e-4), F.lit(1e-5)))
+    sinks.write_epoch_history_csv(rows.orderBy(F.desc("epoch")), str(tmp_path / "h"))
+    stored = spark.read.option("header", True).csv(str(tmp_path / "h")).collect()
+    assert [(r["epoch"], r["learning_rates"]) for r in stored] == [("1", "[1.0E-4,1.0E-5]"), ("2", "[1.0E-4,1.0E-5]")]
+
+
 def test_runs_are_separate(spark):
     both = epochs(spark, [0.5, 0.4]).withColumn("run", F.lit("x")).unionByName(
         epochs(spark, [0.1, 0.2, 0.3]).withColumn("run", F.lit("y")))
