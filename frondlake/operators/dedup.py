@@ -8,6 +8,8 @@ the largest groups reach their members by broadcast.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
+from operator import and_, or_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -18,8 +20,8 @@ from .rows import join_group_rows, merge_single_rows
 
 _ORDER = ("class_id", "relative_path")
 
-# How many of the most shared probes near_duplicates() refines.
-HOT_PROBES = 100_000
+# How many of the most shared part values near_duplicates() treats as hot.
+HOT_VALUES = 100_000
 
 
 def _usable(records: DataFrame, key: str) -> DataFrame:
@@ -128,14 +130,19 @@ def _mask(bits: Sequence[int]) -> int:
     return _signed(sum(1 << b for b in bits))
 
 
-def _probes(part: int, bits: Sequence[int], value: str = "hash") -> str:
-    """SQL for the masked value and its single-bit neighbours as ``(part, flip, probe)``.
+def _flips(bits: Sequence[int]) -> str:
+    """SQL array of 0 and every single bit. SQL text, because it holds a literal per bit."""
+    return "array(" + ", ".join(f"{_signed(f)}L" for f in [0, *[1 << b for b in bits]]) + ")"
+
+
+def _probes(part: int, bits: Sequence[int]) -> str:
+    """SQL for the masked hash and its single-bit neighbours as ``(part, flip, probe)``."""
+    return (f"transform({_flips(bits)}, (f, i) -> struct({part} AS part, int(i) AS flip, "
+            f"(hash & {_mask(bits)}L) ^ f AS probe))")
 
-    Written as SQL text because it holds a literal per bit.
-    """
-    flips = ", ".join(f"{_signed(f)}L" for f in [0, *[1 << b for b in bits]])
-    return (f"transform(array({flips}), (f, i) -> struct({part} AS part, int(i) AS flip, "
-            f"({value} & {_mask(bits)}L) ^ f AS probe))")
+
+def _by_part(texts: Sequence[str]) -> str:
+    return "CASE part " + " ".join(f"WHEN {p} THEN {t}" for p, t in enumerate(texts)) + " END"
 
 
 def _canonical(a: str, b: str, flip: str) -> Column:
@@ -156,7 +163,7 @@ def _first_part(difference: Column, part: Column, groups: Sequence[Sequence[int]
 def near_duplicates(records: DataFrame, *, hash_col: str = "dhash", class_col: str = "class_id",
                     id_col: str = "relative_path", bits: int = 64,
                     max_distance: int = C.HAMMING_LIMIT, max_class_size: int | None = None,
-                    hot_probe_rows: int | None = 20_000) -> DataFrame:
+                    hot_value_rows: int | None = 200) -> DataFrame:
     """Pairs of one class whose hashes differ in at most ``max_distance`` bits.
 
     Members of equal-hash groups take part in no pair. The result is exact:
@@ -167,9 +174,10 @@ def near_duplicates(records: DataFrame, *, hash_col: str = "dhash", class_col: s
       a probe, and an equi-join on (class, part, probe) finds them.
     * A pair may meet at several probes and parts; the join condition accepts
       one of them, so no distinct is needed afterwards.
-    * The most shared probes with more than ``hot_probe_rows`` rows (flat images)
-      are probed again on the remaining bits in the same way. Hashes are distinct
-      here, so each level really divides them.
+    * Part values shared by more than ``hot_value_rows`` rows (flat images) leave
+      that join. Their rows meet the rows of every value within two bits by
+      probing the remaining bits in the same way. Hashes are distinct here, so
+      the remaining bits really divide them.
 
     ``max_class_size`` leaves out classes with more remaining records than that
     (see :func:`oversized_classes`); by default none is left out.
@@ -184,58 +192,75 @@ def near_duplicates(records: DataFrame, *, hash_col: str = "dhash", class_col: s
     every = list(range(bits))
     parts = min(max_distance // 3 + 1, bits)
     groups = _masks(every, parts)
-    probes = ", ".join(_probes(p, g) for p, g in enumerate(groups))
-    probed = single.selectExpr("class_id", "hash", f"explode(concat({probes})) AS p").select(
-        "class_id", "hash", "p.*")
-    key = ["class_id", "part", "probe"]
-
-    def pairs(rows: DataFrame, join_key: list[str], extra) -> DataFrame:
-        a, b = rows.alias("a"), rows.alias("b")
-        difference = F.col("a.hash").bitwiseXOR(F.col("b.hash"))
-        condition = (F.col("a.hash") < F.col("b.hash")) & _canonical("a", "b", "flip")
-        condition = condition & (F.bit_count(difference) <= max_distance)
-        condition = condition & _first_part(difference, F.col("a.part"), groups)
-        for name in join_key:
-            condition = condition & (F.col(f"a.{name}") == F.col(f"b.{name}"))
-        if extra is not None:
-            condition = condition & extra(difference)
-        return a.join(b, condition).select(
-            F.col("a.class_id").alias("class_id"), F.col("a.hash").alias("hash_a"),
-            F.col("b.hash").alias("hash_b"), F.bit_count(difference).alias("hamming_distance"),
-        )
+    values = ", ".join(f"struct({p} AS part, hash & {_mask(g)}L AS value)" for p, g in enumerate(groups))
+    placed = single.selectExpr("class_id", "hash", f"inline(array({values}))")
 
-    if hot_probe_rows is None:
-        found = pairs(probed, key, None)
-    else:
-        # At most HOT_PROBES rows of three numbers, hence safe to broadcast.
-        hot = F.broadcast(
-            probed.groupBy(*key).agg(F.count(F.lit(1)).alias("_n"))
-            .where(F.col("_n") > hot_probe_rows)
-            .orderBy(F.desc("_n"), *key).limit(HOT_PROBES).select(*key)
+    def accepted(difference: Column) -> Column:
+        return (F.bit_count(difference) <= max_distance) & _first_part(difference, F.col("a.part"), groups)
+
+    def equal(*names: str) -> Column:
+        return reduce(and_, [F.col(f"a.{n}") == F.col(f"b.{n}") for n in names])
+
+    difference = F.col("a.hash").bitwiseXOR(F.col("b.hash"))
+    pair = (
+        F.col("a.class_id").alias("class_id"), F.col("a.hash").alias("hash_a"),
+        F.col("b.hash").alias("hash_b"), F.bit_count(difference).alias("hamming_distance"),
+    )
+    # With one part a value is a whole hash, and those are distinct.
+    refine = hot_value_rows is not None and parts > 1
+    if refine:
+        # At most HOT_VALUES rows of three numbers, hence safe to broadcast.
+        hot = (
+            placed.groupBy("class_id", "part", "value").agg(F.count(F.lit(1)).alias("_n"))
+            .where(F.col("_n") > hot_value_rows)
+            .orderBy(F.desc("_n"), "class_id", "part", "value").limit(HOT_VALUES)
+            .select("class_id", "part", "value", F.lit(True).alias("hot"))
         )
+        placed = placed.join(F.broadcast(hot), ["class_id", "part", "value"], "left").withColumn(
+            "hot", F.coalesce("hot", F.lit(False)))
+        cold = placed.where(~F.col("hot"))
+    else:
+        cold = placed
+
+    probed = cold.selectExpr(
+        "class_id", "hash", f"inline({_by_part([_probes(p, g) for p, g in enumerate(groups)])})")
+    # Merge join: its sides are many times larger than what Spark estimates for them.
+    found = probed.alias("a").join(
+        probed.alias("b").hint("merge"),
+        equal("class_id", "part", "probe") & (F.col("a.hash") < F.col("b.hash"))
+        & _canonical("a", "b", "flip") & accepted(difference),
+    ).select(*pair)
+
+    if refine:
+        ball = _by_part([
+            f"array_distinct(flatten(transform({_flips(g)}, f -> transform({_flips(g)}, h -> f ^ h))))"
+            for g in groups
+        ])
+        around = hot.selectExpr("class_id", "part", "value AS center", f"explode({ball}) AS offset").selectExpr(
+            "class_id", "part", "center", "center ^ offset AS value")
         rest = [[b for b in every if b not in g] for g in groups]
-        finer = [_masks(r, min(parts, len(r))) if r else [] for r in rest]
-        found = pairs(probed.join(hot, key, "left_anti"), key, None)
-        if all(finer):
-            cases = " ".join(
-                f"WHEN {p} THEN concat({', '.join(_probes(q, g) for q, g in enumerate(subgroups))})"
-                for p, subgroups in enumerate(finer)
-            )
-            split = probed.join(hot, key, "left_semi").selectExpr(
-                "class_id", "hash", "part", "flip", "probe", f"explode(CASE part {cases} END) AS s",
-            ).select("class_id", "hash", "part", "flip", "probe", F.col("s.part").alias("subpart"),
-                     F.col("s.flip").alias("subflip"), F.col("s.probe").alias("subprobe"))
-
-            def refined(difference: Column) -> Column:
-                first = F.lit(False)
-                for p, subgroups in enumerate(finer):
-                    first = first | ((F.col("a.part") == p) & _first_part(
-                        difference, F.col("a.subpart"), subgroups))
-                return _canonical("a", "b", "subflip") & first
-
-            found = found.unionByName(pairs(split, [*key, "subpart", "subprobe"], refined))
-        else:
-            found = found.unionByName(pairs(probed.join(hot, key, "left_semi"), key, None))
+        finer = [_masks(r, min(parts, len(r))) for r in rest]
+        subprobes = _by_part([
+            "concat(" + ", ".join(_probes(q, g) for q, g in enumerate(sub)) + ")" for sub in finer])
+        sub = (f"inline({subprobes}) AS (subpart, flip, probe)",)
+        centers = placed.where("hot").selectExpr("class_id", "part", "value AS center", "hash", *sub)
+        neighbours = placed.join(around.hint("merge"), ["class_id", "part", "value"]).selectExpr(
+            "class_id", "part", "center", "value", "hot", "hash", *sub)
+        first_sub = reduce(or_, [
+            (F.col("a.part") == p) & _first_part(difference, F.col("a.subpart"), g)
+            for p, g in enumerate(finer)
+        ])
+        # A pair of one hot value is ordered by hash, a pair of two hot values by value.
+        same = F.col("b.value") == F.col("b.center")
+        oriented = F.when(same, F.col("a.hash") < F.col("b.hash")).otherwise(
+            ~F.col("b.hot") | (F.col("b.center") < F.col("b.value")))
+        found = found.unionByName(
+            centers.alias("a").join(
+                neighbours.alias("b").hint("merge"),
+                equal("class_id", "part", "center", "subpart", "probe") & oriented
+                & _canonical("a", "b", "flip") & first_sub & accepted(difference),
+            ).select(*pair)
+        )
 
     left = single.select(F.col("hash").alias("hash_a"), F.col("id").alias("_a"))
     right = single.select(F.col("hash").alias("hash_b"), F.col("id").alias("_b"))
