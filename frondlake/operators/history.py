@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 
 from .. import constants as C
 from ..functions import text
-from .rows import merge_single_rows
 
 LISTED = ("id", "filename", "class_key", "crop", "disease", "display_name",
           "confidence", "confidence_percent", "inference_ms", "created_at")
@@ -82,15 +81,14 @@ def history_stats(history: DataFrame) -> DataFrame:
 def stats_from_classes(per_class: DataFrame) -> DataFrame:
     """Totals from rows ``(class_key, display_name, scans, percent_sum, percent_count)``."""
     healthy = text.is_healthy(F.col("class_key"))
-    totals = per_class.agg(
+    # Largest count first, then the alphabetically first name; NULL orders are skipped.
+    rank = F.when(~healthy, F.struct(-F.col("scans"), F.col("display_name"), F.col("class_key")))
+    return per_class.agg(
         F.coalesce(F.sum("scans"), F.lit(0)).alias("total_scans"),
         F.coalesce(F.sum(F.when(healthy, F.col("scans"))), F.lit(0)).alias("healthy_diagnoses"),
         F.coalesce(F.sum(F.when(~healthy, F.col("scans"))), F.lit(0)).alias("diseases_detected"),
         text.rounded(
             F.coalesce(F.try_divide(F.sum("percent_sum"), F.sum("percent_count")), F.lit(0.0)), 1
         ).alias("average_confidence"),
+        F.min_by("display_name", rank).alias("most_common_disease"),
     )
-    # Largest count first, then the alphabetically first name.
-    first = F.min_by("display_name", F.struct(-F.col("scans"), F.col("display_name"), F.col("class_key")))
-    common = per_class.where(~healthy).agg(first.alias("most_common_disease"))
-    return merge_single_rows(totals, common)

@@ -56,11 +56,11 @@ def exact_percentiles(df: DataFrame, group_by: Sequence[str],
         *group_by,
         F.explode(F.array(*[
             F.struct(
-                F.lit(name).alias("metric"),
+                F.lit(number).alias("metric"),
                 value.cast("double").alias("value"),
                 F.floor(value.cast("double") / F.lit(float(step))).alias("bucket"),
             )
-            for name, (value, step) in metrics.items()
+            for number, (value, step) in enumerate(metrics.values())
         ])).alias("m"),
     ).select(*group_by, "m.*").where(F.col("value").isNotNull())
 
@@ -108,7 +108,7 @@ def exact_percentiles(df: DataFrame, group_by: Sequence[str],
         for name, p in probabilities.items()
     }
     columns = [
-        F.max(F.when(F.col("metric") == metric, value)).alias(f"{metric}_{name}")
-        for metric in metrics for name, value in results.items()
+        F.max(F.when(F.col("metric") == number, value)).alias(f"{metric}_{name}")
+        for number, metric in enumerate(metrics) for name, value in results.items()
     ]
     return picked.groupBy(*group_by).agg(*columns) if group_by else picked.agg(*columns)

@@ -124,6 +124,7 @@ def training_config(distribution: DataFrame, catalog: DataFrame) -> DataFrame:
         _map(distribution, "class_id", "images", "class_counts"),
         _map(balance.balanced_weights(distribution), "class_id", "weight", "class_weights"),
     ).withColumns({
+        # Fixed values.
         "model": F.lit(C.MODEL_NAME), "input_size": F.lit(C.INPUT_SIZE), "resize_size": F.lit(C.RESIZE_SIZE),
         "normalization_mean": numbers(C.CHANNEL_MEAN), "normalization_std": numbers(C.CHANNEL_STD),
         "suggested_split": F.lit("70/15/15 or 80/10/10, stratified by class"),
