@@ -7,6 +7,7 @@ expression, so these two steps run on Arrow batches.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -24,6 +25,7 @@ def _triangle(x: np.ndarray) -> np.ndarray:
     return np.clip(1 - np.abs(x), 0, None)
 
 
+@lru_cache(maxsize=256)
 def resampling_matrix(source: int, target: int, kernel: str = "lanczos") -> np.ndarray:
     """``(target, source)`` weights of an antialiased one-dimensional resize."""
     function, radius = {"lanczos": (_lanczos, 3.0), "bilinear": (_triangle, 1.0)}[kernel]
@@ -35,6 +37,31 @@ def resampling_matrix(source: int, target: int, kernel: str = "lanczos") -> np.n
     return weights / weights.sum(axis=1, keepdims=True)
 
 
+@lru_cache(maxsize=256)
+def _windows(source: int, target: int, kernel: str) -> tuple[np.ndarray, np.ndarray]:
+    """The non-zero run of each row of the matrix as ``(target, taps)`` positions and weights."""
+    matrix = resampling_matrix(source, target, kernel)
+    used = matrix != 0
+    first = used.argmax(axis=1)
+    last = source - 1 - used[:, ::-1].argmax(axis=1)
+    at = first[:, None] + np.arange((last - first).max() + 1)[None, :]
+    inside = at < source
+    at = np.minimum(at, source - 1)
+    return at, np.where(inside, np.take_along_axis(matrix, at, axis=1), 0.0)
+
+
+def _across(plane: np.ndarray, target: int, kernel: str) -> np.ndarray:
+    """Resize the columns of a plane; few taps are summed, many are multiplied as a matrix."""
+    source = plane.shape[1]
+    at, weights = _windows(source, target, kernel)
+    if at.shape[1] * 4 > source:
+        return plane @ resampling_matrix(source, target, kernel).T
+    made = np.zeros((plane.shape[0], target))
+    for tap in range(at.shape[1]):
+        made += plane[:, at[:, tap]] * weights[:, tap]
+    return made
+
+
 def pixels_of(data: bytes, height: int, width: int, channels: int) -> np.ndarray:
     """RGB or gray ``uint8`` array from the image source's row-major BGR(A) bytes."""
     pixels = np.frombuffer(data, dtype=np.uint8).reshape(height, width, channels)
@@ -54,8 +81,7 @@ def resize(plane: np.ndarray, height: int, width: int, kernel: str) -> np.ndarra
     def byte(values: np.ndarray) -> np.ndarray:
         return np.clip(np.floor(values + 0.5), 0, 255)
 
-    across = byte(plane @ resampling_matrix(plane.shape[1], width, kernel).T)
-    return byte(resampling_matrix(plane.shape[0], height, kernel) @ across)
+    return byte(_across(byte(_across(plane, width, kernel)).T, height, kernel).T)
 
 
 def gray_of(pixels: np.ndarray, columns: int = C.HASH_SIDE + 1, rows: int = C.HASH_SIDE) -> np.ndarray:

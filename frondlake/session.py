@@ -15,6 +15,8 @@ SQL_SETTINGS = {
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
+    # Decoded images are large: bound the batches sent to Python by bytes, not rows only.
+    "spark.sql.execution.arrow.maxBytesPerBatch": "32m",
 }
 
 

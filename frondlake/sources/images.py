@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
@@ -30,7 +31,7 @@ def _plain(path: Column) -> Column:
 
 
 def _relative(path: Column, root: str) -> Column:
-    base = root.rstrip("/")
+    base = re.sub("^file:/+", "file:/", root.rstrip("/"))
     if ":" not in base.split("/")[0]:
         base = "file:" + base
     return F.when(
@@ -43,18 +44,20 @@ def _reader(spark: SparkSession, source: str, extensions: Sequence[str]):
             .option("pathGlobFilter", extension_glob(extensions)))
 
 
-def list_images(spark: SparkSession, root: str,
-                extensions: Sequence[str] = C.IMAGE_EXTENSIONS) -> DataFrame:
+def list_images(spark: SparkSession, root: str, extensions: Sequence[str] = C.IMAGE_EXTENSIONS, *,
+                include_empty: bool = True) -> DataFrame:
     """``(path, relative_path, file_size, modified)`` of every image file below ``root``.
 
-    File contents are not read.
+    File contents are not read. ``include_empty`` needs a store that pyarrow
+    can list from the workers (see :func:`empty_files`).
     """
     found = _reader(spark, "binaryFile", extensions).load(root).select(
         _plain(F.col("path")).alias("path"), F.col("length").alias("file_size"),
         F.col("modificationTime").alias("modified"),
     )
-    both = found.unionByName(empty_files(spark, root, extensions))
-    return both.withColumn("relative_path", _relative(F.col("path"), root))
+    if include_empty:
+        found = found.unionByName(empty_files(spark, root, extensions))
+    return found.withColumn("relative_path", _relative(F.col("path"), root))
 
 
 def empty_files(spark: SparkSession, root: str,
@@ -145,7 +148,8 @@ def png_transparency(content: Column) -> Column:
 
 
 def inspect_images(spark: SparkSession, root: str, catalog: DataFrame | None = None,
-                   extensions: Sequence[str] = C.IMAGE_EXTENSIONS) -> DataFrame:
+                   extensions: Sequence[str] = C.IMAGE_EXTENSIONS, *,
+                   include_empty: bool = True) -> DataFrame:
     """One inspection record per image file; a broken file is a record with ``valid = false``.
 
     Bytes are hashed in one scan and decoded by the JVM in another. Both scans
@@ -172,8 +176,11 @@ def inspect_images(spark: SparkSession, root: str, catalog: DataFrame | None = N
     ).withColumn("dhash", vectors.difference_hash(F.col("_grid"), C.HASH_SIDE + 1, C.HASH_SIDE))
     shapes = shapes.select("path", "height", "width", "_bands",
                            F.when(F.col("_grid").isNotNull(), F.col("dhash")).alias("dhash"))
-    none = empty_files(spark, root, extensions).select("path", "file_size", F.sha2(F.lit(b""), 256).alias("sha256"))
-    records = hashed.unionByName(none, allowMissingColumns=True).join(shapes, "path", "left")
+    if include_empty:
+        none = empty_files(spark, root, extensions).select(
+            "path", "file_size", F.sha2(F.lit(b""), 256).alias("sha256"))
+        hashed = hashed.unionByName(none, allowMissingColumns=True)
+    records = hashed.join(shapes, "path", "left")
     records = records.withColumns({
         "valid": F.coalesce(F.col("width") > 0, F.lit(False)),
         "relative_path": _relative(F.col("path"), root),

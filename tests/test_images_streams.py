@@ -107,6 +107,20 @@ def test_resampling_rows_sum_to_one_and_keep_size():
     assert np.array_equal(pixels.resize(plane, 9, 9, "bilinear"), plane)
 
 
+@pytest.mark.parametrize("kernel", ["lanczos", "bilinear"])
+@pytest.mark.parametrize("source, target", [(640, 300), (3000, 300), (100, 300), (7, 9)])
+def test_summed_taps_equal_the_matrix(kernel, source, target):
+    plane = np.random.default_rng(source).integers(0, 256, (5, source)).astype(float)
+    assert np.allclose(pixels._across(plane, target, kernel), plane @ pixels.resampling_matrix(source, target, kernel).T)
+
+
+def test_roots_may_be_uris(spark, folder):
+    root, _ = folder
+    plain, uri = images.list_images(spark, str(root)), images.list_images(spark, f"file://{root}/")
+    assert sorted(r["relative_path"] for r in plain.collect()) == sorted(r["relative_path"] for r in uri.collect())
+    assert images.list_images(spark, str(root), include_empty=False).count() == plain.count() - 1
+
+
 def test_model_input(spark, folder):
     root, _ = folder
     rows = {r["image"]: r["features"] for r in images.read_model_input(spark, str(root), size=4).collect()}
