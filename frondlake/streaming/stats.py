@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
@@ -21,10 +21,25 @@ def class_totals(scans: DataFrame) -> DataFrame:
 
 
 def maintain_class_totals(scans: DataFrame, path: str, checkpoint: str, **trigger) -> StreamingQuery:
-    """Keep ``path`` equal to the class totals of everything read so far."""
-    def replace(batch: DataFrame, _: int) -> None:
-        batch.coalesce(1).write.mode("overwrite").parquet(path)
+    """Store the class totals of everything read so far after every batch.
 
-    writer = class_totals(scans).writeStream.outputMode("complete").foreachBatch(replace)
+    Each batch writes its own small ``batch_id=`` folder, so readers never find
+    a half-replaced table and a repeated batch replaces only itself.
+    """
+    def store(batch: DataFrame, batch_id: int) -> None:
+        (batch.coalesce(1).withColumn("batch_id", F.lit(batch_id).cast("bigint"))
+         .write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+         .partitionBy("batch_id").parquet(path))
+
+    writer = class_totals(scans).writeStream.outputMode("complete").foreachBatch(store)
     return writer.option("checkpointLocation", checkpoint).trigger(
         **(trigger or {"availableNow": True})).start()
+
+
+def latest_class_totals(spark: SparkSession, path: str) -> DataFrame:
+    """The totals of the newest stored batch."""
+    stored = spark.read.schema(
+        "class_key STRING, display_name STRING, scans BIGINT, percent_sum DOUBLE, percent_count BIGINT, "
+        "batch_id BIGINT").parquet(path)
+    newest = stored.agg(F.max("batch_id")).scalar()
+    return stored.where(F.col("batch_id") == newest).drop("batch_id")

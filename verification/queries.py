@@ -650,4 +650,4 @@ def stream_stats(spark, folder):
     base = _scratch(spark)
     scans = V.scans_from_events(_stream(spark, folder, "events"))
     _finish(stats.maintain_class_totals(scans, f"{base}/totals", f"{base}/checkpoint"))
-    return history.stats_from_classes(spark.read.parquet(f"{base}/totals"))
+    return history.stats_from_classes(stats.latest_class_totals(spark, f"{base}/totals"))
