@@ -7,9 +7,10 @@ The encodings of all prefixes of a piece are therefore the paths of a
 nondeterministic transducer whose states are *(last token, bytes read of the
 next token)*, and exactly one path ends at every byte. ``Transducer`` builds
 the subset construction of it on demand: a state holds the paths still alive,
-each with the tokens it has not emitted yet. Tokens shared by all paths are
-emitted at once, so the look-ahead is bounded by the longest token a path may
-still complete. The cost is linear in the bytes, also for a piece of any length.
+a transition yields the token with which the one complete path ends. Reading
+these endings backwards gives the tokens; in long pieces they are emitted up to
+the last border that all living paths share, so the look-ahead is bounded by
+the longest tokens. The cost is linear in the bytes, for a piece of any length.
 
 Decoding. Token bytes pass through ``Utf8Stream``, a state machine over UTF-8
 that keeps at most three bytes of an unfinished character between chunks.
@@ -22,7 +23,8 @@ added column replaces one of the same name. An empty table gives an empty table.
 from __future__ import annotations
 
 import base64
-from collections.abc import Iterable, Iterator
+import re
+from collections.abc import Iterator
 from functools import lru_cache
 
 import pyarrow as pa
@@ -32,93 +34,141 @@ from pyspark.sql import types as T
 
 from .arrow import output_schema, replace_column
 
-MAX_STATES = 100_000
-MAX_PIECES = 200_000
+MAX_STATES = 200_000
+LOOK_AHEAD = 256
+MAX_PIECES = 300_000
 MAX_PIECE_CHARS = 32
 DECODE_CHUNK = 4096
 
 
+class State(dict):
+    """Transitions of one set of paths: byte to (token that ends there, next state)."""
+
+    __slots__ = ("paths",)
+
+
 class Transducer:
     """Encoder of single pieces. Its caches are emptied when full, which changes no result."""
 
     def __init__(self, ranks: dict[bytes, int], max_states: int = MAX_STATES):
         self.ranks = ranks
         self.token_bytes = {rank: token for token, rank in ranks.items()}
-        self.prefixes = {token[:i] for token in ranks for i in range(1, len(token))}
+        self.sizes = {rank: len(token) for token, rank in ranks.items()}
         self.max_states = max_states
+        # A trie of the tokens: node 0 is the root, children are keyed by (node, byte).
+        self.children: dict[int, int] = {}
+        self.tokens: list[int | None] = [None]
+        self.inner, self.depth = bytearray(1), [0]
+        for token, rank in ranks.items():
+            node = 0
+            for byte in token:
+                self.inner[node] = 1
+                below = self.children.get(node << 8 | byte)
+                if below is None:
+                    below = self.children[node << 8 | byte] = len(self.tokens)
+                    self.tokens.append(None)
+                    self.inner.append(0)
+                    self.depth.append(self.depth[node] + 1)
+                node = below
+            self.tokens[node] = rank
+        self.allowed: dict[tuple, bool] = {}
         self._reset()
 
     def _reset(self) -> None:
         self.states: dict[tuple, State] = {}
-        self.allowed: dict[tuple, bool] = {}
-        self.root = self._state(None, (((), b""),))
+        self.root = self._state(((None, 0),))
 
-    def _state(self, last: int | None, paths: tuple) -> State:
-        key = (last, paths)
-        state = self.states.get(key)
+    def _state(self, paths: tuple) -> State:
+        state = self.states.get(paths)
         if state is None:
-            state = State()
-            state.last, state.paths = last, paths
-            state.final = next((pending for pending, part in paths if not part), None)
-            self.states[key] = state
+            state = self.states[paths] = State()
+            state.paths = paths
         return state
 
     def _merge(self, data: bytes) -> list[bytes]:
         """Plain BPE of a few bytes; only used to decide about single tokens and pairs."""
         parts = [data[i:i + 1] for i in range(len(data))]
-        while len(parts) > 1:
-            rank, at = min((self.ranks.get(parts[i] + parts[i + 1], 1 << 60), i) for i in range(len(parts) - 1))
-            if rank == 1 << 60:
+        none, rank_of = 1 << 60, self.ranks.get
+        ranks = [rank_of(a + b, none) for a, b in zip(parts, parts[1:])]
+        while ranks:
+            rank = min(ranks)
+            if rank == none:
                 break
+            at = ranks.index(rank)
             parts[at:at + 2] = [parts[at] + parts[at + 1]]
+            del ranks[at]
+            if at:
+                ranks[at - 1] = rank_of(parts[at - 1] + parts[at], none)
+            if at < len(ranks):
+                ranks[at] = rank_of(parts[at] + parts[at + 1], none)
         return parts
 
     def _may_follow(self, last: int | None, token: int) -> bool:
-        key = (last, token)
-        answer = self.allowed.get(key)
-        if answer is None:
-            tokens = [self.token_bytes[t] for t in key if t is not None]
-            answer = self.allowed[key] = self._merge(b"".join(tokens)) == tokens
+        tokens = [self.token_bytes[t] for t in (last, token) if t is not None]
+        answer = self.allowed[last, token] = self._merge(b"".join(tokens)) == tokens
         return answer
 
-    def _step(self, state: State, byte: int) -> tuple[tuple, State]:
-        if len(self.states) > self.max_states or len(self.allowed) > 4 * self.max_states:
+    def _step(self, state: State, byte: int) -> tuple[int, State]:
+        """The token that ends at this byte in the one complete path, and the paths alive after it."""
+        if len(self.states) > self.max_states:
             self._reset()
-        paths = []
-        for pending, part in state.paths:
-            part += bytes((byte,))
-            token = self.ranks.get(part)
-            if token is not None and self._may_follow(pending[-1] if pending else state.last, token):
-                paths.append((pending + (token,), b""))
-            if part in self.prefixes:
-                paths.append((pending, part))
-        shortest = min(len(pending) for pending, _ in paths)
-        shared = 0
-        while shared < shortest and len({pending[shared] for pending, _ in paths}) == 1:
-            shared += 1
-        emitted = paths[0][0][:shared]
-        following = self._state(emitted[-1] if emitted else state.last,
-                                tuple(sorted((pending[shared:], part) for pending, part in paths)))
-        state[byte] = emitted, following
+        if len(self.allowed) > 2 * self.max_states:
+            self.allowed.clear()
+        children, tokens, inner, allowed = self.children, self.tokens, self.inner, self.allowed
+        paths, ending = [], None
+        for last, node in state.paths:
+            node = children.get(node << 8 | byte)
+            if node is not None:
+                token = tokens[node]
+                if token is not None and ending is None:
+                    fits = allowed.get((last, token))
+                    if self._may_follow(last, token) if fits is None else fits:
+                        ending = token
+                if inner[node]:
+                    paths.append((last, node))
+        paths.append((ending, 0))
+        state[byte] = ending, self._state(tuple(paths))
         return state[byte]
 
     def encode(self, piece: bytes) -> list[int]:
+        """Emit tokens as soon as every path alive has them, at the latest after ``LOOK_AHEAD`` more bytes."""
+        if len(piece) <= 2 * LOOK_AHEAD:
+            return self._back(self._endings(self.root, piece)[0], len(piece), 0)
         ids: list[int] = []
-        state = self.root
-        for byte in piece:
-            emitted, state = state.get(byte) or self._step(state, byte)
-            if emitted:
-                ids += emitted
-        ids += state.final
+        state, endings, base = self.root, [], 0
+        for at in range(0, len(piece), LOOK_AHEAD):
+            more, state = self._endings(state, piece[at:at + LOOK_AHEAD])
+            endings += more
+            seen = at + len(more)
+            # Paths alive begin at these borders; what lies before their common border is decided.
+            borders = {seen - self.depth[node] for _, node in state.paths}
+            while len(borders) > 1:
+                latest = max(borders)
+                borders.remove(latest)
+                borders.add(latest - self.sizes[endings[latest - 1 - base]])
+            border = borders.pop()
+            if border > base:
+                ids += self._back(endings, border, base)
+                endings, base = endings[border - base:], border
+        return ids + self._back(endings, len(piece), base)
+
+    def _endings(self, state: State, data: bytes) -> tuple[list[int], State]:
+        """For every byte the last token of the encoding that ends there."""
+        endings = []
+        for byte in data:
+            hit = state.get(byte)
+            token, state = hit if hit is not None else self._step(state, byte)
+            endings.append(token)
+        return endings, state
+
+    def _back(self, endings: list[int], end: int, base: int) -> list[int]:
+        ids, sizes = [], self.sizes
+        while end > base:
+            token = endings[end - 1 - base]
+            ids.append(token)
+            end -= sizes[token]
+        ids.reverse()
         return ids
-
-
-class State(dict):
-    """Transitions of one set of paths: byte to (emitted tokens, next state)."""
-
-    __slots__ = ("final", "last", "paths")
-
-
 class Utf8Stream:
     """Decodes UTF-8 that arrives in chunks; malformed bytes become U+FFFD as in ``bytes.decode``."""
 
@@ -155,38 +205,53 @@ class Utf8Stream:
         return data.decode("utf-8", "replace")
 
 
+def plain_pattern(pattern: str) -> re.Pattern | None:
+    """The pattern for the standard library, which is faster; equal on texts without ``SPECIAL`` characters."""
+    written = (pattern.replace(r"[^\s\p{L}\p{N}]", r"(?:[^\s\w]|_)").replace(r"\p{L}", r"[^\W\d_]")
+               .replace(r"\p{N}", r"\d"))
+    return None if r"\p" in written else re.compile(written)
+
+
+# Characters whose class differs between the two libraries, or may differ between their versions.
+SPECIAL = re.compile("[\x1c-\x1f\xb2\xb3\xb9\xbc-\xbe\u0250-\U0010ffff]")
+
+
 class Codec:
     """Splits texts by a pattern, encodes each match, decodes ids."""
 
     def __init__(self, ranks: dict[bytes, int], pattern: str):
         self.transducer = Transducer(ranks)
-        self.split = regex.compile(pattern)
+        self.split, self.plain_split = regex.compile(pattern), plain_pattern(pattern)
         self.known: dict[str, list[int]] = {}
+        self.earlier: dict[str, list[int]] = {}  # the previous generation of known pieces
 
     def encode(self, text: str) -> list[int]:
         known, transducer = self.known, self.transducer
         ids: list[int] = []
-        for match in self.split.finditer(text) if len(text) > 1 << 20 else self.split.findall(text):
-            piece = match if isinstance(match, str) else match.group()
+        split = self.plain_split if self.plain_split and not SPECIAL.search(text) else self.split
+        pieces = split.findall(text) if len(text) < 1 << 20 else (m.group() for m in split.finditer(text))
+        for piece in pieces:
             found = known.get(piece)
             if found is None:
-                found = transducer.encode(piece.encode("utf-8", "replace"))
+                found = self.earlier.get(piece)
+                if found is None:
+                    found = transducer.encode(piece.encode("utf-8", "replace"))
                 if len(piece) <= MAX_PIECE_CHARS:  # short pieces repeat
                     if len(known) >= MAX_PIECES:
-                        known.clear()
+                        self.earlier, self.known = known, {}
+                        known = self.known
                     known[piece] = found
             ids += found
         return ids
 
-    def decode_stream(self, ids: Iterable[int]) -> Iterator[str]:
-        ids = list(ids)
+    def decode_stream(self, ids: list[int]) -> Iterator[str]:
         token = self.transducer.token_bytes.__getitem__
         stream = Utf8Stream()
         for at in range(0, len(ids), DECODE_CHUNK):
             yield stream.feed(b"".join(map(token, ids[at:at + DECODE_CHUNK])))
         yield stream.finish()
 
-    def decode(self, ids: Iterable[int]) -> str:
+    def decode(self, ids: list[int]) -> str:
         return "".join(self.decode_stream(ids))
 
 
