@@ -7,10 +7,11 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..session import configure
-from . import bpe
+from . import bpe, pii
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -28,8 +29,11 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+DECIMAL = [str(i) for i in range(1 << 16)]  # ids of the vocabulary as text
+
+
 def token_digest(ids: list[int], decoded: str) -> tuple[int, str, str]:
-    return (len(ids), hashlib.sha256(" ".join(map(str, ids)).encode()).hexdigest(),
+    return (len(ids), hashlib.sha256(" ".join(map(DECIMAL.__getitem__, ids)).encode()).hexdigest(),
             hashlib.sha256(decoded.encode()).hexdigest())
 
 
@@ -41,3 +45,16 @@ TOKEN_DIGEST = T.StructType([T.StructField("n_tokens", T.LongType()), T.StructFi
 def op3_byte_bpe(spark, folder):
     docs = table(spark, folder, "documents").select("doc_id", "text")
     return bpe.round_trip(docs, RANKS, PATTERN, token_digest, TOKEN_DIGEST)
+
+
+@query
+def op10_pii(spark, folder):
+    found = pii.with_spans(table(spark, folder, "documents").select("doc_id", "text"), spans="found").drop("text")
+    base = F.filter("found", lambda s: s.base)
+
+    def count(kind):
+        return F.size(F.filter(base, lambda s: s.kind == kind)).cast("long").alias(f"n_{kind}")
+
+    counts = map(count, pii.KINDS)
+    return found.select("doc_id", *counts, F.sha2(pii.spelled_out(base), 256).alias("base_sha256"),
+                        pii.spelled_out(F.col("found")).alias("spans"))
