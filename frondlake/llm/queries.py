@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..session import configure
-from . import bpe, pii
+from . import bpe, licenses, pii
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -58,3 +58,12 @@ def op10_pii(spark, folder):
     counts = map(count, pii.KINDS)
     return found.select("doc_id", *counts, F.sha2(pii.spelled_out(base), 256).alias("base_sha256"),
                         pii.spelled_out(F.col("found")).alias("spans"))
+
+
+@query
+def op4_license_scan(spark, folder):
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    return licenses.scan(docs).select("doc_id", *licenses.RESULT)
+
+
+ORACLE["op4_license_scan"] = licenses.sql()
