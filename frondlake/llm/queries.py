@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..session import configure
-from . import bpe, licenses, pii
+from . import bpe, licenses, pii, quality
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -67,3 +67,12 @@ def op4_license_scan(spark, folder):
 
 
 ORACLE["op4_license_scan"] = licenses.sql()
+
+
+@query
+def op8_quality_rules(spark, folder):
+    docs = table(spark, folder, "documents").select("doc_id", "text", "lang", "source")
+    return quality.rules(docs).select("doc_id", *quality.DIGEST)
+
+
+ORACLE["op8_quality_rules"] = quality.sql()
