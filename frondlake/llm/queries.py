@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..session import configure
-from . import bpe, licenses, pii, quality
+from . import bpe, licenses, mixing, pii, quality, sharding
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -76,3 +76,21 @@ def op8_quality_rules(spark, folder):
 
 
 ORACLE["op8_quality_rules"] = quality.sql()
+
+
+@query
+def op2_shards(spark, folder):
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    crc = F.crc32(F.encode(F.coalesce("text", F.lit("")), "UTF-8")).alias("text_crc32")
+    return sharding.assign(docs, shards=8, extra=[crc]).select(
+        "doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot",
+        F.lit(None).cast("int").alias("grown_shard"))
+
+
+@query
+def op6_source_mix(spark, folder):
+    docs = table(spark, folder, "documents").select("doc_id", "text", "source")
+    return mixing.mix(docs).select("doc_id", "source", mixing.tokens("text").alias("n_tokens"), "mix_pass")
+
+
+ORACLE["op6_source_mix"] = mixing.sql()
