@@ -27,6 +27,7 @@ the name of a result. An empty table gives an empty table.
 from __future__ import annotations
 
 import string
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -54,12 +55,20 @@ BITS = 6
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_capitals")
 
 
+def bind(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with the value computed once, also where ``use`` refers to it inside a lambda."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def repeated_words(words: Column) -> Column:
     """Words inside windows of ``WINDOW`` words that occur twice or more in the text."""
     last = F.size(words) - WINDOW + 1
-    keys = F.transform(words, lambda w: F.xxhash64(w))
-    windows = F.transform(F.sequence(F.lit(1), F.greatest(last, F.lit(1))), lambda i: F.xxhash64(F.slice(keys, i, WINDOW)))
-    ordered = F.array_sort(F.transform(windows, lambda h, i: F.struct(h.alias("h"), i.alias("i"))))
+
+    def windows(keys: Column) -> Column:
+        return F.transform(F.sequence(F.lit(1), last), lambda i: F.xxhash64(F.slice(keys, i, WINDOW)))
+
+    def ordered(hashes: Column) -> Column:
+        return F.array_sort(F.transform(hashes, lambda h, i: F.struct(h.alias("h"), i.alias("i"))))
 
     def starts(s: Column) -> Column:
         """Places whose window has an equal neighbour in the order of the windows."""
@@ -78,13 +87,12 @@ def repeated_words(words: Column) -> Column:
                                   (p + WINDOW).alias("end")))
         return state.n
 
-    def count(s: Column) -> Column:
-        return covered(starts(s))
+    def count(hashes: Column) -> Column:
+        some = F.size(F.array_distinct(hashes)) < F.size(hashes)
+        return F.when(some, bind(ordered(hashes), lambda s: covered(starts(s)))).otherwise(0)
 
-    # One-element arrays bind a value to a name, so that it is computed once.
-    bound = F.transform(F.array(ordered), count)
-    some = F.size(F.array_distinct(windows)) < last
-    return F.when(last < 2, 0).when(some, F.get(bound, F.lit(0))).otherwise(0).cast("long")
+    keys = F.transform(words, lambda w: F.xxhash64(w))
+    return F.when(last < 2, 0).otherwise(bind(keys, lambda k: bind(windows(k), count))).cast("long")
 
 
 def measure(docs: DataFrame, text: str = "text") -> DataFrame:
