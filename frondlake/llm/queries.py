@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..session import configure
-from . import bpe, licenses, mixing, near_dedup, pii, quality, sharding
+from . import bpe, licenses, mixing, near_dedup, order_minhash, pii, quality, sharding
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -100,3 +100,8 @@ ORACLE["op6_source_mix"] = mixing.sql()
 def op7_near_duplicates(spark, folder):
     found = near_dedup.classes(table(spark, folder, "documents").select("doc_id", "text"))
     return found.select(F.col("key").alias("doc_id"), "class_id", F.col("key").eqNullSafe(F.col("class_id")).alias("kept"))
+
+
+@query
+def op5_order_minhash(spark, folder):
+    return order_minhash.fingerprint_edits(table(spark, folder, "documents"))
