@@ -12,8 +12,9 @@ Realising a weight: a source with budget ``q`` and ``t`` tokens gets ``floor(q /
 whole passes and, of one more, the leading blocks of a seeded permutation of its
 blocks as long as they fit the rest. Documents belong to a block by a digest of
 their key. A source is described by its number of passes and the position of
-its last block, so documents meet one row per source: a broadcast if that table
-is small, else a join that Spark can split for a hot source.
+its last block, so documents meet one row per source: a broadcast if these are
+counted to be at most ``BROADCAST_SOURCES``, else a join that Spark can split for a
+hot source.
 
 Rows: null text has no tokens; a null source is a source of its own; a source
 without tokens has weight 0 and is passed once. Repeated rows count and are
@@ -36,6 +37,7 @@ STEPS = 14
 STEPS_A_PASS = 7
 BLOCK_DIGITS = 3
 SEED = "mix"
+BROADCAST_SOURCES = 100_000
 
 
 def tokens(text: str) -> Column:
@@ -115,6 +117,8 @@ def mix(docs: DataFrame, max_repeats: float = MAX_REPEATS, entropy: float | None
     alpha = exponent(sources, max_repeats, entropy, budget)
     taken = passes(measured, sources, alpha, budget, seed).select(
         F.col("source").alias("_source"), F.col("whole").alias("_whole"), F.col("last").alias("_last"))
+    if sources.count() <= BROADCAST_SOURCES:  # a hundred bytes each; beyond it Spark joins and splits hot sources
+        taken = F.broadcast(taken)
     kept = [c for c in docs.columns if c != "mix_pass"]
     joined = docs.select(*kept, position(F.col(source), block(key), seed).alias("_at")).join(
         taken, F.col(source).eqNullSafe(F.col("_source")), "left")

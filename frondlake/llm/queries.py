@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..session import configure
-from . import bpe, licenses, mixing, near_dedup, order_minhash, pii, quality, sharding
+from . import bpe, langid, licenses, mixing, near_dedup, order_minhash, pii, quality, sharding
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -105,3 +105,11 @@ def op7_near_duplicates(spark, folder):
 @query
 def op5_order_minhash(spark, folder):
     return order_minhash.fingerprint_edits(table(spark, folder, "documents"))
+
+
+@query
+def op1_language_id(spark, folder):
+    docs = table(spark, folder, "documents").select("doc_id", "text", "lang")
+    known = docs.withColumn("held_out", langid.held_out(F.col("doc_id")))
+    model = langid.fit(known.where(~F.col("held_out")))
+    return langid.predict(known.select("doc_id", "held_out", "text"), model).drop("text")
