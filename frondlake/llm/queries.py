@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..session import configure
-from . import bpe, langid, licenses, mixing, near_dedup, order_minhash, pii, quality, sharding
+from . import bpe, html_text, langid, licenses, mixing, near_dedup, order_minhash, pii, quality, sharding
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -113,3 +113,9 @@ def op1_language_id(spark, folder):
     known = docs.withColumn("held_out", langid.held_out(F.col("doc_id")))
     model = langid.fit(known.where(~F.col("held_out")))
     return langid.predict(known.select("doc_id", "held_out", "text"), model).drop("text")
+
+
+@query
+def op9_html_text(spark, folder):
+    pages = html_text.extract(table(spark, folder, "pages").select("page_id", "url", "html"))
+    return pages.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
