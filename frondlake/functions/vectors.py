@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -38,13 +38,29 @@ def hamming_distance(left: Column, right: Column) -> Column:
     return F.bit_count(left.bitwiseXOR(right))
 
 
+def bind(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with the value computed once per row.
+
+    A column named inside a lambda is evaluated anew for every element; a lambda
+    variable is not.
+    """
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
+def _powers(logits: Column, top: Column) -> Column:
+    return F.transform(logits, lambda x: F.exp(x.cast("double") - top))
+
+
+def _total(values: Column) -> Column:
+    return F.aggregate(values, F.lit(0.0), lambda a, x: a + x)
+
+
 def softmax(logits: Column) -> Column:
     """Probabilities of a logit array; the maximum is subtracted before ``exp``."""
-    powers = F.transform(
-        F.transform(logits, lambda x: x.cast("double")), lambda x: F.exp(x - F.array_max(logits))
-    )
-    total = F.aggregate(powers, F.lit(0.0), lambda a, x: a + x)
-    return F.transform(powers, lambda x: x / total)
+    def shares(powers: Column) -> Column:
+        return bind(_total(powers), lambda total: F.transform(powers, lambda x: x / total))
+
+    return bind(F.array_max(logits), lambda top: bind(_powers(logits, top), shares))
 
 
 def argmax(values: Column) -> Column:
@@ -92,19 +108,15 @@ def smoothed_cross_entropy(logits: Column, target: Column, weights: Column,
     ``weights`` is an array by class index. The mean of a batch is the sum of
     this value over the sum of the rows' ``weights[target]``.
     """
-    classes = F.size(logits)
-    top = F.array_max(logits).cast("double")
-    log_total = top + F.ln(
-        F.aggregate(
-            F.transform(logits, lambda x: F.exp(x.cast("double") - top)),
-            F.lit(0.0), lambda a, x: a + x,
+    def combined(losses: Column) -> Column:
+        weighted = _total(F.zip_with(losses, weights, lambda loss, w: loss * w))
+        return (
+            (1.0 - smoothing) * F.get(losses, target) * F.get(weights, target)
+            + smoothing / F.size(losses) * weighted
         )
-    )
-    losses = F.transform(logits, lambda x: log_total - x.cast("double"))
-    weighted = F.aggregate(
-        F.zip_with(losses, weights, lambda loss, w: loss * w), F.lit(0.0), lambda a, x: a + x
-    )
-    return (
-        (1.0 - smoothing) * F.get(losses, target) * F.get(weights, target)
-        + smoothing / classes * weighted
-    )
+
+    def losses(log_total: Column) -> Column:
+        return F.transform(logits, lambda x: log_total - x.cast("double"))
+
+    return bind(F.array_max(logits).cast("double"), lambda top: bind(
+        top + F.ln(_total(_powers(logits, top))), lambda log_total: bind(losses(log_total), combined)))

@@ -24,7 +24,14 @@ def confusion_counts(rows: DataFrame, target: str = "target", predicted: str = "
 
 
 def confusion_matrix(counts: DataFrame, catalog: DataFrame) -> DataFrame:
-    """Long matrix over all catalog classes with zero cells kept."""
+    """Long matrix over all catalog classes with zero cells kept.
+
+    Counts of a class outside the catalog are an error when evaluated.
+    """
+    lowest, highest = catalog.agg(F.min("index")).scalar(), catalog.agg(F.max("index")).scalar()
+    inside = F.col("target").between(lowest, highest) & F.col("predicted").between(lowest, highest)
+    counts = counts.withColumn("images", F.when(F.coalesce(inside, F.lit(False)), F.col("images")).otherwise(
+        F.raise_error(F.lit("a counted class is not in the catalog"))))
     listed = catalog.select("index", F.collect_list("index").over(_all()).alias("_every"))
     grid = listed.select(F.col("index").alias("target"), F.explode("_every").alias("predicted"))
     return grid.join(counts, ["target", "predicted"], "left").select(
@@ -131,12 +138,18 @@ def prediction_detail(samples: DataFrame, predictions: DataFrame, catalog: DataF
     and ``confidence``. :func:`named_predictions` needs no join when one table
     holds both.
     """
-    paired = samples.select(key, "target").join(predictions.select(key, "predicted", "confidence"), key)
+    found = predictions.select(key, "predicted", "confidence", F.lit(True).alias("_found"))
+    lonely = F.concat(F.lit("sample without a prediction: "), F.coalesce(F.col(key).cast("string"), F.lit("NULL")))
+    paired = samples.select(key, "target").join(found, key, "left").withColumn(
+        "predicted", F.when(F.col("_found").isNull(), F.raise_error(lonely)).otherwise(F.col("predicted")))
     return named_predictions(paired, catalog, key)
 
 
 def named_predictions(rows: DataFrame, catalog: DataFrame, key: str = "image") -> DataFrame:
-    """Class ids and names of rows ``(key, target, predicted, confidence)``."""
+    """Class ids and names of rows ``(key, target, predicted, confidence)``.
+
+    A class outside the catalog is an error when evaluated; no row is lost.
+    """
     names = catalog.select("index", F.col("id"), "display_name")
     actual = names.select(F.col("index").alias("target"), F.col("id").alias("actual_class_id"),
                           F.col("display_name").alias("actual_name"))
@@ -144,13 +157,19 @@ def named_predictions(rows: DataFrame, catalog: DataFrame, key: str = "image") -
                            F.col("display_name").alias("predicted_name"))
     return (
         rows.select(key, F.col("target").cast("int").alias("target"), "predicted", "confidence")
-        .join(actual, "target").join(guessed, "predicted")
-        .select(key, "actual_class_id", "actual_name", "predicted_class_id", "predicted_name",
+        .join(actual, "target", "left").join(guessed, "predicted", "left")
+        .select(key, _known("actual_class_id", "target"), "actual_name",
+                _known("predicted_class_id", "predicted"), "predicted_name",
                 text.rounded(F.col("confidence"), 7).alias("confidence"),
                 (F.col("target") == F.col("predicted")).alias("correct"))
     )
 
 
+def _known(found: str, index: str) -> Column:
+    message = F.concat(F.lit("no class with index "), F.coalesce(F.col(index).cast("string"), F.lit("NULL")))
+    return F.when(F.col(found).isNull(), F.raise_error(message)).otherwise(F.col(found)).alias(found)
+
+
 def batch_losses(rows: DataFrame, weights: DataFrame, *, logits_col: str = "logits",
                  target: str = "target", batch_col: str = "batch",
                  smoothing: float = C.LABEL_SMOOTHING) -> DataFrame:

@@ -133,7 +133,7 @@ def manifest_violations(manifest: DataFrame, catalog: DataFrame, files: DataFram
         "bad_number": bad_number,
         "unknown_class": unknown,
         "class_mismatch": ~bad_number & ~unknown & differs,
-        "bad_extension": ~text.file_extension(F.col(path_col)).isin(*C.IMAGE_EXTENSIONS),
+        "bad_extension": ~F.coalesce(text.file_extension(F.col(path_col)).isin(*C.IMAGE_EXTENSIONS), F.lit(False)),
     }
     found = joined.select(
         F.explode(F.array_compact(F.array(*[

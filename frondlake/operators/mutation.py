@@ -125,7 +125,8 @@ def delete_class(catalog: DataFrame, manifest: DataFrame, class_id: int, *,
                  position_col: str = "position", archive: str = "archive") -> Change:
     """Remove a class, renumber the others in catalog order and refresh the manifest.
 
-    Deleting the only class or an unknown id is an error when evaluated.
+    Deleting the only class, an unknown id, or a manifest row of a class that the
+    catalog doesn't have is an error when evaluated: only the rows of the deleted class go.
     ``moves`` archives the removed class's files.
     """
     order = position_col if position_col in catalog.columns else "index"
@@ -148,14 +149,16 @@ def delete_class(catalog: DataFrame, manifest: DataFrame, class_id: int, *,
         F.col("disease").alias("_disease"),
     )
     types = manifest.schema
+    stray = F.concat(F.lit("manifest row of an unknown class: "), F.coalesce(F.col("class_id").cast("string"), F.lit("NULL")))
+    new_id = F.when(F.col("_old").isNull(), F.raise_error(stray)).otherwise(F.col("_id"))
     replaced = {
-        "class_id": F.col("_id").cast(types["class_id"].dataType),
+        "class_id": new_id.cast(types["class_id"].dataType),
         "class_index": F.col("_index").cast(types["class_index"].dataType),
         "class_key": F.col("_key"), "display_name": F.col("_display_name"),
         "crop": F.col("_crop"), "disease": F.col("_disease"),
     }
-    # The inner join drops the deleted class's rows.
-    rewritten = manifest.join(remap, F.col("class_id").cast("bigint") == F.col("_old")).select(*[
+    others = manifest.where(~F.col("class_id").cast("bigint").eqNullSafe(F.lit(class_id)))
+    rewritten = others.join(remap, F.col("class_id").cast("bigint") == F.col("_old"), "left").select(*[
         replaced[c].alias(c) if c in replaced else F.col(c) for c in manifest.columns
     ])
     gone = manifest.where(F.col("class_id").cast("bigint") == class_id)

@@ -38,7 +38,10 @@ def predicted_class(rows: DataFrame, logits_col: str = "logits") -> DataFrame:
 
 def rank_predictions(rows: DataFrame, catalog: DataFrame, *, id_col: str = "image",
                      logits_col: str = "logits", top_k: int = C.TOP_K) -> DataFrame:
-    """One row per image and rank with the class's attributes. No shuffle of the images."""
+    """One row per image and rank with the class's attributes. No shuffle of the images.
+
+    A ranked class outside the catalog (more logits than classes) is an error when evaluated.
+    """
     ranked = rows.select(
         id_col, F.explode(vectors.top_k(vectors.softmax(F.col(logits_col)), top_k)).alias("p")
     ).select(id_col, "p.*")
@@ -46,8 +49,10 @@ def rank_predictions(rows: DataFrame, catalog: DataFrame, *, id_col: str = "imag
         F.col("id").alias("class_id"), F.col("index").alias("class_index"),
         F.col("key").alias("class_key"), "display_name", "crop", "disease",
     )
-    return ranked.join(classes, "class_index").select(
-        id_col, "rank", "class_id", "class_index", "class_key", "display_name", "crop", "disease",
+    unknown = F.concat(F.lit("no class with index "), F.col("class_index").cast("string"))
+    class_id = F.when(F.col("class_id").isNull(), F.raise_error(unknown)).otherwise(F.col("class_id"))
+    return ranked.join(classes, "class_index", "left").select(
+        id_col, "rank", class_id.alias("class_id"), "class_index", "class_key", "display_name", "crop", "disease",
         "confidence", (F.col("confidence") * 100).alias("confidence_percent"),
     )
 

@@ -93,9 +93,11 @@ def fit_linear_head(samples: DataFrame, weights: DataFrame, *, features_col: str
     """
     from pyspark.ml.classification import LogisticRegression
 
-    prepared = linear_head_input(samples, features_col).join(
-        weights.select(F.col("class_index").alias(label_col), F.col("weight").alias("_weight")), label_col
-    ).withColumn("_label", F.col(label_col).cast("double"))
+    vector = weights.agg(F.map_from_entries(F.collect_list(F.struct(F.col("class_index").cast("int"), "weight")))).scalar()
+    missing = F.concat(F.lit("no weight for class "), F.coalesce(F.col(label_col).cast("string"), F.lit("NULL")))
+    prepared = linear_head_input(samples, features_col).withColumn("_w", vector).withColumn(
+        "_weight", F.coalesce(F.try_element_at("_w", F.col(label_col).cast("int")), F.raise_error(missing).cast("double"))
+    ).drop("_w").withColumn("_label", F.col(label_col).cast("double"))
     return LogisticRegression(
         featuresCol="_features", labelCol="_label", weightCol="_weight", family="multinomial",
         maxIter=max_iter, regParam=regularization,

@@ -138,10 +138,14 @@ SELECT count(DISTINCT {key}) AS unique_hashes,
 FROM {source}"""
 
 
-SCORED = """
+# Ten logits a vector: the sums of every tenth value.
+ALL_LOGITS = "[" + ", ".join(
+    " + ".join(f"embedding[{i + 1}]::DOUBLE" for i in range(k, 64, 10)) for k in range(10)) + "]"
+
+SCORED = f"""
 logits AS (
   SELECT vec_id AS image, label AS target, unnest(range(10)) AS index,
-         CAST(unnest(embedding[1:10]) AS DOUBLE) AS logit FROM embeddings),
+         unnest({ALL_LOGITS}) AS logit FROM embeddings),
 shifted AS (SELECT *, exp(logit - max(logit) OVER (PARTITION BY image)) AS e FROM logits),
 probabilities AS (
   SELECT *, e / sum(e) OVER (PARTITION BY image) AS p,
@@ -167,13 +171,13 @@ rates AS (
          CASE WHEN support > 0 THEN hits / support ELSE 0 END AS recall,
          CASE WHEN guesses + support > 0 THEN 2 * hits / (guesses + support) ELSE 0 END AS f1 FROM scores)"""
 
-LOSSES = """
+LOSSES = f"""
 weights AS (
   SELECT label AS index, CAST(printf('%.4f', sum(count(*)) OVER () / (count(*) OVER () * count(*))) AS DOUBLE) AS w
   FROM embeddings GROUP BY label),
 logits AS (
   SELECT vec_id AS image, vec_id // 64 AS batch, label AS target, unnest(range(10)) AS index,
-         CAST(unnest(embedding[1:10]) AS DOUBLE) AS logit FROM embeddings),
+         unnest({ALL_LOGITS}) AS logit FROM embeddings),
 terms AS (
   SELECT image, batch, target, index, logit,
          ln(sum(exp(logit)) OVER (PARTITION BY image)) - logit AS nll,

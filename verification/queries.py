@@ -21,6 +21,7 @@ from frondlake.sources.catalog import label_lines
 from frondlake.sources.guidance import guidance_records
 from frondlake.sources.history import with_partitions
 from frondlake.streaming import stats, uploads
+from frondlake.streaming.tables import table_stream
 
 from . import views as V
 
@@ -592,7 +593,7 @@ def exact_percentiles(spark, folder):
 
 def _stream(spark: SparkSession, folder: str, name: str) -> DataFrame:
     schema = V.table(spark, folder, name).schema
-    return spark.readStream.schema(schema).option("pathGlobFilter", f"{name}.parquet").parquet(folder)
+    return table_stream(spark, f"{folder}/{name}.parquet", schema)
 
 
 def _scratch(spark: SparkSession) -> str:
