@@ -133,16 +133,18 @@ def _range(borders: list[int], first: int = 0) -> Column:
         _range(borders[half + 1:], first + half + 1))
 
 
-def with_next(docs: DataFrame, columns: list[str], key: str = "doc_id", tie: str = "text") -> DataFrame:
+def with_next(docs: DataFrame, columns: list[str], key: str = "doc_id", tie: str = "text",
+              keys: DataFrame | None = None) -> DataFrame:
     """Add ``next_<column>`` of the following row by ascending key (null first; ties by ``tie``).
 
     The last row is followed by the first. Ranges of keys are as many as
-    ``spark.sql.shuffle.partitions``; rows move once.
+    ``spark.sql.shuffle.partitions``; rows move once. ``keys`` may name a frame with the same
+    keys that costs less to read than ``docs``.
     """
     spark = docs.sparkSession
     rows = docs.withColumn("k", F.col(key).cast("long"))
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    keys = docs.select(F.col(key).cast("long").alias("k"))
+    keys = (docs if keys is None else keys).select(F.col(key).cast("long").alias("k"))
     shares = [i / parts for i in range(1, parts)] or [0.5]
     quantiles = keys.agg(F.percentile_approx("k", shares, 10 * parts)).first()[0] or []
     place = F.coalesce(_range(sorted({int(q) for q in quantiles})), F.lit(0))
@@ -169,8 +171,14 @@ def edited(text: Column, following: Column) -> Column:
 def fingerprint_edits(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
     """Per row: key, n_chars, edited_sha256, both fingerprints, near_edited, near_next."""
     rows = docs.select(key, F.coalesce(F.col(text), F.lit("")).alias("text"))
-    paired = with_next(fingerprints(rows), ["text", "fingerprint"], key)
-    changed = paired.select(key, F.length("text").cast("long").alias("n_chars"), "fingerprint", "next_fingerprint",
+    short = fingerprints(rows).withColumn("fingerprint", F.unhex("fingerprint"))  # half the bytes on the way
+    paired = with_next(short, ["text", "fingerprint"], key, keys=docs)
+
+    def hexadecimal(column: str) -> Column:
+        return F.lower(F.hex(column)).alias(column)
+
+    changed = paired.select(key, F.length("text").cast("long").alias("n_chars"), hexadecimal("fingerprint"),
+                            hexadecimal("next_fingerprint"),
                             edited(F.col("text"), F.col("next_text")).alias("edited"))
     hashed = fingerprints(changed.withColumn("edited_sha256", F.sha2("edited", 256)), "edited", "edited_fingerprint")
     return hashed.select(
