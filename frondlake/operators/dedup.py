@@ -20,9 +20,6 @@ from .rows import join_group_rows, merge_single_rows
 
 _ORDER = ("class_id", "relative_path")
 
-# How many of the most shared part values near_duplicates() treats as hot.
-HOT_VALUES = 100_000
-
 
 def _usable(records: DataFrame, key: str) -> DataFrame:
     usable = records.where(F.col(key).isNotNull())
@@ -162,7 +159,7 @@ def _first_part(difference: Column, part: Column, groups: Sequence[Sequence[int]
 
 def near_duplicates(records: DataFrame, *, hash_col: str = "dhash", class_col: str = "class_id",
                     id_col: str = "relative_path", bits: int = 64,
-                    max_distance: int = C.HAMMING_LIMIT, max_class_size: int | None = None,
+                    max_distance: int = C.HAMMING_LIMIT,
                     hot_value_rows: int | None = 200) -> DataFrame:
     """Pairs of one class whose hashes differ in at most ``max_distance`` bits.
 
@@ -177,17 +174,11 @@ def near_duplicates(records: DataFrame, *, hash_col: str = "dhash", class_col: s
     * Part values shared by more than ``hot_value_rows`` rows (flat images) leave
       that join. Their rows meet the rows of every value within two bits by
       probing the remaining bits in the same way. Hashes are distinct here, so
-      the remaining bits really divide them.
-
-    ``max_class_size`` leaves out classes with more remaining records than that
-    (see :func:`oversized_classes`); by default none is left out.
+      the remaining bits really divide them. Their number has no limit.
     """
     if not 0 <= max_distance <= bits <= 64:
         raise ValueError("0 <= max_distance <= bits <= 64 is required")
     single = _single_hashes(records, hash_col, class_col, id_col)
-    if max_class_size is not None:
-        skipped = _oversized(single, max_class_size)
-        single = single.join(skipped, "class_id", "left_anti")
 
     every = list(range(bits))
     parts = min(max_distance // 3 + 1, bits)
@@ -209,14 +200,12 @@ def near_duplicates(records: DataFrame, *, hash_col: str = "dhash", class_col: s
     # With one part a value is a whole hash, and those are distinct.
     refine = hot_value_rows is not None and parts > 1
     if refine:
-        # At most HOT_VALUES rows of three numbers, hence safe to broadcast.
         hot = (
             placed.groupBy("class_id", "part", "value").agg(F.count(F.lit(1)).alias("_n"))
             .where(F.col("_n") > hot_value_rows)
-            .orderBy(F.desc("_n"), "class_id", "part", "value").limit(HOT_VALUES)
             .select("class_id", "part", "value", F.lit(True).alias("hot"))
         )
-        placed = placed.join(F.broadcast(hot), ["class_id", "part", "value"], "left").withColumn(
+        placed = placed.join(hot, ["class_id", "part", "value"], "left").withColumn(
             "hot", F.coalesce("hot", F.lit(False)))
         cold = placed.where(~F.col("hot"))
     else:
@@ -271,12 +260,6 @@ def near_duplicates(records: DataFrame, *, hash_col: str = "dhash", class_col: s
     )
 
 
-def oversized_classes(records: DataFrame, max_class_size: int, *, hash_col: str = "dhash",
-                      class_col: str = "class_id", id_col: str = "relative_path") -> DataFrame:
-    """Classes that :func:`near_duplicates` leaves out under ``max_class_size``."""
-    return _oversized(_single_hashes(records, hash_col, class_col, id_col), max_class_size)
-
-
 def _single_hashes(records: DataFrame, hash_col: str, class_col: str, id_col: str) -> DataFrame:
     return (
         _usable(records, hash_col)
@@ -286,13 +269,6 @@ def _single_hashes(records: DataFrame, hash_col: str, class_col: str, id_col: st
     )
 
 
-def _oversized(single: DataFrame, limit: int) -> DataFrame:
-    return (
-        single.groupBy("class_id").agg(F.count(F.lit(1)).alias("_n"))
-        .where(F.col("_n") > limit).select("class_id")
-    )
-
-
 def duplicate_report(records: DataFrame, *, exact_key: str = "sha256", visual_key: str = "dhash",
                      class_col: str = "class_id") -> DataFrame:
     """Exact and visual summaries as one row with ``exact_`` and ``visual_`` prefixes."""

@@ -242,24 +242,6 @@ def inspect_contents(rows: DataFrame, decode: Callable[[bytes], tuple[str, str,
     return _finish(flat.withColumn("dhash", F.when(F.col("valid"), hashed)), catalog)
 
 
-def pillow_decoder() -> Callable[[bytes], tuple[str, str, bool, np.ndarray]]:
-    """Decoder for :func:`inspect_contents` where Pillow is installed on the workers."""
-    def decode(content: bytes):
-        import io
-
-        from PIL import Image
-
-        with Image.open(io.BytesIO(content)) as probe:
-            probe.verify()
-        with Image.open(io.BytesIO(content)) as image:
-            gray = image.mode in ("1", "L")
-            array = np.asarray(image.convert("L" if gray else "RGB"))
-            return (image.format or "", image.mode, "transparency" in image.info,
-                    array[:, :, None] if gray else array)
-
-    return decode
-
-
 def read_model_input(spark: SparkSession, root: str, size: int = C.INPUT_SIZE,
                      extensions: Sequence[str] = C.IMAGE_EXTENSIONS) -> DataFrame:
     """``(image, features)``: decoded, resized and standardised images, NULL features when broken."""

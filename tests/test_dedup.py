@@ -67,12 +67,13 @@ def test_distance_limit_is_inclusive(spark):
     assert _pairs(dedup.near_duplicates(df)) == {(1, "a", "c", 5), (1, "b", "c", 1)}
 
 
-def test_class_size_option_reports_what_it_leaves_out(spark):
-    rows = [(1, f"a{i}", i) for i in range(4)] + [(2, "x", 64), (2, "y", 65)]
+def test_more_hot_values_than_any_constant(spark):
+    """Every part value is hot: the join must find the pairs all the same."""
+    rows = [(c, f"{c}-{i:04d}", (c << 40) ^ i) for c in range(6) for i in range(60)]
     df = spark.createDataFrame(rows, "class_id int, relative_path string, dhash bigint")
-    assert _pairs(dedup.near_duplicates(df, max_class_size=3)) == {(2, "x", "y", 1)}
-    assert [r[0] for r in dedup.oversized_classes(df, 3).collect()] == [1]
-    assert len(_pairs(dedup.near_duplicates(df))) == 7
+    plain = {(c, a, b, (x ^ y).bit_count()) for c, a, x in rows for d, b, y in rows
+             if c == d and a < b and (x ^ y).bit_count() <= 5 and x != y}
+    assert plain and _pairs(dedup.near_duplicates(df, hot_value_rows=1)) == plain
 
 
 @pytest.fixture(scope="module")

@@ -124,7 +124,7 @@ Tomato Yellow Leaf Curl Virus
 
 
 def test_every_label_has_guidance(spark):
-    keys = [line.split(" | ")[0] for line in FACTS.strip().splitlines()]
+    keys = [fact[0] for fact in FACTS]
     keys += [f"{crop}__healthy" for crop in ("corn", "lemon", "pepper", "tomato")]
     frame = spark.createDataFrame([(k,) for k in keys], "class_key string")
     found = guidance.guidance_for_keys(frame, guidance_records(spark)).collect()
@@ -132,6 +132,7 @@ def test_every_label_has_guidance(spark):
     healthy = next(r for r in found if r["class_key"] == "pepper__healthy")
     assert healthy["management_label"] == "Care Steps" and healthy["cure_points"] and healthy["prevention_points"]
     assert all(len(r["sources"]) == 7 and r["disclaimer"] for r in found)
+    assert all(r[s] and all(r[s]) for r in found for s in ("cause_factors", "cure_points", "prevention_points"))
     assert [r["class_key"] for r in found if r["note"] and r["classification"] != "Healthy"] == ["lemon__curl_virus"]
 
 
@@ -154,4 +155,4 @@ def test_guidance_points_come_from_rows(spark):
     assert len(rows) == 21
     assert rows["corn__common_rust"]["cure_points"] == ["first", "second"]
     assert rows["corn__common_rust"]["cause_factors"] == ["cause"]
-    assert rows["lemon__dry_leaf"]["cure_points"] == []
+    assert rows["lemon__dry_leaf"]["cure_points"]

@@ -528,13 +528,16 @@ SELECT hex(encode(props)) AS image, 'image/jpeg' AS content_type FROM history WH
 SELECT class_key, display_name, count(*) AS occurrence_count FROM history WHERE NOT healthy
 GROUP BY ALL ORDER BY occurrence_count DESC, display_name LIMIT 1""",
     "guidance_lookup": f"""WITH {HISTORY},
-guidance(class_key, display_name, classification, agent, management_label) AS (VALUES
-  ('corn__common_rust', 'Corn Common Rust', 'Fungal disease', 'Puccinia sorghi', 'Treatment Steps'),
-  ('tomato__late_blight', 'Tomato Late Blight', 'Oomycete disease', 'Phytophthora infestans', 'Treatment Steps'),
+guidance(class_key, display_name, classification, agent, management_label, n_cause_factors, n_cure_points,
+         n_prevention_points) AS (VALUES
+  ('corn__common_rust', 'Corn Common Rust', 'Fungal disease', 'Puccinia sorghi', 'Treatment Steps', 3, 3, 4),
+  ('tomato__late_blight', 'Tomato Late Blight', 'Oomycete disease', 'Phytophthora infestans', 'Treatment Steps', 3, 3, 4),
   ('lemon__curl_virus', 'Lemon Curl Virus', 'Possible viral disease or pest damage', 'Requires local confirmation',
-   'Confirmation & Control Steps'),
-  ('corn__healthy', 'Corn Healthy', 'Healthy', 'No disease agent detected', 'Care Steps'))
-SELECT h.id, h.class_key, g.display_name, g.classification, g.agent, g.management_label
+   'Confirmation & Control Steps', 3, 3, 4),
+  ('corn__healthy', 'Corn Healthy', 'Healthy', 'No disease agent detected', 'Care Steps', 1, 2, 3))
+SELECT h.id, h.class_key, g.display_name, g.classification, g.agent, g.management_label,
+       n_cause_factors::BIGINT AS n_cause_factors, n_cure_points::BIGINT AS n_cure_points,
+       n_prevention_points::BIGINT AS n_prevention_points
 FROM history h JOIN guidance g USING (class_key)""",
     "best_epoch": f"""WITH {EPOCHS},
 ran AS (SELECT * FROM counted WHERE epoch <= coalesce((SELECT min(epoch) FROM counted WHERE stale >= 6), 1000000))

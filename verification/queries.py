@@ -552,7 +552,8 @@ def most_common_disease(spark, folder):
 def guidance_lookup(spark, folder):
     found = guidance.with_guidance(
         V.history(spark, folder).select("id", "class_key"), guidance_records(spark))
-    return found.select("id", "class_key", "display_name", "classification", "agent", "management_label")
+    sizes = [long(F.size(c)).alias(f"n_{c}") for c in ("cause_factors", "cure_points", "prevention_points")]
+    return found.select("id", "class_key", "display_name", "classification", "agent", "management_label", *sizes)
 
 
 # -- training ---------------------------------------------------------------
