@@ -112,15 +112,21 @@ ranked AS (
   FROM files)"""
 
 
-def _hash(columns: int, rows: int) -> str:
+# Ten logits a vector: the sums of every tenth value.
+ALL_LOGITS = "[" + ", ".join(
+    " + ".join(f"embedding[{i + 1}]::DOUBLE" for i in range(k, 64, 10)) for k in range(10)) + "]"
+
+
+def _hash(columns: int, rows: int, cells: str = "embedding") -> str:
     per_row = columns - 1
     terms = []
     for b in range(per_row * rows):
         at = b // per_row * columns + b % per_row + 1
         weight = 1 << (per_row * rows - 1 - b)
-        terms.append(f"CASE WHEN embedding[{at}] > embedding[{at + 1}] THEN {weight}::BIGINT ELSE 0 END")
+        terms.append(f"CASE WHEN cells[{at}] > cells[{at + 1}] THEN {weight}::BIGINT ELSE 0 END")
     return f"""
-hashed AS (SELECT vec_id, label, {' + '.join(terms)} AS dhash FROM embeddings),
+hashed AS (SELECT vec_id, label, {' + '.join(terms)} AS dhash
+  FROM (SELECT *, {cells} AS cells FROM embeddings)),
 spread AS (
   SELECT *, count(*) OVER (PARTITION BY dhash) AS files,
          row_number() OVER (PARTITION BY dhash ORDER BY label, vec_id) AS place,
@@ -138,10 +144,6 @@ SELECT count(DISTINCT {key}) AS unique_hashes,
 FROM {source}"""
 
 
-# Ten logits a vector: the sums of every tenth value.
-ALL_LOGITS = "[" + ", ".join(
-    " + ".join(f"embedding[{i + 1}]::DOUBLE" for i in range(k, 64, 10)) for k in range(10)) + "]"
-
 SCORED = f"""
 logits AS (
   SELECT vec_id AS image, label AS target, unnest(range(10)) AS index,
@@ -228,7 +230,7 @@ UPLOADS = """
 uploads AS (
   SELECT doc_id, CASE lang WHEN 'es' THEN 'text/plain' WHEN 'fr' THEN 'image/png' ELSE 'image/jpeg' END AS content_type,
          CAST(octet_length(encode(text)) AS BIGINT) AS file_size,
-         CASE WHEN substr(text, 1, 1) >= 'a' THEN NULL WHEN substr(text, 1, 1) >= 'S' THEN 'GIF' ELSE 'JPEG' END AS format
+         CASE WHEN substr(md5(text), 1, 1) >= 'c' THEN NULL WHEN substr(md5(text), 1, 1) >= '9' THEN 'GIF' ELSE 'JPEG' END AS format
   FROM documents),
 triaged AS (
   SELECT doc_id, content_type, file_size,
@@ -456,10 +458,10 @@ SELECT doc_id, class_id, relative_path, sha256, file_size FROM ranked WHERE plac
     "upload_triage": f"WITH {UPLOADS} SELECT doc_id, content_type, file_size, reject_reason FROM triaged",
     "difference_hash": f"""WITH {_hash(8, 8)}
 SELECT vec_id AS image, dhash, printf('%016x', dhash) AS hash_text FROM hashed""",
-    "visual_duplicates": f"""WITH {_hash(5, 2)}
+    "visual_duplicates": f"""WITH {_hash(5, 2, ALL_LOGITS)}
 SELECT dhash, files, cross_class, label AS keep_class_id, vec_id AS keep_relative_path
 FROM spread WHERE place = 1 AND files > 1""",
-    "visual_duplicate_summary": f"WITH {_hash(5, 2)} {_duplicate_summary('spread', 'dhash')}",
+    "visual_duplicate_summary": f"WITH {_hash(5, 2, ALL_LOGITS)} {_duplicate_summary('spread', 'dhash')}",
     "near_duplicates": f"""WITH {_hash(8, 8)}
 SELECT a.label AS class_id, a.vec_id AS file_a, b.vec_id AS file_b,
        CAST(bit_count(xor(a.dhash, b.dhash)) AS INTEGER) AS hamming_distance

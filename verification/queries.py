@@ -350,9 +350,9 @@ def dedup_keep_first(spark, folder):
     return dedup.keep_first(V.files(spark, folder), "sha256")
 
 
-def _hashed(spark, folder, columns: int = 8, rows: int = 8) -> DataFrame:
+def _hashed(spark, folder, grid: str = "embedding", columns: int = 8, rows: int = 8) -> DataFrame:
     hashed = dedup.with_difference_hash(
-        V.vectors(spark, folder), "embedding", columns=columns, rows_per_grid=rows)
+        V.vectors(spark, folder), grid, columns=columns, rows_per_grid=rows)
     return hashed.select(F.col("target").alias("class_id"), F.col("image").alias("relative_path"), "dhash")
 
 
@@ -364,12 +364,12 @@ def difference_hash(spark, folder):
 
 @query
 def visual_duplicates(spark, folder):
-    return dedup.duplicate_groups(_hashed(spark, folder, columns=5, rows=2), "dhash")
+    return dedup.duplicate_groups(_hashed(spark, folder, "logits", columns=5, rows=2), "dhash")
 
 
 @query
 def visual_duplicate_summary(spark, folder):
-    return dedup.duplicate_summary(_hashed(spark, folder, columns=5, rows=2), "dhash")
+    return dedup.duplicate_summary(_hashed(spark, folder, "logits", columns=5, rows=2), "dhash")
 
 
 @query
@@ -379,11 +379,11 @@ def near_duplicates(spark, folder):
 
 
 def _uploads(documents: DataFrame) -> DataFrame:
-    """Documents as uploads: declared type by language, real format by quality of the text."""
+    """Documents as uploads: declared type by language, real format by a digest of the whole text."""
     declared = F.when(F.col("lang") == "es", "text/plain").when(
         F.col("lang") == "fr", "image/png").otherwise("image/jpeg")
-    first = F.substring("text", 1, 1)
-    decoded = F.when(first >= "a", F.lit(None).cast("string")).when(first >= "S", "GIF").otherwise("JPEG")
+    digit = F.substring(F.md5(F.col("text").cast("binary")), 1, 1)
+    decoded = F.when(digit >= "c", F.lit(None).cast("string")).when(digit >= "9", "GIF").otherwise("JPEG")
     rows = documents.select("doc_id", declared.alias("content_type"), F.col("text").cast("binary")
                             .alias("payload"), decoded.alias("format"))
     return uploads.triage(rows, F.col("format"), max_bytes=UPLOAD_BYTES)
