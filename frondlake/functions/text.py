@@ -21,10 +21,9 @@ def slug(value: Column) -> Column:
 
     Empty text when nothing is left; :func:`checked_slug` makes that an error.
     """
-    pairs = ", ".join(f"struct('{a}' AS old, '{b}' AS new)" for a, b in FOLDED_LETTERS.items())
-    folded = F.aggregate(
-        F.expr(f"array({pairs})"), F.lower(value), lambda made, p: F.replace(made, p["old"], p["new"])
-    )
+    folded = F.lower(value)
+    for letter, letters in FOLDED_LETTERS.items():
+        folded = F.replace(folded, F.lit(letter), F.lit(letters))
     return F.btrim(F.regexp_replace(folded, "[^a-z0-9]+", "_"), F.lit("_"))
 
 

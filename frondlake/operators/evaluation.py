@@ -8,7 +8,6 @@ from pyspark.sql.window import Window, WindowSpec
 
 from .. import constants as C
 from ..functions import text, vectors
-from .rows import merge_single_rows
 
 
 def _all() -> WindowSpec:
@@ -200,8 +199,3 @@ def mean_loss(losses: DataFrame) -> DataFrame:
         _ratio(F.sum("correct"), F.sum("images")).alias("accuracy"),
         F.sum("images").alias("images"),
     )
-
-
-def evaluation_summary(losses: DataFrame, counts: DataFrame) -> DataFrame:
-    """Loss and all metrics of one evaluation pass as a single row."""
-    return merge_single_rows(mean_loss(losses).select("loss"), eval_metrics(counts))

@@ -41,11 +41,6 @@ MANIFEST = _struct(
     "augmentation STRING, relative_path STRING"
 )
 
-# The subset a training run needs.
-MANIFEST_TRAINING_COLUMNS = (
-    "split", "class_id", "class_index", "class_key", "family_id", "relative_path",
-)
-
 ASSET_RECORDS = _struct(
     "path STRING, relative_path STRING, valid BOOLEAN, width INT, height INT, "
     "pixels BIGINT, aspect_ratio DOUBLE, format STRING, mode STRING, channels INT, "
@@ -71,12 +66,6 @@ GUIDANCE = _struct(
 
 GUIDANCE_POINTS = _struct("class_key STRING, section STRING, position INT, text STRING")
 
-EPOCH_HISTORY = _struct(
-    "epoch INT, phase STRING, train_loss DOUBLE, train_accuracy DOUBLE, "
-    "val_loss DOUBLE, val_accuracy DOUBLE, val_macro_f1 DOUBLE, "
-    "val_weighted_f1 DOUBLE, val_balanced_accuracy DOUBLE, learning_rates ARRAY<DOUBLE>"
-)
-
 UPLOADS = _struct(
     "upload_id STRING, filename STRING, content_type STRING, payload BINARY, "
     "received_at TIMESTAMP"

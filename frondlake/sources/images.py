@@ -130,6 +130,31 @@ def container_format(content: Column) -> Column:
     )
 
 
+def complete_format(content: Column) -> Column:
+    """Image format of bytes that are whole from the first to the last marker, NULL for others.
+
+    A PNG ends in its end chunk, a JPEG in its end marker, a GIF in its trailer;
+    BMP and WebP state their length. It tells truncated and made-up payloads
+    from images, but decodes no pixels.
+    """
+    size = F.octet_length(content)
+
+    def little_endian(at: int) -> Column:
+        return F.conv(F.concat(*[F.hex(F.substring(content, at + i, 1)) for i in (3, 2, 1, 0)]), 16, 10).cast("bigint")
+
+    kind = container_format(content)
+    whole = (
+        F.when(kind == "png", (size >= 57) & F.endswith(F.hex(content), F.lit("0000000049454E44AE426082"))
+               & (F.hex(F.substring(content, 9, 8)) == "0000000D49484452"))
+        .when(kind == "jpeg", (size > 4) & F.endswith(F.hex(content), F.lit("FFD9")))
+        .when(kind == "gif", (size > 13) & F.endswith(F.hex(content), F.lit("3B")))
+        .when(kind == "bmp", little_endian(3) == size)
+        .when(kind == "webp", little_endian(5) + 8 == size)
+        .otherwise(kind == "tiff")
+    )
+    return F.when(whole, kind)
+
+
 def png_mode(content: Column) -> Column:
     """Colour mode from a PNG header (bit depth and colour type), NULL for other bytes."""
     depth, colour = F.hex(F.substring(content, 25, 1)), F.hex(F.substring(content, 26, 1))
@@ -142,8 +167,11 @@ def png_mode(content: Column) -> Column:
 
 def png_transparency(content: Column) -> Column:
     """Whether a palette PNG has a transparency chunk."""
+    letters = F.decode(content, "ISO-8859-1")
+    chunk, pixels_at = F.instr(letters, "tRNS"), F.instr(letters, "IDAT")
+    # It stands before the pixels, whose compressed bytes may spell it by chance.
     return F.when(
-        png_mode(content) == "P", F.instr(F.decode(content, "ISO-8859-1"), "tRNS") > 0
+        png_mode(content) == "P", (chunk > 0) & ((pixels_at == 0) | (chunk < pixels_at))
     ).otherwise(False)
 
 

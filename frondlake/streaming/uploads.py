@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -61,19 +62,27 @@ def store_scans(triaged: DataFrame, score: Callable[[DataFrame], DataFrame], his
     rows to the same place.
     """
     def store(batch: DataFrame, batch_id: int) -> None:
-        rejected = quarantined(batch).withColumn("batch_id", F.lit(batch_id))
-        (rejected.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
-         .partitionBy("batch_id").parquet(quarantine_path))
-        write_batch(score(accepted(batch)), batch_id, history_path)
+        triaged_once = batch.persist(StorageLevel.DISK_ONLY)  # read and checked once; lost parts are computed anew
+        try:
+            rejected = quarantined(triaged_once).withColumn("batch_id", F.lit(batch_id))
+            (rejected.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+             .partitionBy("batch_id").parquet(quarantine_path))
+            write_batch(score(accepted(triaged_once)), batch_id, history_path)
+        finally:
+            triaged_once.unpersist()
 
     writer = triaged.writeStream.foreachBatch(store).option("checkpointLocation", checkpoint)
     return writer.trigger(**(trigger or {"availableNow": True})).start()
 
 
 def write_batch(scans: DataFrame, batch_id: int, history_path: str) -> None:
-    """Write one batch of scans; writing it again replaces it."""
-    ranked = rank_by_digest(table.scan_key(scans), "_key")
-    table.write_scans(
-        ranked.withColumn("id", F.lit(batch_id * BATCH_IDS) + F.col("rank")),
-        history_path, batch_id, "overwrite",
-    )
+    """Write one batch of scans; writing it again replaces it. The scans are evaluated once."""
+    keyed = table.scan_key(scans).persist(StorageLevel.DISK_ONLY)
+    try:
+        ranked = rank_by_digest(keyed, "_key")
+        table.write_scans(
+            ranked.withColumn("id", F.lit(batch_id * BATCH_IDS) + F.col("rank")),
+            history_path, batch_id, "overwrite",
+        )
+    finally:
+        keyed.unpersist()

@@ -129,14 +129,20 @@ def test_model_input(spark, folder):
     assert rows["lemon/curl_virus/bad.jpg"] is None and len(rows["corn/common_rust/gray.png"]) == 48
 
 
+PNG = bytes.fromhex("89504e470d0a1a0a0000000d4948445200000001000000010806000000" "1f15c489" "0000000d49444154"
+                    "789c6360f8cfc000000301010018dd8db00000000049454e44ae426082")
+
+
 @pytest.mark.parametrize("content_type, payload, want", [
     ("text/plain", b"", "content_type_415"), (None, b"x", "content_type_415"), ("image/png", b"", "empty_400"),
     ("image/png", None, "empty_400"), ("image/png", b"x" * 201, "too_large_413"), ("image/png", b"not an image", "not_an_image_400"),
-    ("image/png", b"GIF89a", "image_format_415"), ("image/jpeg", b"\x89PNG\r\n\x1a\n", None),
+    ("image/png", b"GIF89a" + bytes(10) + b";", "image_format_415"), ("image/jpeg", b"\x89PNG\r\n\x1a\n", "not_an_image_400"),
+    ("image/jpeg", b"\xff\xd8\xff\xe0" + bytes(9), "not_an_image_400"), ("image/jpeg", b"\xff\xd8\xff\xe0" + bytes(9) + b"\xff\xd9", None),
+    ("image/png", PNG[:-4], "not_an_image_400"), ("image/png", PNG, None),
 ])
 def test_triage_order(spark, content_type, payload, want):
     df = spark.createDataFrame([(content_type, payload)], "content_type string, payload binary")
-    row = uploads.triage(df, images.container_format(F.col("payload")), max_bytes=200).first()
+    row = uploads.triage(df, images.complete_format(F.col("payload")), max_bytes=200).first()
     assert row["reject_reason"] == want
 
 

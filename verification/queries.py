@@ -9,6 +9,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.window import Window
 
 from frondlake.functions import text, vectors
 from frondlake.operators import (
@@ -498,16 +499,23 @@ def weighted_mean_loss(spark, folder):
 
 @query
 def linear_head(spark, folder):
-    """Rows only: fitted numerically. Training images and hits per class."""
+    """Training images and weight per class, and whether the fitted head beats the largest class.
+
+    Single predictions depend on the arithmetic of the fit and are not compared.
+    """
     rows = V.vectors(spark, folder)
     weights = balance.balanced_weights(
         rows.groupBy(F.col("target").alias("class_id")).agg(F.count(F.lit(1)).alias("images"))
     ).select(F.col("class_id").alias("class_index"), "weight")
     model = training.fit_linear_head(rows, weights, features_col="embedding")
     guessed = model.transform(training.linear_head_input(rows, "embedding"))
-    return guessed.groupBy("target").agg(
+    counts = guessed.groupBy("target").agg(
         F.count(F.lit(1)).alias("images"),
         F.count_if(F.col("prediction") == F.col("target")).alias("correct"))
+    every = Window.partitionBy()  # over ten classes
+    return counts.join(weights, F.col("class_index") == F.col("target")).select(
+        "target", "images", "weight",
+        (F.sum("correct").over(every) > F.max("images").over(every)).alias("beats_largest_class"))
 
 
 # -- history and guidance ---------------------------------------------------
