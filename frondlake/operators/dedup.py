@@ -260,6 +260,17 @@ def near_duplicates(records: DataFrame, *, hash_col: str = "dhash", class_col: s
     )
 
 
+def near_duplicate_counts(pairs: DataFrame, class_col: str = "class_id") -> DataFrame:
+    """Pairs per class and the first of them as an example.
+
+    The pairs of a dense cluster are counted where the join makes them and are
+    neither stored nor shuffled.
+    """
+    first = F.min(F.struct("file_a", "file_b", "hamming_distance"))
+    return pairs.groupBy(class_col).agg(F.count(F.lit(1)).alias("pairs"), first.alias("_first")).select(
+        class_col, "pairs", "_first.*")
+
+
 def _single_hashes(records: DataFrame, hash_col: str, class_col: str, id_col: str) -> DataFrame:
     return (
         _usable(records, hash_col)

@@ -467,6 +467,14 @@ SELECT a.label AS class_id, a.vec_id AS file_a, b.vec_id AS file_b,
        CAST(bit_count(xor(a.dhash, b.dhash)) AS INTEGER) AS hamming_distance
 FROM spread a JOIN spread b ON a.label = b.label AND a.vec_id < b.vec_id
 WHERE a.files = 1 AND b.files = 1 AND bit_count(xor(a.dhash, b.dhash)) <= 14""",
+    "near_duplicate_counts": f"""WITH {_hash(8, 8)},
+pairs AS (SELECT a.label AS class_id, a.vec_id AS file_a, b.vec_id AS file_b,
+       CAST(bit_count(xor(a.dhash, b.dhash)) AS INTEGER) AS hamming_distance
+FROM spread a JOIN spread b ON a.label = b.label AND a.vec_id < b.vec_id
+WHERE a.files = 1 AND b.files = 1 AND bit_count(xor(a.dhash, b.dhash)) <= 14),
+counted AS (SELECT *, count(*) OVER (PARTITION BY class_id) AS pairs,
+       row_number() OVER (PARTITION BY class_id ORDER BY file_a, file_b) AS place FROM pairs)
+SELECT class_id, pairs, file_a, file_b, hamming_distance FROM counted WHERE place = 1""",
     "softmax_topk": f"""WITH {CLASSES}, {SCORED}
 SELECT image, CAST(rank AS INTEGER) AS rank, id AS class_id, CAST(p.index AS INTEGER) AS class_index,
        key AS class_key, display_name, crop, disease, round(p, 6) AS confidence,

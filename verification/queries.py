@@ -379,6 +379,12 @@ def near_duplicates(spark, folder):
     return pairs.select("class_id", "file_a", "file_b", "hamming_distance")
 
 
+@query
+def near_duplicate_counts(spark, folder):
+    return dedup.near_duplicate_counts(
+        dedup.near_duplicates(_hashed(spark, folder), bits=HASH_BITS, max_distance=NEAR_DISTANCE))
+
+
 def _uploads(documents: DataFrame) -> DataFrame:
     """Documents as uploads: declared type by language, real format by a digest of the whole text."""
     declared = F.when(F.col("lang") == "es", "text/plain").when(
