@@ -34,9 +34,9 @@ from pyspark.sql import types as T
 
 from .arrow import output_schema, replace_column
 
-MAX_STATES = 200_000
+MAX_STATES = 80_000
 LOOK_AHEAD = 256
-MAX_PIECES = 300_000
+MAX_PIECES = 120_000
 MAX_PIECE_CHARS = 32
 DECODE_CHUNK = 4096
 
@@ -267,15 +267,24 @@ def codec(path: str, pattern: str) -> Codec:
     return Codec(read_ranks(path), pattern)
 
 
-def encode(docs: DataFrame, path: str, pattern: str, text: str = "text", ids: str = "ids") -> DataFrame:
-    """Add ``ids``: the tokens of ``text``. The rank file at ``path`` must be installed on the workers."""
+def encode(docs: DataFrame, path: str, pattern: str, text: str = "text", ids: str = "ids",
+           check: bool = False) -> DataFrame:
+    """Add ``ids``: the tokens of ``text``. The rank file at ``path`` must be installed on the workers.
+
+    With ``check`` the ids are decoded again at once, and a text that does not come back is an error.
+    """
     schema = output_schema(docs, {ids: T.ArrayType(T.IntegerType())})
 
     def run(batches):
         own = codec(path, pattern)
         for batch in batches:
-            values = pa.array([own.encode(t or "") for t in batch.column(text).to_pylist()], pa.list_(pa.int32()))
-            yield replace_column(batch, {ids: values})
+            found = []
+            for value in batch.column(text):
+                whole = value.as_py() or ""
+                found.append(own.encode(whole))
+                if check and own.decode(found[-1]) != whole:
+                    raise ValueError("a text is not the decoding of its tokens")
+            yield replace_column(batch, {ids: pa.array(found, pa.list_(pa.int32()))})
 
     return docs.mapInArrow(run, schema)
 
