@@ -34,9 +34,9 @@ from pyspark.sql import types as T
 
 from .arrow import output_schema, replace_column
 
-MAX_STATES = 80_000
+MAX_STATES = 200_000
 LOOK_AHEAD = 256
-MAX_PIECES = 120_000
+MAX_PIECES = 250_000
 MAX_PIECE_CHARS = 32
 DECODE_CHUNK = 4096
 
@@ -71,7 +71,7 @@ class Transducer:
                     self.depth.append(self.depth[node] + 1)
                 node = below
             self.tokens[node] = rank
-        self.allowed: dict[tuple, bool] = {}
+        self.allowed: dict[int, bool] = {}  # pairs of tokens as one number
         self._reset()
 
     def _reset(self) -> None:
@@ -105,7 +105,7 @@ class Transducer:
 
     def _may_follow(self, last: int | None, token: int) -> bool:
         tokens = [self.token_bytes[t] for t in (last, token) if t is not None]
-        answer = self.allowed[last, token] = self._merge(b"".join(tokens)) == tokens
+        answer = self.allowed[-1 - token if last is None else last << 20 | token] = self._merge(b"".join(tokens)) == tokens
         return answer
 
     def _step(self, state: State, byte: int) -> tuple[int, State]:
@@ -121,7 +121,7 @@ class Transducer:
             if node is not None:
                 token = tokens[node]
                 if token is not None and ending is None:
-                    fits = allowed.get((last, token))
+                    fits = allowed.get(-1 - token if last is None else last << 20 | token)
                     if self._may_follow(last, token) if fits is None else fits:
                         ending = token
                 if inner[node]:
@@ -222,8 +222,8 @@ class Codec:
     def __init__(self, ranks: dict[bytes, int], pattern: str):
         self.transducer = Transducer(ranks)
         self.split, self.plain_split = regex.compile(pattern), plain_pattern(pattern)
-        self.known: dict[str, list[int]] = {}
-        self.earlier: dict[str, list[int]] = {}  # the previous generation of known pieces
+        self.known: dict[str, tuple[int, ...]] = {}
+        self.earlier: dict[str, tuple[int, ...]] = {}  # the previous generation of known pieces
 
     def encode(self, text: str) -> list[int]:
         known, transducer = self.known, self.transducer
@@ -240,7 +240,7 @@ class Codec:
                     if len(known) >= MAX_PIECES:
                         self.earlier, self.known = known, {}
                         known = self.known
-                    known[piece] = found
+                    known[piece] = found = tuple(found)
             ids += found
         return ids
 
