@@ -225,6 +225,12 @@ class Codec:
         self.known: dict[str, tuple[int, ...]] = {}
         self.earlier: dict[str, tuple[int, ...]] = {}  # the previous generation of known pieces
 
+    def forget(self) -> None:
+        """Empty all caches: workers outlive their tasks, and other stages need the memory."""
+        self.known, self.earlier = {}, {}
+        self.transducer.allowed.clear()
+        self.transducer._reset()
+
     def encode(self, text: str) -> list[int]:
         known, transducer = self.known, self.transducer
         ids: list[int] = []
@@ -263,7 +269,7 @@ def read_ranks(path: str) -> dict[bytes, int]:
 
 @lru_cache(maxsize=2)
 def codec(path: str, pattern: str) -> Codec:
-    """The codec of a worker process; its caches live as long as the worker."""
+    """The codec of a worker process: ranks and trie stay, caches are emptied after each task."""
     return Codec(read_ranks(path), pattern)
 
 
@@ -277,14 +283,17 @@ def encode(docs: DataFrame, path: str, pattern: str, text: str = "text", ids: st
 
     def run(batches):
         own = codec(path, pattern)
-        for batch in batches:
-            found = []
-            for value in batch.column(text):
-                whole = value.as_py() or ""
-                found.append(own.encode(whole))
-                if check and own.decode(found[-1]) != whole:
-                    raise ValueError("a text is not the decoding of its tokens")
-            yield replace_column(batch, {ids: pa.array(found, pa.list_(pa.int32()))})
+        try:
+            for batch in batches:
+                found = []
+                for value in batch.column(text):
+                    whole = value.as_py() or ""
+                    found.append(own.encode(whole))
+                    if check and own.decode(found[-1]) != whole:
+                        raise ValueError("a text is not the decoding of its tokens")
+                yield replace_column(batch, {ids: pa.array(found, pa.list_(pa.int32()))})
+        finally:
+            own.forget()
 
     return docs.mapInArrow(run, schema)
 
@@ -295,9 +304,12 @@ def decode(tokens: DataFrame, path: str, pattern: str, ids: str = "ids", text: s
 
     def run(batches):
         own = codec(path, pattern)
-        for batch in batches:
-            values = pa.array([own.decode(i or ()) for i in batch.column(ids).to_pylist()], pa.string())
-            yield replace_column(batch, {text: values})
+        try:
+            for batch in batches:
+                values = pa.array([own.decode(i or ()) for i in batch.column(ids).to_pylist()], pa.string())
+                yield replace_column(batch, {text: values})
+        finally:
+            own.forget()
 
     return tokens.mapInArrow(run, schema)
 
@@ -314,13 +326,16 @@ def round_trip(docs: DataFrame, path: str, pattern: str, digest, schema: T.Struc
 
     def run(batches):
         own = codec(path, pattern)
-        for batch in batches:
-            rows = []
-            for value in batch.column(text):  # one text at a time: its ids are the largest object
-                ids = own.encode(value.as_py() or "")
-                rows.append(digest(ids, own.decode(ids)))
-            found = {f.name: pa.array([r[i] for r in rows], arrow_type(f)) for i, f in enumerate(schema)}
-            yield replace_column(batch.drop_columns([text]), found)
+        try:
+            for batch in batches:
+                rows = []
+                for value in batch.column(text):  # one text at a time: its ids are the largest object
+                    ids = own.encode(value.as_py() or "")
+                    rows.append(digest(ids, own.decode(ids)))
+                found = {f.name: pa.array([r[i] for r in rows], arrow_type(f)) for i, f in enumerate(schema)}
+                yield replace_column(batch.drop_columns([text]), found)
+        finally:
+            own.forget()
 
     return docs.mapInArrow(run, full)
 
