@@ -1,7 +1,7 @@
 """Personal data: plain forms, and disguised ones found on a normalised copy of the text.
 
 Four detectors (e-mail, IPv4, card, phone) read the text as it stands; these
-are the *base* spans. Texts with a cue for a disguise also pass a cascade of
+are the *base* spans. Texts that may hold a disguise also pass a cascade of
 transducers, each rewriting parts of a ``Tape``, a text whose characters
 remember the source characters they came from:
 
@@ -28,7 +28,6 @@ import bisect
 import re
 import unicodedata
 
-import ahocorasick
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -110,7 +109,7 @@ ADDRESS = re.compile(
 SIGN = re.compile(rf"(?P<at>{_AT_BOXED}|[ \t]{{1,3}}(?:@|{_ATS})[ \t]{{1,3}})|(?P<dot>{_DOT_BOXED}|{_DOT_WORD})",
                   re.IGNORECASE)
 BOX_CUE = re.compile(rf"[(\[{{<][ \t]{{0,2}}(?:{_ATS}|@|{_DOTS}|\.)[ \t]{{0,2}}[)\]}}>]")
-DOT_CUES = tuple(f" {word} " for word in DOT_WORDS)
+DOT_CUES = tuple(f"{before}{word}{after}" for word in DOT_WORDS for before in " \t" for after in " \t")
 
 _WORDS = "at ät arroba arobase chiocciola klammeraffe".split()
 DOT_WORDS = "dot punkt punto point".split()
@@ -183,20 +182,6 @@ LEAST_WORDS = 4
 PHONE_DIGITS = (8, 15)
 
 
-def _neighbours() -> ahocorasick.Automaton:
-    """Finds two digit words side by side: the cue that a text may hold a spelled number."""
-    automaton = ahocorasick.Automaton()
-    for first in DIGIT_WORDS:
-        for gap in (" ", "  ", "-", " - ", ", ", ",", "\t"):
-            for second in DIGIT_WORDS:
-                automaton.add_word(first + gap + second, 1)
-    automaton.make_automaton()
-    return automaton
-
-
-SPELLED_CUE = _neighbours()
-
-
 def luhn(digits: str) -> bool:
     total = sum(map(int, digits[-1::-2])) + sum(sum(divmod(2 * int(d), 10)) for d in digits[-2::-2])
     return total % 10 == 0
@@ -320,38 +305,49 @@ def written_signs(tape: Tape) -> Tape:
     return tape.rewrite(edits)
 
 
-def spelled_digits(tape: Tape) -> tuple[Tape, list[tuple[int, int]]]:
-    """The rewritten tape, and source spans of digit runs long enough for a phone number without a plus."""
-    edits, runs = [], []
+def spelled_digits(tape: Tape) -> tuple[list[Tape], list[tuple[int, int]]]:
+    """The rewritten tapes, and source spans of digit runs long enough for a phone number without a plus.
+
+    Runs without a disguised dot or plus need ``LEAST_WORDS`` digit words. Beside a numeral of a
+    dotted run, a gap may also part two numbers: a second tape keeps such gaps.
+    """
+    edits, parted, runs = [], [], []
     for match in SPELLED.finditer(tape.text):
         pieces = list(PIECE.finditer(match.group()))
-        if sum(p.lastgroup == "word" for p in pieces) < LEAST_WORDS:
+        kinds = [p.lastgroup for p in pieces]
+        words = kinds.count("word")
+        dotted = any(p.lastgroup == "dot" and p.group() != "." for p in pieces)
+        plus = kinds[0] == "plus" and (words or (pieces[0].group() != "+" and "," not in match.group()))
+        if words < LEAST_WORDS and not dotted and not plus:
             continue
-        out = {"plus": lambda t: "+", "word": lambda t: DIGIT_WORDS[t.lower()], "num": str,
-               "dot": lambda t: ".", "gap": lambda t: ""}
+        out = {"plus": lambda t: "+", "word": _digit, "num": str, "dot": lambda t: ".", "gap": lambda t: ""}
         written = [(p, out[p.lastgroup](p.group())) for p in pieces]
-        edits += [(match.start() + p.start(), match.start() + p.end(), t) for p, t in written if t != p.group()]
+        for i, (p, t) in enumerate(written):
+            if t != p.group():
+                edits.append((match.start() + p.start(), match.start() + p.end(), t))
+                if not (dotted and kinds[i] == "gap" and "num" in (kinds[i - 1], kinds[i + 1])):
+                    parted.append(edits[-1])
         digits = "".join(t for _, t in written)
         if digits.isdigit() and PHONE_DIGITS[0] <= len(digits) <= PHONE_DIGITS[1]:
             runs.append(tape.original(*match.span()))
-    return tape.rewrite(edits), runs
+    return [tape.rewrite(e) for e in ([edits, parted] if len(parted) < len(edits) else [edits])], runs
+
+
+def _digit(word: str) -> str:
+    """Letters that only match without case, such as a dotted capital I, count as their plain ones."""
+    return DIGIT_WORDS[word.casefold().replace("\u0307", "")]
 
 
 def disguised_spans(text: str) -> list[tuple[int, int, int]]:
     odd = not text.isascii() and MAYBE_ODD.search(text)
-    tape = ascii_forms(Tape(text)) if odd else None
-    seen = (tape.text if tape else text).lower()
+    tape = ascii_forms(Tape(text)) if odd else Tape(text)
+    seen = tape.text.lower()
     sign = BOX_CUE.search(seen) or any(cue in seen for cue in DOT_CUES)
-    spelled = next(SPELLED_CUE.iter(seen), None)
-    if not (odd or sign or spelled):
-        return []
-    tape, runs = tape or Tape(text), []
     if sign:
         tape = written_signs(tape)
-    if spelled:
-        tape, runs = spelled_digits(tape)
-    return [(kind, *tape.original(start, end)) for kind, start, end in plain_spans(tape.text)] + [
-        (3, *run) for run in runs]
+    tapes, runs = spelled_digits(tape)
+    found = [(kind, *t.original(start, end)) for t in tapes if t.text != text for kind, start, end in plain_spans(t.text)]
+    return found + [(3, *run) for run in runs]
 
 
 def find_spans(text: str) -> list[tuple[int, int, int, bool]]:

@@ -51,6 +51,34 @@ def test_disguises(text, want):
     assert spans(text) == want
 
 
+@pytest.mark.parametrize("text, want", [
+    ("dns eight dot eight dot eight dot eight ok", [("ip", "eight dot eight dot eight dot eight")]),
+    ("dns one [dot] one [dot] one [dot] one ok", [("ip", "one [dot] one [dot] one [dot] one")]),
+    ("host 192[.]168[.]0[.]1 up", [("ip", "192[.]168[.]0[.]1")]),
+    ("host 192[.]168[.]0[.]1 443 open", [("ip", "192[.]168[.]0[.]1")]),
+    ("host 10 dot 0 dot 0 dot 7 up", [("ip", "10 dot 0 dot 0 dot 7")]),
+    ("host 10\tdot\t0\tdot\t0\tdot\t7 up", [("ip", "10\tdot\t0\tdot\t0\tdot\t7")]),
+    ("host 1 9 2 dot 1 6 8 dot 0 dot 1 up", [("ip", "1 9 2 dot 1 6 8 dot 0 dot 1")]),
+    ("call +49 one five one 2345678 now", [("phone", "+49 one five one 2345678")]),
+    ("call plus 49 151 234 5678 now", [("phone", "plus 49 151 234 5678")]),
+    ("call +49 151 234567 one now", [("phone", "+49 151 234567 one")]),
+    ("call five   five   five   one   two   three   four   five ok", [
+        ("phone", "five   five   five   one   two   three   four   five")]),
+    ("call five , five , five , one , two , three , four , five ok", [
+        ("phone", "five , five , five , one , two , three , four , five")]),
+    ("call 555 one 2 three 4 five 6 seven ok", [("phone", "555 one 2 three 4 five 6 seven")]),
+    ("call fİve ſix one two three four five six ok", [("phone", "fİve ſix one two three four five six")]),
+    ("mail jane\tdot\tdoe\tat\texample\tdot\torg please", [("email", "jane\tdot\tdoe\tat\texample\tdot\torg")]),
+])
+def test_all_that_the_transducers_accept(text, want):
+    assert spans(text) == want
+
+
+@pytest.mark.parametrize("text", ["one two plus three", "rows 1, 2, 3, 4", "+ 12, 34, 56, 78", "version 1.2 3.4 5.6", "5 - 6 - 7 - 8"])
+def test_plain_numbers_stay_clean(text):
+    assert pii.find_spans(text) == []
+
+
 @pytest.mark.parametrize("text", [
     "arrive at example.com soon", "at the end of the dot com era we met", "one two three", "the (at) sign",
     "we sat at home. Dot was there", "Привет мир", "un deux trois soleil", "look at this dot. and that",
