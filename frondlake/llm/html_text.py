@@ -3,7 +3,9 @@
 A page is cut into blocks at block-level tags. The first pass decides blocks from
 what they are: blocks in menus, headers, footers, side bars, notices, adverts,
 forms or comments (by element, role, class or id) and blocks made of links are
-boilerplate; long blocks with the stop-word density of running text are content.
+boilerplate; long blocks with the stop-word density of running text are content,
+and if a page has none of these, as in a language without stop words here, all
+other long blocks are.
 The second pass gives every block left, mostly short ones, the label of its
 nearest decided neighbours: if the two differ, the neighbour in the closer
 common container wins, then the nearer one, and a heading goes with what
@@ -209,6 +211,7 @@ def stop_density(text: str) -> float:
 
 
 def first_pass(found: list[Block]) -> None:
+    sparse = []
     for block in found:
         size = len(block.text)
         if block.bad or block.linked > LINK_DENSITY * size:
@@ -218,6 +221,10 @@ def first_pass(found: list[Block]) -> None:
                 block.label = True
             elif not any(p < 0 for p in block.path):
                 block.label = False
+                sparse.append(block)
+    if not any(block.label for block in found):  # the stop words don't tell on this page
+        for block in sparse:
+            block.label = True
 
 
 def _closeness(a: tuple[int, ...], b: tuple[int, ...]) -> int:

@@ -41,6 +41,19 @@ def test_linear_on_runs(piece):
     assert time.time() - started < 10
 
 
+POLISH = "Wczoraj rano pociąg stanął przed stacją, ponieważ burza zerwała przewody trakcyjne w całej okolicy."
+RUSSIAN = "Вчера утром поезд остановился перед станцией, потому что буря оборвала провода по всей округе города."
+CHINESE = "昨天早上火车在车站前停了下来因为暴风雨破坏了整个地区的电线" * 3
+
+
+@pytest.mark.parametrize("line", [POLISH, RUSSIAN, CHINESE])
+def test_other_languages_keep_their_paragraphs(line):
+    menu = "<div class='menu'><a href='/'>x</a> " + line + "</div>"
+    links = "<div><a href='/'>" + line + "</a></div>"
+    page = f"<body>{menu}<div><div>{line}</div><div>ok</div><div>{line}</div></div>{links}</body>"
+    assert html_text.main_text(page) == f"{line}\nok\n{line}"
+
+
 def test_frames(spark):
     rows = [(1, None, "u"), (2, "", None), (3, f"<p>{LONG}", "u"), (3, f"<p>{LONG}", "u"), (4, f"<article>{'<p>' + LONG * 5000}", "u")]
     frame = spark.createDataFrame(rows, "page_id long, html string, text string")
