@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import string
 from collections.abc import Callable
 
 import public_tokenizers
@@ -11,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..session import configure
-from . import bpe, html_text, langid, licenses, mixing, near_dedup, order_minhash, pii, quality, sharding
+from . import bpe, html_text, langid, licenses, merkle, mixing, near_dedup, order_minhash, pii, quality, sharding
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -119,3 +120,16 @@ def op1_language_id(spark, folder):
 def op9_html_text(spark, folder):
     pages = html_text.extract(table(spark, folder, "pages").select("page_id", "url", "html"))
     return pages.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
+
+
+@query
+def op11_merkle_manifest(spark, folder):
+    """Every row of ``documents`` folded to the root, rows of some ids with lower-cased text."""
+    docs = table(spark, folder, "documents")
+    number = F.crc32(F.encode(F.col("doc_id").cast("string"), "UTF-8"))
+    lowered = F.translate("text", string.ascii_uppercase, string.ascii_lowercase)
+    found = merkle.leaf([lowered if c == "text" else F.col(c) for c in merkle.FIELDS])
+    return merkle.verify(docs, F.when(number % 5 == 0, found))
+
+
+ORACLE["op11_merkle_manifest"] = merkle.sql()
