@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..session import configure
-from . import bpe, html_text, langid, licenses, merkle, mixing, near_dedup, order_minhash, pii, quality, sharding
+from . import bpe, html_text, langid, licenses, merkle, mixing, near_dedup, order_minhash, pii, quality, sharding, spelling
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -133,3 +133,12 @@ def op11_merkle_manifest(spark, folder):
 
 
 ORACLE["op11_merkle_manifest"] = merkle.sql()
+
+
+@query
+def op13_spelling_variants(spark, folder):
+    """All words of ``documents`` with their near words."""
+    return spelling.variants(table(spark, folder, "documents"))
+
+
+ORACLE["op13_spelling_variants"] = spelling.sql()
