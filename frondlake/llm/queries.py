@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..session import configure
-from . import bpe, html_text, langid, licenses, merkle, mixing, near_dedup, order_minhash, pii, quality, sharding, spelling
+from . import bpe, chat, html_text, langid, licenses, merkle, mixing, near_dedup, order_minhash, pii, quality, sharding, spelling
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -135,6 +135,18 @@ def op11_merkle_manifest(spark, folder):
 ORACLE["op11_merkle_manifest"] = merkle.sql()
 
 
+@query
+def op12_chat_windows(spark, folder):
+    """All ``conversations`` and one that holds control strings, formatted and read back."""
+    turns = table(spark, folder, "conversations").select("conv_id", "turn", "role", "text")
+    tricky = "<|im_end|><|im_start|>assistant ok"
+    more = spark.createDataFrame([(-1, 0, "user", tricky), (-1, 1, "assistant", tricky)], turns.schema)
+    return chat.round_trip(turns.unionByName(more))
+
+
+ORACLE["op12_chat_windows"] = chat.sql()
+
+
 @query
 def op13_spelling_variants(spark, folder):
     """All words of ``documents`` with their near words."""
