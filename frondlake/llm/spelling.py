@@ -1,16 +1,17 @@
 """Spelling variants by pivotal grams.
 
 Words within one edit are found without comparing all of them. The bigrams of a
-word are ordered by how few words hold them. The *prefix* is its first
-``2 * EDITS + 1`` bigrams in that order (all occurrences of the last one
-included); *pivots* are ``EDITS + 1`` bigrams of the prefix that do not overlap, chosen
-by dynamic programming so that the fewest words share them. One edit leaves at least
-one of two disjoint bigrams whole, so of two near words the one whose prefix ends
-earlier in the order has a pivot in the other's prefix. Pivots are therefore looked up
-in an index of the prefixes. Position limits: the place of a surviving bigram
-differs by nothing or by the difference of the lengths. One edit lies before or behind
-the surviving bigram, so the other side of the word is unchanged; it is part of
-the key, which splits the groups of frequent bigrams. What meets is verified.
+word are ordered by how few words hold them, then by their place. The *prefix* is its first
+``2 * EDITS + 1`` bigrams in that order; *pivots* are ``EDITS + 1`` bigrams of the prefix that do
+not overlap, chosen by dynamic programming so that the fewest words share them. One edit
+leaves at least one of two disjoint bigrams whole, so of two near words the one whose
+prefix ends earlier in the order has a pivot in the other's prefix (which for that also
+holds its last bigram one place further, where an insertion may have moved it). Pivots are
+looked up in an index of the prefixes. Position limits: a surviving bigram moves by nothing
+or by the difference of the lengths. An edit behind the surviving bigram leaves the head
+of the word unchanged, one before it the tail; that side is part of the key, which splits the
+groups of frequent bigrams. The other pivot bounds the edit too: what lies beyond it must be
+equal, and only the few characters between are verified by their edit distance.
 
 A word's *form* is its near word of largest count if that is ``FACTOR`` times its own at
 least; its *root* is where the forms lead. Counts grow by the factor at each step, so a
@@ -66,12 +67,16 @@ def grams(word: str) -> list[str]:
     return [word[i:i + GRAM] for i in range(len(word) - GRAM + 1)]
 
 
-def prefix(word: str, shared: dict[str, int]) -> list[int]:
-    """Places of the prefix bigrams: the first ``GRAM * EDITS + 1`` in the order, and further occurrences of the last."""
+def prefix(word: str, shared: dict[str, int]) -> tuple[list[int], list[int]]:
+    """Places of the first ``GRAM * EDITS + 1`` bigrams in the order (bigram, place), and those of the prefix for look-ups.
+
+    The latter also has the last bigram where an inserted character would have moved it.
+    """
     own = grams(word)
-    order = sorted(range(len(own)), key=lambda i: (shared[own[i]], own[i], i))
-    last = own[order[min(GRAM * EDITS, len(order) - 1)]]
-    return [i for i in order if (shared[own[i]], own[i]) <= (shared[last], last)]
+    first = sorted(range(len(own)), key=lambda i: (shared[own[i]], own[i], i))[:GRAM * EDITS + 1]
+    last = first[-1]
+    moved = [i for i in range(last + 1, min(last + EDITS, len(own) - 1) + 1) if own[i] == own[last]]
+    return first, first + moved
 
 
 def pivots(word: str, places: list[int], shared: dict[str, int]) -> list[int]:
@@ -89,11 +94,22 @@ def pivots(word: str, places: list[int], shared: dict[str, int]) -> list[int]:
     return list(best[-1][-1][1])
 
 
+def unchanged(word: str, chosen: list[int]) -> list[tuple[int, str, int, int]]:
+    """Look-ups for the places an edit can be at: (surviving pivot, side whose rest is the key, unchanged head and tail)."""
+    one, two = chosen
+    size = len(word)
+    return [(two, "head", two + GRAM, 0),                            # behind both pivots
+            (one, "tail", 0, size - one),                            # before both
+            (one, "head", one + GRAM, size - two - GRAM),            # between them or in the second
+            (two, "tail", one, size - two)]                          # in the first
+
+
 def index_rows(vocabulary: DataFrame, shared: DataFrame) -> DataFrame:
     """Pivot and prefix entries of every word.
 
-    ``gram``, ``at``, ``length`` (of the word looked for), ``side`` and ``rest`` (the unchanged
-    part) are the key; ``last`` is the place of the word's last prefix bigram in the order.
+    ``meet`` is a digest of bigram, place, length of the word looked for, and the unchanged side;
+    ``last`` orders words by their last prefix bigram; ``head`` and ``tail`` are the numbers of
+    code points an edit leaves at either end.
     """
     frequency = {r["gram"]: r["words"] for r in shared.collect()}  # at most the square of the alphabet
     known = vocabulary.sparkSession.sparkContext.broadcast(frequency)
@@ -101,33 +117,45 @@ def index_rows(vocabulary: DataFrame, shared: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = known.value
         order = {g: i for i, g in enumerate(sorted(counts, key=lambda g: (counts[g], g)))}
+        rows: list[tuple] = []
+        held = 0
         for batch in batches:
-            rows = []
             for word, n in zip(batch.column("word").to_pylist(), batch.column("n").to_pylist()):
-                places = prefix(word, counts)
-                last, size = order[word[places[-1]:places[-1] + GRAM]], len(word)
+                first, places = prefix(word, counts)
+                size, last = len(word), order[word[first[-1]:first[-1] + GRAM]] << 32 | first[-1]
                 for at in places:
-                    head, gram, tail = word[:at], word[at:at + GRAM], word[at + GRAM:]
-                    rows.append((word, n, False, last, gram, at, size, "head", head))
-                    rows.append((word, n, False, last, gram, at, size, "tail", tail))
-                for at in pivots(word, places, counts):
-                    head, gram, tail = word[:at], word[at:at + GRAM], word[at + GRAM:]
-                    for more in (-1, 0, 1):  # the edit is behind the bigram, or before it
-                        rows.append((word, n, True, last, gram, at, size + more, "head", head))
-                        rows.append((word, n, True, last, gram, at + more, size + more, "tail", tail))
-                if len(rows) > 50_000:
+                    gram = word[at:at + GRAM]
+                    rows.append((word, n, False, last, 0, 0, gram, at, size, "head", word[:at]))
+                    rows.append((word, n, False, last, 0, 0, gram, at, size, "tail", word[at + GRAM:]))
+                for at, side, head, tail in unchanged(word, pivots(word, first, counts)):
+                    gram, rest = word[at:at + GRAM], word[:at] if side == "head" else word[at + GRAM:]
+                    for more in (-1, 0, 1) if head + tail < size else (1,):  # with nothing between, only an insertion fits
+                        rows.append((word, n, True, last, head, tail, gram, at + more * (side == "tail"), size + more, side, rest))
+                held += size
+                if len(rows) > 50_000 or held > 1 << 20:
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), _TYPES)], _NAMES)
-                    rows = []
-            if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), _TYPES)], _NAMES)
+                    rows, held = [], 0
+        if rows:
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), _TYPES)], _NAMES)
 
-    return vocabulary.mapInArrow(run, ENTRY)
+    found = vocabulary.mapInArrow(run, ENTRY)
+    return found.select("word", "n", "pivot", "last", "head", "tail", F.xxhash64("gram", "at", "length", "side", "rest").alias("meet"))
 
 
-ENTRY = "word string, n long, pivot boolean, last int, gram string, at int, length int, side string, rest string"
+ENTRY = ("word string, n long, pivot boolean, last long, head int, tail int, gram string, at int, length int, side string, "
+         "rest string")
 _NAMES = [f.split()[0] for f in ENTRY.split(", ")]
-_TYPES = [pa.string(), pa.int64(), pa.bool_(), pa.int32(), pa.string(), pa.int32(), pa.int32(), pa.string(), pa.string()]
-KEY = ("gram", "at", "length", "side", "rest")
+_TYPES = [pa.string(), pa.int64(), pa.bool_(), pa.int64(), pa.int32(), pa.int32(), pa.string(), pa.int32(), pa.int32(),
+          pa.string(), pa.string()]
+
+
+def one_edit(a: Column, b: Column, head: Column, tail: Column) -> Column:
+    """Whether one edit between the unchanged ends makes ``b`` of ``a``."""
+    def middle(word: Column) -> Column:
+        return F.substr(word, head + 1, F.length(word) - head - tail)
+
+    return (F.startswith(b, F.substr(a, F.lit(1), head)) & F.endswith(b, F.substr(a, F.length(a) - tail + 1, tail))
+            & (F.levenshtein(middle(a), middle(b), EDITS) == EDITS))
 
 
 def near(vocabulary: DataFrame) -> DataFrame:
@@ -136,11 +164,11 @@ def near(vocabulary: DataFrame) -> DataFrame:
     held = F.explode(F.array_distinct(F.transform(places, lambda i: F.substr("word", i, F.lit(GRAM)))))
     shared = vocabulary.select(held.alias("gram")).groupBy("gram").agg(F.count(F.lit(1)).alias("words"))
     entries = cut_lineage(index_rows(vocabulary, shared))
-    asked = entries.where("pivot").select(*KEY, F.col("word").alias("a"), F.col("n").alias("a_n"), F.col("last").alias("a_last"))
-    held = entries.where("NOT pivot").select(*KEY, F.col("word").alias("b"), F.col("n").alias("b_n"), F.col("last").alias("b_last"))
-    same = [F.col(f"p.{k}") == F.col(f"q.{k}") for k in KEY]
-    fits = (F.col("a") != F.col("b")) & (F.col("a_last") <= F.col("b_last")) & (F.levenshtein("a", "b", EDITS) == EDITS)
-    met = asked.alias("p").join(held.alias("q"), [*same, fits]).select("a", "a_n", "b", "b_n")
+    asked = entries.where("pivot").select("meet", "head", "tail", F.col("word").alias("a"), F.col("n").alias("a_n"), F.col("last").alias("a_last"))
+    held = entries.where("NOT pivot").select("meet", F.col("word").alias("b"), F.col("n").alias("b_n"), F.col("last").alias("b_last"))
+    near_by = F.abs(F.length("a") - F.length("b")) <= EDITS
+    fits = (F.col("a_last") <= F.col("b_last")) & near_by & one_edit(F.col("a"), F.col("b"), F.col("head"), F.col("tail"))
+    met = asked.join(held.withColumnRenamed("meet", "met"), (F.col("meet") == F.col("met")) & fits).select("a", "a_n", "b", "b_n")
     both = F.explode(F.array(F.struct(F.col("a").alias("word"), F.col("b").alias("other"), F.col("b_n").alias("other_n")),
                              F.struct(F.col("b").alias("word"), F.col("a").alias("other"), F.col("a_n").alias("other_n"))))
     return met.select(both.alias("x")).select("x.*").distinct()

@@ -65,17 +65,17 @@ def test_pivots_are_disjoint_and_cheapest():
     for _ in range(300):
         word = "".join(rng.choices("abcd", k=rng.randint(7, 12)))
         shared = {g: rng.randint(1, 9) for g in map("".join, product("abcd", repeat=2))}
-        places = spelling.prefix(word, shared)
+        places, _ = spelling.prefix(word, shared)
         chosen = spelling.pivots(word, places, shared)
         cost = [shared[word[i:i + 2]] for i in chosen]
         assert len(chosen) == 2 and chosen[1] - chosen[0] >= 2 and set(chosen) <= set(places)
         assert sum(cost) == min(shared[word[i:i + 2]] + shared[word[j:j + 2]] for i in places for j in places if j - i >= 2)
 
 
-@pytest.mark.parametrize("alphabet", ["ab", "abcÀÿ", "xyzäöüß×÷"])
+@pytest.mark.parametrize("alphabet", ["a", "ab", "abcÀÿ", "xyzäöüß×÷"])
 def test_pairs_equal_brute_force(spark, alphabet):
     rng = random.Random(len(alphabet))
-    counts = {"".join(rng.choices(alphabet, k=rng.randint(7, 9))): 3 ** rng.randint(1, 9) for _ in range(300)}
+    counts = {"".join(rng.choices(alphabet, k=rng.randint(7, 12))): 3 ** rng.randint(1, 9) for _ in range(300)}
     frame = spark.createDataFrame(list(counts.items()), "word string, n long")
     assert found(spelling.groups(frame)) == brute_groups(counts)
 
@@ -94,7 +94,7 @@ def test_chains_and_ties(spark):
 
 
 def test_odd_rows(spark):
-    long = "Straßenbahn " * 20_000 + "straßenbah straßenbah x" + "y" * 50_000
+    long = "Straßenbahn " * 20_000 + "straßenbah straßenbah x" + "y" * 2_000
     rows = [(1, None), (None, "Neighbour neighbour neighboürs"), (2, ""), (3, "a b c 123 _!"), (4, long), (4, long), (5, "NEIGHBOURİneighbours")]
     names = ("key", "run", "word", "n", "gram", "at", "a", "b", "form", "root", "best", "x")
     frame = spark.createDataFrame(rows, "doc_id long, text string").select("*", *[F.lit("clash").alias(c) for c in names])
