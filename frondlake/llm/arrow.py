@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 from collections.abc import Iterator
 
 import numpy as np
@@ -38,3 +40,13 @@ def slices(column: pa.Array, size: int) -> Iterator[tuple[int, int]]:
         last = max(row + 1, int(np.searchsorted(ends, ends[row] + size, "right")) - 1)
         yield row, last
         row = last
+
+
+def tidy() -> None:
+    """Give freed memory back to the system: idle workers stay while other stages need it."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except AttributeError:  # not this C library
+        pass

@@ -24,21 +24,24 @@ from __future__ import annotations
 
 import base64
 import re
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 
+import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from .arrow import output_schema, replace_column
+from .arrow import output_schema, replace_column, slices, tidy
 
-MAX_STATES = 200_000
+MAX_STATES = 100_000
 LOOK_AHEAD = 256
 MAX_PIECES = 250_000
 MAX_PIECE_CHARS = 32
 DECODE_CHUNK = 4096
+SLICE_BYTES = 1 << 20
 
 
 class State(dict):
@@ -230,6 +233,7 @@ class Codec:
         self.known, self.earlier = {}, {}
         self.transducer.allowed.clear()
         self.transducer._reset()
+        tidy()
 
     def encode(self, text: str) -> list[int]:
         known, transducer = self.known, self.transducer
@@ -285,13 +289,17 @@ def encode(docs: DataFrame, path: str, pattern: str, text: str = "text", ids: st
         own = codec(path, pattern)
         try:
             for batch in batches:
-                found = []
-                for value in batch.column(text):
-                    whole = value.as_py() or ""
-                    found.append(own.encode(whole))
-                    if check and own.decode(found[-1]) != whole:
-                        raise ValueError("a text is not the decoding of its tokens")
-                yield replace_column(batch, {ids: pa.array(found, pa.list_(pa.int32()))})
+                for low, high in slices(batch.column(text), SLICE_BYTES):  # the ids of few texts at a time
+                    part, found = batch.slice(low, high - low), []
+                    for value in part.column(text):
+                        whole = value.as_py() or ""
+                        ids_of = own.encode(whole)
+                        if check and own.decode(ids_of) != whole:
+                            raise ValueError("a text is not the decoding of its tokens")
+                        found.append(array("i", ids_of))
+                    flat = np.concatenate([np.frombuffer(f, np.int32) for f in found]) if found else np.zeros(0, np.int32)
+                    ends = np.cumsum([0, *map(len, found)], dtype=np.int32)
+                    yield replace_column(part, {ids: pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))})
         finally:
             own.forget()
 
