@@ -34,6 +34,7 @@ from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from .arrow import output_schema, replace_column, slices, text_bytes
+from .ordered import free_names
 
 WINDOW = 256
 WIDTHS = (2, 3, 4, 5)
@@ -179,8 +180,12 @@ def sample(docs: DataFrame, text: str, label: str, key: str, max_rows: int, wind
 def fit(docs: DataFrame, text: str = "text", label: str = "lang", key: str = "doc_id", max_rows: int = MAX_ROWS,
         windows_a_row: int = WINDOWS_A_ROW, epochs: int = EPOCHS) -> Model:
     """Train on a bounded sample of labelled rows (see the module text)."""
+    docs = docs.select(*dict.fromkeys((text, label, key)))
     rows = sorted(((r["label"], bytes(w)) for r in sample(docs, text, label, key, max_rows, windows_a_row).collect()
                    for w in r["windows"]), key=lambda r: (r[0], r[1]))
+    if not rows:  # nothing is known: a model without languages
+        none = np.zeros((0, 0), np.float32)
+        return Model((), none, none, none, none, none)
     return train([w for _, w in rows], [name for name, _ in rows], epochs)
 
 
@@ -215,9 +220,12 @@ def classify(model: Model, data: np.ndarray, ends: np.ndarray) -> np.ndarray:
 
 
 def predict(docs: DataFrame, model: Model, text: str = "text", label: str = "lang_pred", score: str = "score") -> DataFrame:
-    """Add the predicted language of each whole text and its probability."""
+    """Add the predicted language of each whole text and its probability; a model without languages knows none."""
     kept = [c for c in docs.columns if c not in (label, score)]
-    rows = docs.select(*kept, F.coalesce(F.col(text).rlike(r"\p{L}"), F.lit(False)).alias("_letter"))
+    if not model.labels:
+        return docs.select(*kept, F.lit(UNKNOWN).alias(label), F.lit(0.0).alias(score))
+    (has_letter,) = free_names([*kept, label, score], "letter")
+    rows = docs.select(*kept, F.coalesce(F.col(text).rlike(r"\p{L}"), F.lit(False)).alias(has_letter))
     schema = output_schema(docs.select(*kept), {label: T.StringType(), score: T.DoubleType()})
 
     def run(batches: Iterator[pa.RecordBatch]):
@@ -227,10 +235,10 @@ def predict(docs: DataFrame, model: Model, text: str = "text", label: str = "lan
                 found = classify(model, *text_bytes(batch.column(text)))
                 chance = np.exp(found - found.max(1, keepdims=True))
                 chance /= chance.sum(1, keepdims=True)
-                letter = np.array(batch.column("_letter").to_pylist(), bool)
+                letter = np.array(batch.column(has_letter).to_pylist(), bool)
                 names = [model.labels[i] if ok else UNKNOWN for i, ok in zip(found.argmax(1), letter)]
                 best = np.where(letter, chance.max(1), 0.0)
-                yield replace_column(batch.drop_columns(["_letter"]), {
+                yield replace_column(batch.drop_columns([has_letter]), {
                     label: pa.array(names, pa.string()), score: pa.array(best, pa.float64())})
 
     return rows.mapInArrow(run, schema)

@@ -111,67 +111,6 @@ SIGN = re.compile(rf"(?P<at>{_AT_BOXED}|[ \t]{{1,3}}(?:@|{_ATS})[ \t]{{1,3}})|(?
 BOX_CUE = re.compile(rf"[(\[{{<][ \t]{{0,2}}(?:{_ATS}|@|{_DOTS}|\.)[ \t]{{0,2}}[)\]}}>]")
 DOT_CUES = tuple(f"{before}{word}{after}" for word in DOT_WORDS for before in " \t" for after in " \t")
 
-_WORDS = "at ät arroba arobase chiocciola klammeraffe".split()
-DOT_WORDS = "dot punkt punto point".split()
-DIGIT_WORDS = {
-    word: str(value)
-    for words in ("zero one two three four five six seven eight nine",
-                  "null eins zwei drei vier fünf sechs sieben acht neun",
-                  "cero uno dos tres cuatro cinco seis siete ocho nueve",
-                  "zéro un deux trois quatre cinq six sept huit neuf")
-    for value, word in enumerate(words.split())
-} | {"oh": "0", "zwo": "2"}
-LOOK_ALIKE = {
-    "а": "a", "в": "b", "с": "c", "ԁ": "d", "е": "e", "һ": "h", "і": "i", "ј": "j", "к": "k", "ӏ": "l",
-    "м": "m", "о": "o", "р": "p", "ԛ": "q", "ѕ": "s", "т": "t", "ѵ": "v", "ԝ": "w", "х": "x", "у": "y",
-    "А": "A", "В": "B", "С": "C", "Е": "E", "Н": "H", "І": "I", "Ј": "J", "К": "K", "М": "M", "О": "O",
-    "Р": "P", "Ѕ": "S", "Т": "T", "Х": "X", "У": "Y", "З": "3", "з": "3", "б": "6",
-    "α": "a", "ι": "i", "κ": "k", "ν": "v", "ο": "o", "ρ": "p", "υ": "u", "χ": "x", "γ": "y",
-    "Α": "A", "Β": "B", "Ε": "E", "Ζ": "Z", "Η": "H", "Ι": "I", "Κ": "K", "Μ": "M", "Ν": "N", "Ο": "O",
-    "Ρ": "P", "Τ": "T", "Υ": "Y", "Χ": "X", "ı": "i", "ɑ": "a", "ɡ": "g", "ո": "n", "օ": "o", "ց": "g",
-    "․": ".", "。": ".", "∙": ".", "‐": "-", "‑": "-", "‒": "-", "–": "-", "−": "-", " ": " ",
-    " ": " ", " ": " ", " ": " ",
-}
-INVISIBLE = "­​‌‍⁠﻿"
-
-
-def _look_alikes() -> dict[str, str]:
-    """The table above, and every single character whose compatibility form or digit value is ASCII."""
-    table = dict.fromkeys(INVISIBLE, "")
-    for point in range(0x80, 0x20000):
-        char = chr(point)
-        plain = unicodedata.normalize("NFKC", char)
-        if unicodedata.decimal(char, None) is not None:
-            plain = str(unicodedata.decimal(char))
-        if len(plain) == 1 and "\x20" < plain < "\x7f":
-            table[char] = plain
-    return table | LOOK_ALIKE
-
-
-ASCII_OF = _look_alikes()
-ODD = re.compile("[" + "".join(map(re.escape, sorted(ASCII_OF))) + "]")
-# A wider class with few ranges, quick to search; German, French and Spanish letters are outside.
-MAYBE_ODD = re.compile("[\xa0\xaa\xad\xb2\xb3\xb9\xba\u0131\u0180-\U0010ffff]")
-
-_OPEN, _SHUT = r"[ \t]{0,3}[(\[{<][ \t]{0,2}", r"[ \t]{0,2}[)\]}>][ \t]{0,3}"
-_ATS, _DOTS = "|".join(AT_WORDS), "|".join(DOT_WORDS)
-_AT_BOXED = rf"{_OPEN}(?:{_ATS}|@){_SHUT}"
-_DOT_BOXED = rf"{_OPEN}(?:{_DOTS}|\.){_SHUT}"
-_DOT_WORD = rf"[ \t]{{1,3}}(?:{_DOTS})[ \t]{{1,3}}"
-_LABEL = r"[A-Za-z0-9-]{1,63}"
-_LOCAL = r"[A-Za-z0-9_%+-]{1,64}"
-# A boxed at is a clear sign; a bare word at needs a domain with a disguised dot.
-ADDRESS = re.compile(
-    rf"(?<![A-Za-z0-9_%+-]){_LOCAL}(?:(?:\.|{_DOT_BOXED}|{_DOT_WORD}){_LOCAL}){{0,5}}"
-    rf"(?:(?:{_AT_BOXED}){_LABEL}(?:(?:\.|{_DOT_BOXED}|{_DOT_WORD}){_LABEL}){{1,6}}"
-    rf"|(?:@|[ \t]{{1,3}}(?:@|{_ATS})[ \t]{{1,3}}){_LABEL}(?:\.{_LABEL}){{0,5}}"
-    rf"(?:(?:{_DOT_BOXED}|{_DOT_WORD}){_LABEL}){{1,6}})",
-    re.IGNORECASE)
-SIGN = re.compile(rf"(?P<at>{_AT_BOXED}|[ \t]{{1,3}}(?:@|{_ATS})[ \t]{{1,3}})|(?P<dot>{_DOT_BOXED}|{_DOT_WORD})",
-                  re.IGNORECASE)
-ADDRESS_CUE = re.compile(rf"[(\[{{<][ \t]{{0,2}}(?:{_ATS}|@|{_DOTS}|\.)[ \t]{{0,2}}[)\]}}>]|[ \t](?:{_DOTS})[ \t]",
-                         re.IGNORECASE)
-
 _WORDS = "|".join(sorted(DIGIT_WORDS, key=len, reverse=True))
 _UNIT = rf"(?:(?:{_WORDS})(?![^\W_])|[0-9]+(?![^\W\d_]))"
 _GAP = rf"(?:[ \t]{{0,2}}-[ \t]{{0,2}}|[ \t]{{1,3}}|[ \t]{{0,2}},[ \t]{{0,2}}|{_DOT_BOXED}|{_DOT_WORD}|\.)"

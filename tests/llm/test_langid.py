@@ -58,16 +58,24 @@ def test_same_sample_same_model(spark):
     a, b = (langid.fit(f, epochs=1) for f in (frame, frame.repartition(5)))
     assert a.labels == b.labels and all(np.array_equal(getattr(a, n), getattr(b, n)) for n in ("embedding", "filters", "weights"))
     assert langid.sample(frame, "text", "lang", "doc_id", 10, 3).groupBy("label").count().where("count > 10").isEmpty()
-    with pytest.raises(ValueError):
-        langid.fit(frame.limit(0))
+
+
+@pytest.mark.parametrize("rows", [[], [(1, "a text", None), (2, None, "en")]])
+def test_nothing_to_learn_from(spark, rows):
+    frame = spark.createDataFrame(rows, "doc_id long, text string, lang string").selectExpr(
+        "*", "1 AS letter", "2 AS _letter", "3 AS _label", "4 AS label", "5 AS digest", "6 AS _n", "7 AS windows")
+    model = langid.fit(frame)
+    assert model.labels == ()
+    out = langid.predict(frame, model)
+    assert sorted((r.doc_id, r.lang_pred, r.score) for r in out.collect()) == [(r[0], "und", 0.0) for r in rows]
 
 
 def test_odd_rows(spark, model):
     rows = [(1, None, "en"), (2, "", None), (3, "12 34 !!", "en"), (4, prose(5, "fr", 30), None), (4, prose(5, "fr", 30), None),
             (5, prose(6, "de", 60_000), "de"), (None, "é", None)]
-    frame = spark.createDataFrame(rows, "doc_id long, text string, lang string").selectExpr("*", "1 AS score", "2 AS _x")
+    frame = spark.createDataFrame(rows, "doc_id long, text string, lang string").selectExpr("*", "1 AS score", "2 AS _x", "3 AS letter")
     out = langid.predict(frame, model)
-    assert out.columns == ["doc_id", "text", "lang", "_x", "lang_pred", "score"]
+    assert out.columns == ["doc_id", "text", "lang", "_x", "letter", "lang_pred", "score"]
     got = {r.doc_id: (r.lang_pred, r.score) for r in out.collect()}
     assert got[1] == got[2] == got[3] == ("und", 0.0) and got[4][0] == "fr" and got[5][0] == "de" and got[None][1] > 0
     assert langid.predict(frame.limit(0), model).count() == 0
