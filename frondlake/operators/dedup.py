@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from .. import constants as C
 from ..functions import vectors
+from ..session import cut_lineage
 from .rows import join_group_rows, merge_single_rows
 
 _ORDER = ("class_id", "relative_path")
@@ -176,15 +177,27 @@ def near_duplicates(records: DataFrame, *, hash_col: str = "dhash", class_col: s
       probing the remaining bits in the same way. Hashes are distinct here, so
       the remaining bits really divide them. Their number has no limit.
     """
-    if not 0 <= max_distance <= bits <= 64:
-        raise ValueError("0 <= max_distance <= bits <= 64 is required")
     single = _single_hashes(records, hash_col, class_col, id_col)
+    found = _near_hashes(single, bits, max_distance, hot_value_rows)
+    left = single.select(F.col("hash").alias("hash_a"), F.col("id").alias("_a"))
+    right = single.select(F.col("hash").alias("hash_b"), F.col("id").alias("_b"))
+    return (
+        found.join(left, "hash_a").join(right, "hash_b")
+        .select("class_id", F.least("_a", "_b").alias("file_a"),
+                F.greatest("_a", "_b").alias("file_b"), "hamming_distance")
+    )
 
+
+def _near_hashes(single: DataFrame, bits: int, max_distance: int, hot_value_rows: int | None,
+                 carry: Sequence[str] = ()) -> DataFrame:
+    """Pairs of distinct hashes of one class within the distance, each once; ``carry`` columns come along from both."""
+    if not 0 <= max_distance <= bits <= 64:
+        raise ValueError("0 <= max_distance <= bits <= 64 is required")
     every = list(range(bits))
     parts = min(max_distance // 3 + 1, bits)
     groups = _masks(every, parts)
     values = ", ".join(f"struct({p} AS part, hash & {_mask(g)}L AS value)" for p, g in enumerate(groups))
-    placed = single.selectExpr("class_id", "hash", f"inline(array({values}))")
+    placed = single.selectExpr("class_id", "hash", *carry, f"inline(array({values}))")
 
     def accepted(difference: Column) -> Column:
         return (F.bit_count(difference) <= max_distance) & _first_part(difference, F.col("a.part"), groups)
@@ -196,6 +209,7 @@ def near_duplicates(records: DataFrame, *, hash_col: str = "dhash", class_col: s
     pair = (
         F.col("a.class_id").alias("class_id"), F.col("a.hash").alias("hash_a"),
         F.col("b.hash").alias("hash_b"), F.bit_count(difference).alias("hamming_distance"),
+        *[F.col(f"{side}.{c}").alias(f"{c}_{side}") for side in "ab" for c in carry],
     )
     # With one part a value is a whole hash, and those are distinct.
     refine = hot_value_rows is not None and parts > 1
@@ -212,7 +226,7 @@ def near_duplicates(records: DataFrame, *, hash_col: str = "dhash", class_col: s
         cold = placed
 
     probed = cold.selectExpr(
-        "class_id", "hash", f"inline({_by_part([_probes(p, g) for p, g in enumerate(groups)])})")
+        "class_id", "hash", *carry, f"inline({_by_part([_probes(p, g) for p, g in enumerate(groups)])})")
     # Merge join: its sides are many times larger than what Spark estimates for them.
     found = probed.alias("a").join(
         probed.alias("b").hint("merge"),
@@ -232,9 +246,9 @@ def near_duplicates(records: DataFrame, *, hash_col: str = "dhash", class_col: s
         subprobes = _by_part([
             "concat(" + ", ".join(_probes(q, g) for q, g in enumerate(sub)) + ")" for sub in finer])
         sub = (f"inline({subprobes}) AS (subpart, flip, probe)",)
-        centers = placed.where("hot").selectExpr("class_id", "part", "value AS center", "hash", *sub)
+        centers = placed.where("hot").selectExpr("class_id", "part", "value AS center", "hash", *carry, *sub)
         neighbours = placed.join(around.hint("merge"), ["class_id", "part", "value"]).selectExpr(
-            "class_id", "part", "center", "value", "hot", "hash", *sub)
+            "class_id", "part", "center", "value", "hot", "hash", *carry, *sub)
         first_sub = reduce(or_, [
             (F.col("a.part") == p) & _first_part(difference, F.col("a.subpart"), g)
             for p, g in enumerate(finer)
@@ -251,13 +265,46 @@ def near_duplicates(records: DataFrame, *, hash_col: str = "dhash", class_col: s
             ).select(*pair)
         )
 
-    left = single.select(F.col("hash").alias("hash_a"), F.col("id").alias("_a"))
-    right = single.select(F.col("hash").alias("hash_b"), F.col("id").alias("_b"))
-    return (
-        found.join(left, "hash_a").join(right, "hash_b")
-        .select("class_id", F.least("_a", "_b").alias("file_a"),
-                F.greatest("_a", "_b").alias("file_b"), "hamming_distance")
-    )
+    return found
+
+
+def near_duplicate_classes(records: DataFrame, *, hash_col: str = "dhash", class_col: str = "class_id",
+                           id_col: str = "relative_path", bits: int = 64, max_distance: int = C.HAMMING_LIMIT,
+                           hot_value_rows: int | None = 200) -> DataFrame:
+    """One row per record with a near duplicate: ``class_id``, the record, ``near_class`` and its number of ``links``.
+
+    ``near_class`` is the smallest id among the records that links connect. The pairs
+    of ``near_duplicates`` are made in the join and summed up there, per record and per
+    class of records, and never stored or shuffled. Classes grow in rounds: each one
+    learns the smallest class it has a link to and joins it if that is smaller; the
+    number of classes at least halves around every local minimum, so a few rounds do.
+    """
+    single = cut_lineage(_single_hashes(records, hash_col, class_col, id_col))
+    ends = F.explode(F.array("hash_a", "hash_b")).alias("hash")
+    links = _near_hashes(single, bits, max_distance, hot_value_rows).select(ends).groupBy("hash").agg(
+        F.count(F.lit(1)).alias("links"))
+    nodes = cut_lineage(single.join(links, "hash").withColumn("root", F.col("hash")))
+    while True:
+        met = _near_hashes(nodes.select("class_id", "hash", "root"), bits, max_distance, hot_value_rows, ["root"]).where(
+            "root_a <> root_b")
+        heard = met.select(F.explode(F.array(
+            F.struct(F.col("root_a").alias("root"), F.col("root_b").alias("next")),
+            F.struct(F.col("root_b").alias("root"), F.col("root_a").alias("next")))).alias("x")).groupBy("x.root").agg(
+            F.min("x.next").alias("next"))
+        parent = cut_lineage(heard.where("next < root"))
+        if parent.isEmpty():
+            break
+        while True:  # each class takes the end of its chain
+            further = parent.select(F.col("root").alias("next"), F.col("next").alias("end"))
+            longer = cut_lineage(parent.join(further, "next", "left").select(
+                "root", F.coalesce("end", "next").alias("next"), F.col("end").isNotNull().alias("moved")))
+            parent = longer.select("root", "next")
+            if longer.where("moved").isEmpty():
+                break
+        nodes = cut_lineage(nodes.join(parent, "root", "left").withColumn("root", F.coalesce("next", "root")).drop("next"))
+    names = nodes.groupBy("root").agg(F.min("id").alias("near_class"))
+    return nodes.join(names, "root").select(
+        "class_id", F.col("id").alias(id_col), "near_class", F.col("links").cast("bigint").alias("links"))
 
 
 def near_duplicate_counts(pairs: DataFrame, class_col: str = "class_id") -> DataFrame:

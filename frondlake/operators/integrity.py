@@ -185,6 +185,12 @@ def classes_without_files(catalog: DataFrame, files: DataFrame,
     return catalog.join(directories, "relative_directory", "left_anti").select(*catalog.columns)
 
 
+def missing_directories(catalog: DataFrame, directories: DataFrame) -> DataFrame:
+    """Catalog classes whose directory does not exist; ``directories`` may list empty ones too."""
+    found = directories.select("relative_directory")
+    return catalog.join(found, "relative_directory", "left_anti").select(*catalog.columns)
+
+
 def manifest_class_counts(catalog: DataFrame, manifest: DataFrame) -> DataFrame:
     """Manifest rows per catalog class, zeros kept; rows of unknown ids are not counted."""
     counts = manifest.groupBy(F.col("class_id").cast("bigint").alias("id")).agg(

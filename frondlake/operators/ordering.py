@@ -10,6 +10,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..session import cut_lineage
+
 
 def shuffle_key(id_column: Column, seed: int, epoch: int = 0) -> Column:
     """Hex text that orders rows in a seeded pseudo-random permutation."""
@@ -39,76 +41,90 @@ def rank_by_digest(df: DataFrame, digest: str, into: str = "rank", digits: int =
     )
 
 
-def exact_percentiles(df: DataFrame, group_by: Sequence[str],
-                      metrics: Mapping[str, tuple[Column, float]],
-                      probabilities: Mapping[str, float]) -> DataFrame:
+# A pass cuts an interval of values in so many buckets; one with so few rows is ordered at last.
+BUCKETS = 1024
+FEW_ROWS = 1 << 14
+
+
+def exact_percentiles(df: DataFrame, group_by: Sequence[str], metrics: Mapping[str, Column],
+                      probabilities: Mapping[str, float], few: int = FEW_ROWS) -> DataFrame:
     """Exact linearly interpolated percentiles, one ``<metric>_<name>`` column each.
 
-    ``metrics`` maps a name to ``(value, step)``. Values are first counted (a
-    map-side combine, so a hot group shrinks to its distinct values), then
-    counted again per bucket of width ``step``. Running totals over the buckets
-    tell which ones hold the wanted ranks, and only those buckets' values are
-    ordered. No task sees more than one group's bucket totals or one bucket's
-    distinct values. NULL values are ignored; groups without values are absent.
+    Multi-pass selection. The first pass takes number, minimum and maximum of
+    every group and metric. Each further pass reads the rows again, keeps those in
+    the intervals that still hold a wanted rank, counts them in buckets whose width
+    follows from the interval, and narrows the interval to the extremes of the
+    bucket with the rank. An interval ends as one value, or with at most ``few``
+    rows, whose values are then counted and ordered. So no exchange carries the
+    values: at most ``BUCKETS`` sums per task and interval, and ``few`` values per
+    interval at the end. A pass divides the rows of an interval by about a thousand,
+    a dense one is cut off from outliers by its extremes; two or three passes do for
+    any number of rows. NULL and NaN are ignored; groups without values are absent.
     """
-    group_by = list(group_by)
+    keys = [f"_g{i}" for i in range(len(group_by))]
+    series = [*keys, "_metric"]
     melted = df.select(
-        *group_by,
-        F.explode(F.array(*[
-            F.struct(
-                F.lit(number).alias("metric"),
-                value.cast("double").alias("value"),
-                F.floor(value.cast("double") / F.lit(float(step))).alias("bucket"),
-            )
-            for number, (value, step) in enumerate(metrics.values())
-        ])).alias("m"),
-    ).select(*group_by, "m.*").where(F.col("value").isNotNull())
-
-    series = [*group_by, "metric"]
-    values = melted.groupBy(*series, "bucket", "value").agg(F.count(F.lit(1)).alias("n"))
-
-    whole = Window.partitionBy(*series)
-    earlier = whole.orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
-    histogram = (
-        values.groupBy(*series, "bucket").agg(F.sum("n").alias("n"))
-        .withColumn("before", F.coalesce(F.sum("n").over(earlier), F.lit(0)))
-        .withColumn("total", F.sum("n").over(whole))
-    )
+        *[F.col(g).alias(k) for g, k in zip(group_by, keys)],
+        F.explode(F.array(*[F.struct(F.lit(i).alias("_metric"), value.cast("double").alias("_value"))
+                            for i, value in enumerate(metrics.values())])).alias("_m"),
+    ).select(*keys, "_m.*").where(F.col("_value").isNotNull() & ~F.isnan("_value"))
 
     def rank(p: float, upper: bool) -> Column:
-        position = (F.col("total") - 1) * F.lit(float(p))
-        return F.ceil(position) if upper else F.floor(position)
-
-    ranks = F.array(*[rank(p, up) for p in probabilities.values() for up in (False, True)])
-    wanted = histogram.where(
-        F.exists(ranks, lambda r: (r >= F.col("before")) & (r < F.col("before") + F.col("n")))
-    ).select(*[F.col(c).alias(f"_{c}") for c in [*series, "bucket"]], "before", "total")
-
-    inside = Window.partitionBy(*series, "bucket").orderBy("value").rowsBetween(
-        Window.unboundedPreceding, Window.currentRow)
-    # Null-safe, so that a NULL group stays and both branches share one shuffle.
-    same = reduce(and_, [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in [*series, "bucket"]])
-    placed = (
-        values.join(wanted, same)
-        .withColumn("upto", F.col("before") + F.sum("n").over(inside))
-    )
-
-    def at(p: float, upper: bool) -> Column:
-        r = rank(p, upper)
-        return F.max(F.when((r >= F.col("upto") - F.col("n")) & (r < F.col("upto")), F.col("value")))
-
-    picked = placed.groupBy(*series).agg(
-        F.max("total").alias("total"),
-        *[at(p, up).alias(f"{name}_{side}")
-          for name, p in probabilities.items() for side, up in (("low", False), ("high", True))],
-    )
-    results = {
-        name: F.col(f"{name}_low") + (F.col(f"{name}_high") - F.col(f"{name}_low"))
-        * ((F.col("total") - 1) * F.lit(float(p)) - rank(p, False))
-        for name, p in probabilities.items()
-    }
-    columns = [
-        F.max(F.when(F.col("metric") == number, value)).alias(f"{metric}_{name}")
-        for number, metric in enumerate(metrics) for name, value in results.items()
-    ]
-    return picked.groupBy(*group_by).agg(*columns) if group_by else picked.agg(*columns)
+        position = (F.col("_total") - 1) * F.lit(float(p))
+        return (F.ceil(position) if upper else F.floor(position)).cast("bigint")
+
+    whole = melted.groupBy(*series).agg(
+        F.count(F.lit(1)).alias("_total"), F.min("_value").alias("_lo"), F.max("_value").alias("_hi"))
+    wanted = F.array_distinct(F.array(*[rank(p, up) for p in probabilities.values() for up in (False, True)]))
+    targets = cut_lineage(whole.select(
+        *series, "_total", "_lo", "_hi", F.col("_total").alias("_n"), F.lit(0).cast("bigint").alias("_before"),
+        F.explode(wanted).alias("_rank")))
+    interval = [*series, "_lo", "_hi"]
+
+    def inside(intervals: DataFrame) -> DataFrame:
+        """The rows of some intervals; these are disjoint within a series."""
+        named = intervals.select(*[F.col(c).alias(f"{c}_") for c in interval]).distinct()
+        same = reduce(and_, [F.col(c).eqNullSafe(F.col(f"{c}_")) for c in series])
+        within = (F.col("_value") >= F.col("_lo_")) & (F.col("_value") <= F.col("_hi_"))
+        return melted.join(named, same & within).select(*series, "_value", F.col("_lo_").alias("_lo"), F.col("_hi_").alias("_hi"))
+
+    def located(rows: DataFrame, counted: DataFrame) -> DataFrame:
+        """Targets with the counted part (``_c`` rows, ``_first`` to ``_last``) their rank falls in."""
+        upto = Window.partitionBy(*interval).orderBy("_first").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        summed = counted.withColumn("_upto", F.sum("_c").over(upto)).select(
+            *[F.col(c).alias(f"{c}_") for c in interval], "_c", "_first", "_last", "_upto")
+        same = reduce(and_, [F.col(c).eqNullSafe(F.col(f"{c}_")) for c in interval])
+        behind = F.col("_rank") - F.col("_before")
+        return rows.join(summed, same & (behind < F.col("_upto")) & (behind >= F.col("_upto") - F.col("_c")))
+
+    wide = (F.col("_lo") < F.col("_hi")) & (F.col("_n") > few)
+    while not targets.where(wide).isEmpty():
+        share = (F.col("_value") / 2 - F.col("_lo") / 2) / (F.col("_hi") / 2 - F.col("_lo") / 2)
+        bucket = (F.when(F.col("_value") == F.col("_lo"), 0).when(F.col("_value") == F.col("_hi"), BUCKETS - 1)
+                  .otherwise(F.least(F.floor(F.nanvl(share, F.lit(0.5)) * BUCKETS), F.lit(BUCKETS - 1))))
+        counted = inside(targets.where(wide)).groupBy(*interval, bucket.alias("_bucket")).agg(
+            F.count(F.lit(1)).alias("_c"), F.min("_value").alias("_first"), F.max("_value").alias("_last"))
+        narrowed = located(targets.where(wide), counted).select(
+            *series, "_total", F.col("_first").alias("_lo"), F.col("_last").alias("_hi"), F.col("_c").alias("_n"),
+            (F.col("_before") + F.col("_upto") - F.col("_c")).alias("_before"), "_rank")
+        targets = cut_lineage(targets.where(~wide).unionByName(narrowed))
+
+    ended = targets.where("_lo = _hi").select(*series, "_total", "_rank", F.col("_lo").alias("_at"))
+    rest = targets.where("_lo < _hi")
+    ordered = inside(rest).groupBy(*interval, "_value").agg(F.count(F.lit(1)).alias("_c")).withColumns(
+        {"_first": F.col("_value"), "_last": F.col("_value")})
+    placed = located(rest, ordered).select(*series, "_total", "_rank", F.col("_first").alias("_at"))
+    found = ended.unionByName(placed)
+
+    def at(number: int, p: float, upper: bool) -> Column:
+        return F.max(F.when((F.col("_metric") == number) & (F.col("_rank") == rank(p, upper)), F.col("_at")))
+
+    columns = []
+    for number, metric in enumerate(metrics):
+        total = F.max(F.when(F.col("_metric") == number, F.col("_total")))
+        for name, p in probabilities.items():
+            low, high, position = at(number, p, False), at(number, p, True), (total - 1) * F.lit(float(p))
+            columns.append((low + F.when(high == low, 0.0).otherwise(high - low) * (position - F.floor(position)))
+                           .alias(f"{metric}_{name}"))
+    result = found.groupBy(*keys).agg(*columns) if keys else found.agg(*columns)
+    return result.select(*[F.col(k).alias(g) for k, g in zip(keys, group_by)], *[f"{m}_{n}" for m in metrics for n in probabilities])

@@ -25,13 +25,6 @@ FLAGS = {
     "large_files": "large_file",
 }
 
-# Bucket widths of the exact percentiles: at most 2**16 distinct integer values
-# fall into one bucket, and realistic images give at most a few thousand buckets.
-PIXEL_STEP = 65536.0
-FILE_STEP = 65536.0
-SIDE_STEP = 256.0
-RATIO_STEP = 1.0 / 64
-
 
 def with_quality(records: DataFrame, *, width: str = "width", height: str = "height",
                  file_size: str = "file_size", mode: str = "mode",
@@ -75,8 +68,8 @@ def class_quality_profile(records: DataFrame, class_col: str = "class_id") -> Da
     valid = records.where("valid")
     medians = exact_percentiles(
         valid, [class_col],
-        {"width": (F.col("width"), SIDE_STEP), "height": (F.col("height"), SIDE_STEP),
-         "pixels": (F.col("pixels"), PIXEL_STEP), "file_size": (F.col("file_size"), FILE_STEP)},
+        {"width": F.col("width"), "height": F.col("height"),
+         "pixels": F.col("pixels"), "file_size": F.col("file_size")},
         {"p10": 0.10, "median": 0.50, "p90": 0.90},
     )
     sides = [f"{c}_{s}" for c in ("width", "height")
@@ -112,10 +105,10 @@ def quality_summary(records: DataFrame) -> DataFrame:
     )
     medians = exact_percentiles(
         records, [],
-        {"width": (width, SIDE_STEP), "height": (height, SIDE_STEP),
-         "pixels": (known("pixels"), PIXEL_STEP),
-         "aspect_ratio": (known("aspect_ratio"), RATIO_STEP),
-         "bytes": (_only_valid("file_size"), FILE_STEP)},
+        {"width": width, "height": height,
+         "pixels": known("pixels"),
+         "aspect_ratio": known("aspect_ratio"),
+         "bytes": _only_valid("file_size")},
         {"median": 0.50},
     )
     names = ("width", "height", "pixels", "aspect_ratio", "bytes")

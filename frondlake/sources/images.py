@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Callable, Iterator, Sequence
+from collections.abc import Callable, Sequence
 
 import numpy as np
 import pandas as pd
@@ -15,6 +15,7 @@ from ..functions import images as pixels
 from ..functions import text, vectors
 from ..operators.profile import with_quality
 from ..schemas import ASSET_RECORDS
+from .listing import list_entries
 
 
 def extension_glob(extensions: Sequence[str] = C.IMAGE_EXTENSIONS) -> str:
@@ -48,54 +49,35 @@ def list_images(spark: SparkSession, root: str, extensions: Sequence[str] = C.IM
                 include_empty: bool = True) -> DataFrame:
     """``(path, relative_path, file_size, modified)`` of every image file below ``root``.
 
-    File contents are not read. ``include_empty`` needs a store that pyarrow
-    can list from the workers (see :func:`empty_files`).
+    File contents are not read. The listing is made of rows level by level
+    (``listing.list_entries``). Without ``include_empty`` Spark's own file index is used,
+    which reaches any store Spark reads but is kept in the driver and skips empty files.
     """
-    found = _reader(spark, "binaryFile", extensions).load(root).select(
-        _plain(F.col("path")).alias("path"), F.col("length").alias("file_size"),
-        F.col("modificationTime").alias("modified"),
-    )
     if include_empty:
-        found = found.unionByName(empty_files(spark, root, extensions))
+        found = _image_files(spark, root, extensions)
+    else:
+        found = _reader(spark, "binaryFile", extensions).load(root).select(
+            _plain(F.col("path")).alias("path"), F.col("length").alias("file_size"),
+            F.col("modificationTime").alias("modified"))
     return found.withColumn("relative_path", _relative(F.col("path"), root))
 
 
+def _image_files(spark: SparkSession, root: str, extensions: Sequence[str]) -> DataFrame:
+    files = list_entries(spark, root).where(~F.col("directory") & text.file_extension(F.col("path")).isin(
+        *[e.lower() for e in extensions]))
+    return files.select("path", "file_size", "modified")
+
+
 def empty_files(spark: SparkSession, root: str,
                 extensions: Sequence[str] = C.IMAGE_EXTENSIONS) -> DataFrame:
-    """``(path, file_size, modified)`` of the zero-length image files below ``root``.
+    """``(path, file_size, modified)`` of the zero-length image files below ``root``, which Spark's sources skip."""
+    return _image_files(spark, root, extensions).where("file_size = 0")
 
-    Spark's file sources skip empty files, so the directories are listed once
-    more, one task each. The directories of the first two levels (crops and
-    classes) are found on the driver.
-    """
-    from pyarrow import fs
-
-    store, base = fs.FileSystem.from_uri(root)
-    prefix = root[: len(root.rstrip("/")) - len(base.rstrip("/"))] or "file:"
-
-    def children(folder: str) -> list[str]:
-        return [i.path for i in store.get_file_info(fs.FileSelector(folder)) if i.type == fs.FileType.Directory]
-
-    first = children(base)
-    second = [d for folder in first for d in children(folder)]
-    tasks = [(prefix + d, False) for d in [base, *first]] + [(prefix + d, True) for d in second]
-    wanted = tuple(e.lower() for e in extensions)
-
-    def listed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        from pyarrow import fs
-
-        for batch in batches:
-            for folder, recursive in zip(batch["folder"], batch["recursive"]):
-                files, path = fs.FileSystem.from_uri(folder)
-                scheme = folder[: len(folder) - len(path)]
-                entries = files.get_file_info(fs.FileSelector(path, recursive=bool(recursive)))
-                rows = [(scheme + e.path, 0, e.mtime) for e in entries if e.type == fs.FileType.File
-                        and e.size == 0 and e.path.lower().endswith(wanted)]
-                yield pd.DataFrame(rows, columns=["path", "file_size", "modified"])
-
-    folders = spark.createDataFrame(tasks, "folder string, recursive boolean").repartition(len(tasks))
-    return folders.mapInPandas(listed, "path string, file_size bigint, modified timestamp").withColumn(
-        "path", _plain(F.col("path")))
+
+def list_directories(spark: SparkSession, root: str) -> DataFrame:
+    """``(path, relative_directory)`` of every directory below ``root``, empty ones included."""
+    found = list_entries(spark, root).where("directory").select("path")
+    return found.withColumn("relative_directory", _relative(F.col("path"), root))
 
 
 def with_class(files: DataFrame, catalog: DataFrame) -> DataFrame:

@@ -53,6 +53,40 @@ def test_near_duplicates_equal_brute_force(spark, bits, limit, flat, hot):
     assert _pairs(found) == _brute(rows, limit)
 
 
+def _brute_classes(rows, limit):
+    pairs = _brute(rows, limit)
+    links, root = {}, {}
+    for _, a, b, _ in pairs:
+        for x in (a, b):
+            links[x] = links.get(x, 0) + 1
+            root.setdefault(x, x)
+    changed = True
+    while changed:
+        changed = False
+        for _, a, b, _ in pairs:
+            least = min(root[a], root[b])
+            changed |= root[a] != least or root[b] != least
+            root[a] = root[b] = least
+    return {(c, f, root[f], links[f]) for c, f, _ in rows if f in links}
+
+
+@pytest.mark.parametrize("bits, limit, flat, hot", [(64, 5, False, 200), (56, 14, True, 2), (12, 4, False, 1), (64, 2, True, None)])
+def test_near_classes_equal_brute_force(spark, bits, limit, flat, hot):
+    rows = _clustered(bits * 7 + limit, bits, 120, flat)
+    df = spark.createDataFrame(rows, "class_id int, relative_path string, dhash bigint")
+    found = dedup.near_duplicate_classes(df, bits=bits, max_distance=limit, hot_value_rows=hot).collect()
+    assert {tuple(r) for r in found} == _brute_classes(rows, limit) and len(found) == len({r[1] for r in found})
+
+
+def test_near_classes_of_a_chain(spark):
+    """One bit a step: every record but the ends has two links, all are one class; nothing near, nothing returned."""
+    rows = [(1, f"f{63 - i:02d}", _signed((1 << i) - 1)) for i in range(40)]
+    df = spark.createDataFrame(rows, "class_id int, relative_path string, dhash bigint")
+    found = dedup.near_duplicate_classes(df, max_distance=1).collect()
+    assert {tuple(r) for r in found} == _brute_classes(rows, 1) and {r["near_class"] for r in found} == {"f24"}
+    assert dedup.near_duplicate_classes(df.limit(0), max_distance=1).count() == 0
+
+
 def test_members_of_equal_groups_pair_with_nobody(spark):
     rows = [(1, "a", 0), (1, "b", 0), (1, "c", 1), (1, "d", 3), (2, "e", 7), (1, "f", -1)]
     df = spark.createDataFrame(rows, "class_id int, relative_path string, dhash bigint")

@@ -4,14 +4,16 @@ import zlib
 from datetime import datetime
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from frondlake.functions import images as pixels
-from frondlake.operators import dedup, history
+from frondlake.operators import dedup, history, integrity
 from frondlake.session import checkpoint_folder, cut_lineage
 from frondlake.sources import images
 from frondlake.sources.history import read_history, with_partitions
+from frondlake.sources.listing import list_entries
 from frondlake.streaming import stats, uploads
 
 LEAF = (50, 140, 55)
@@ -121,6 +123,48 @@ def test_roots_may_be_uris(spark, folder):
     assert images.list_images(spark, str(root), include_empty=False).count() == plain.count() - 1
 
 
+def test_listing_of_flat_and_huge_folders(spark, tmp_path):
+    """Names stream in batches and are looked up by several tasks; empty directories and odd names are rows too."""
+    names = [f"leaf {i:05d}.jpg" for i in range(12_000)]
+    (tmp_path / "huge").mkdir()
+    for name in names:
+        (tmp_path / "huge" / name).touch()
+    deep = tmp_path / "a" / "b" / "c" / "d"
+    deep.mkdir(parents=True)
+    (tmp_path / "a" / "empty").mkdir()
+    (deep / "é#%20?.PNG").write_bytes(b"12345")
+    (tmp_path / "flat.gif").write_bytes(b"1")
+    (deep / "round").symlink_to(tmp_path)
+    (deep / "gone.png").symlink_to(tmp_path / "nowhere")
+    found = list_entries(spark, str(tmp_path)).collect()
+    base = f"file:{tmp_path}"
+    assert {r["path"].removeprefix(base) for r in found if r["directory"]} == {
+        "/huge", "/a", "/a/b", "/a/b/c", "/a/b/c/d", "/a/empty"}
+    files = {r["path"].removeprefix(base): r["file_size"] for r in found if not r["directory"]}
+    assert len(files) == len(found) - 6 and files == {f"/huge/{n}": 0 for n in names} | {"/a/b/c/d/é#%20?.PNG": 5, "/flat.gif": 1}
+    assert all(r["modified"] is not None for r in found if not r["directory"])
+    assert images.empty_files(spark, str(tmp_path)).count() == len(names)
+
+
+def test_listing_needs_no_list_in_a_task(monkeypatch, tmp_path):
+    from frondlake.sources import listing
+
+    for i in range(25):
+        (tmp_path / f"{i}.png").touch()
+    monkeypatch.setattr(listing, "NAMES_A_BATCH", 10)
+    batches = listing._list(iter([pa.RecordBatch.from_pydict({"path": [f"file:{tmp_path}"]})]))
+    assert [len(b) for b in batches] == [10, 10, 5]
+
+
+def test_missing_directories(spark, catalog, tmp_path):
+    (tmp_path / "corn" / "healthy").mkdir(parents=True)
+    (tmp_path / "lemon").mkdir()
+    directories = images.list_directories(spark, f"file://{tmp_path}")
+    assert sorted(r["id"] for r in integrity.missing_directories(catalog, directories).collect()) == [1, 3]
+    with pytest.raises(Exception, match="No such file|not exist"):
+        list_entries(spark, str(tmp_path / "no"))
+
+
 def test_model_input(spark, folder):
     root, _ = folder
     rows = {r["image"]: r["features"] for r in images.read_model_input(spark, str(root), size=4).collect()}

@@ -475,6 +475,13 @@ WHERE a.files = 1 AND b.files = 1 AND bit_count(xor(a.dhash, b.dhash)) <= 14),
 counted AS (SELECT *, count(*) OVER (PARTITION BY class_id) AS pairs,
        row_number() OVER (PARTITION BY class_id ORDER BY file_a, file_b) AS place FROM pairs)
 SELECT class_id, pairs, file_a, file_b, hamming_distance FROM counted WHERE place = 1""",
+    "near_duplicate_classes": f"""WITH RECURSIVE {_hash(8, 8)},
+links AS (SELECT a.label AS class_id, a.vec_id AS file, b.vec_id AS other
+FROM spread a JOIN spread b ON a.label = b.label AND a.vec_id <> b.vec_id
+WHERE a.files = 1 AND b.files = 1 AND bit_count(xor(a.dhash, b.dhash)) <= 14),
+reach(file, far) AS (SELECT file, file FROM links UNION SELECT r.file, l.other FROM reach r JOIN links l ON l.file = r.far),
+near AS (SELECT file, min(far) AS near_class FROM reach GROUP BY file)
+SELECT class_id, file AS relative_path, near_class, count(*) AS links FROM links JOIN near USING (file) GROUP BY ALL""",
     "softmax_topk": f"""WITH {CLASSES}, {SCORED}
 SELECT image, CAST(rank AS INTEGER) AS rank, id AS class_id, CAST(p.index AS INTEGER) AS class_index,
        key AS class_key, display_name, crop, disease, round(p, 6) AS confidence,

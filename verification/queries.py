@@ -385,6 +385,11 @@ def near_duplicate_counts(spark, folder):
         dedup.near_duplicates(_hashed(spark, folder), bits=HASH_BITS, max_distance=NEAR_DISTANCE))
 
 
+@query
+def near_duplicate_classes(spark, folder):
+    return dedup.near_duplicate_classes(_hashed(spark, folder), bits=HASH_BITS, max_distance=NEAR_DISTANCE)
+
+
 def _uploads(documents: DataFrame) -> DataFrame:
     """Documents as uploads: declared type by language, real format by a digest of the whole text."""
     declared = F.when(F.col("lang") == "es", "text/plain").when(
@@ -598,7 +603,7 @@ def epoch_batches(spark, folder):
 def exact_percentiles(spark, folder):
     return ordering.exact_percentiles(
         V.table(spark, folder, "lineitem"), ["l_returnflag"],
-        {"price": (F.col("l_extendedprice"), 256.0), "quantity": (F.col("l_quantity"), 1.0)},
+        {"price": F.col("l_extendedprice"), "quantity": F.col("l_quantity")},
         {"p10": 0.10, "median": 0.50, "p90": 0.90},
     ).select("l_returnflag", *[
         r6(f"{m}_{p}").alias(f"{m}_{p}") for m in ("price", "quantity") for p in ("p10", "median", "p90")])
