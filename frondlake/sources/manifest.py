@@ -6,9 +6,9 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from ..schemas import MANIFEST, MissingColumns
+from .records import read_records
 
 
 def read_manifest(spark: SparkSession, path: str, required: Sequence[str] = tuple(MANIFEST.fieldNames()),
@@ -16,38 +16,20 @@ def read_manifest(spark: SparkSession, path: str, required: Sequence[str] = tupl
     """Manifest rows as text. Missing required columns are an error, extra ones are kept.
 
     Only the header line is looked at here; the data is read lazily.
-    ``number_lines`` adds ``line``, the 1-based line in its file (data starts
-    at line 2). It assumes one line per record.
+    ``number_lines`` adds ``line``, the 1-based line of its file a record begins on
+    (data starts at line 2); records may then hold quoted line breaks.
     """
-    names = spark.read.option("header", True).csv(path).columns
+    reader = spark.read.option("header", True).option("escape", '"')
+    names = reader.csv(path).columns
     missing = sorted(set(required) - set(names))
     if missing:
         raise MissingColumns(f"manifest is missing columns: {missing}")
     schema = ", ".join(f"`{name}` STRING" for name in names)
-    rows = spark.read.option("header", True).option("enforceSchema", False).schema(schema).csv(path)
-    return with_line_numbers(rows) if number_lines else rows
-
-
-def with_line_numbers(rows: DataFrame, first: int = 2) -> DataFrame:
-    """Add ``line`` to rows read straight from files.
-
-    Row positions are consecutive inside a file block, so a count per block is
-    all that has to be accumulated; no row is sorted.
-    """
-    tagged = rows.select(
-        "*", F.col("_metadata.file_path").alias("_file"),
-        F.col("_metadata.file_block_start").alias("_block"),
-        F.monotonically_increasing_id().alias("_seq"),
-    )
-    before = Window.partitionBy("_file").orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
-    blocks = tagged.groupBy("_file", "_block").agg(
-        F.count(F.lit(1)).alias("_n"), F.min("_seq").alias("_first")
-    ).withColumn("_before", F.coalesce(F.sum("_n").over(before), F.lit(0)))
-    return (
-        tagged.join(blocks, ["_file", "_block"])
-        .withColumn("line", F.lit(first) + F.col("_before") + F.col("_seq") - F.col("_first"))
-        .select(*rows.columns, "line")
-    )
+    if not number_lines:
+        return reader.option("enforceSchema", False).schema(schema).csv(path)
+    records = read_records(spark, path).where("line > 1")
+    parsed = F.from_csv("record", schema, {"escape": '"'})
+    return records.select(parsed.alias("r"), "line").select("r.*", "line")
 
 
 def manifest_digest(spark: SparkSession, path: str) -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .catalog import catalog_document, label_lines
+from .records import CSV_OPTIONS
 
 
 def write_document(document: DataFrame, path: str) -> None:
@@ -17,12 +18,12 @@ def write_document(document: DataFrame, path: str) -> None:
 
 def write_report_csv(table: DataFrame, path: str) -> None:
     """Write a class-sized report table as one headed CSV file, in its row order."""
-    table.coalesce(1).write.mode("overwrite").option("header", True).csv(path)
+    table.coalesce(1).write.mode("overwrite").options(**CSV_OPTIONS).csv(path)
 
 
 def write_predictions_csv(details: DataFrame, path: str) -> None:
     """Write per-image rows as headed CSV files, one per partition."""
-    details.write.mode("overwrite").option("header", True).csv(path)
+    details.write.mode("overwrite").options(**CSV_OPTIONS).csv(path)
 
 
 def write_epoch_history_csv(history: DataFrame, path: str) -> None:
@@ -60,7 +61,7 @@ def write_version(root: str, catalog: DataFrame, manifest: DataFrame | None = No
     write_document(catalog_document(catalog), f"{folder}/labels.json")
     write_document(label_lines(catalog), f"{folder}/label.txt")
     if manifest is not None:
-        manifest.write.mode("error").option("header", True).csv(f"{folder}/manifest.csv")
+        manifest.write.mode("error").options(**CSV_OPTIONS).csv(f"{folder}/manifest.csv")
     for name, table in (tables or {}).items():
         table.write.mode("error").json(f"{folder}/{name}")
     _replace_file(spark, f"{root.rstrip('/')}/CURRENT", version)

@@ -475,6 +475,11 @@ WHERE a.files = 1 AND b.files = 1 AND bit_count(xor(a.dhash, b.dhash)) <= 14),
 counted AS (SELECT *, count(*) OVER (PARTITION BY class_id) AS pairs,
        row_number() OVER (PARTITION BY class_id ORDER BY file_a, file_b) AS place FROM pairs)
 SELECT class_id, pairs, file_a, file_b, hamming_distance FROM counted WHERE place = 1""",
+    "manifest_lines": f"""WITH {MANIFEST},
+keyed AS (SELECT *, CAST(regexp_extract(relative_path, '([0-9]+)\\.jpg$', 1) AS BIGINT) AS k FROM manifest)
+SELECT relative_path, CASE WHEN k % 5 = 0 THEN augmentation || chr(10) || 'said "so", twice' || chr(10) ELSE augmentation END AS augmentation,
+       CAST(2 + coalesce(sum(CASE WHEN k % 5 = 0 THEN 3 ELSE 1 END) OVER (
+           PARTITION BY k // 4096 ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS line FROM keyed""",
     "near_duplicate_classes": f"""WITH RECURSIVE {_hash(8, 8)},
 links AS (SELECT a.label AS class_id, a.vec_id AS file, b.vec_id AS other
 FROM spread a JOIN spread b ON a.label = b.label AND a.vec_id <> b.vec_id

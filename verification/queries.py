@@ -21,6 +21,8 @@ from frondlake.session import checkpoint_folder
 from frondlake.sources.catalog import label_lines
 from frondlake.sources.guidance import guidance_records
 from frondlake.sources.history import with_partitions
+from frondlake.sources.manifest import read_manifest
+from frondlake.sources.records import CSV_OPTIONS
 from frondlake.streaming import stats, uploads
 from frondlake.streaming.tables import table_stream
 
@@ -167,6 +169,18 @@ def first_manifest_violation(spark, folder):
         integrity.manifest_violations(V.faulty_manifest(spark, folder), V.classes(spark, folder)))
 
 
+@query
+def manifest_lines(spark, folder):
+    """The manifest written as CSV files of 4,096 orders, quoted line breaks among them, and read with its lines."""
+    key = F.regexp_extract("relative_path", r"([0-9]+)\.jpg$", 1).cast("bigint")
+    said = F.when(key % 5 == 0, F.concat("augmentation", F.lit('\nsaid "so", twice\n'))).otherwise(F.col("augmentation"))
+    rows = V.manifest(spark, folder).withColumns({"augmentation": said, "key": key, "bucket": F.floor(key / 4096)})
+    path = f"{checkpoint_folder(spark)}/manifest-{uuid.uuid4().hex}"
+    (rows.repartitionByRange("bucket").sortWithinPartitions("bucket", "key").drop("key").write.partitionBy("bucket")
+     .options(**CSV_OPTIONS).csv(path))
+    return read_manifest(spark, f"{path}/bucket=*", number_lines=True).select("relative_path", "augmentation", "line")
+
+
 @query
 def unknown_classes(spark, folder):
     return integrity.unknown_classes(V.faulty_manifest(spark, folder), V.classes(spark, folder)).select(
