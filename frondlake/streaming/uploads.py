@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from .. import constants as C
+from ..functions.headers import image_header
 from ..operators.ordering import rank_by_digest
 from ..sources import history as table
 
@@ -44,6 +45,19 @@ def triage(uploads: DataFrame, decoded_format: Column, *, content_type: str = "c
     })
 
 
+def inspect_uploads(uploads: DataFrame, *, content_type: str = "content_type", payload: str = "payload",
+                    max_bytes: int = C.MAX_UPLOAD_BYTES) -> DataFrame:
+    """``triage`` by the headers of the bytes; adds ``format``, ``width``, ``height``, ``mode`` too.
+
+    Payloads that would be rejected before their bytes are looked at are not walked.
+    """
+    size = F.octet_length(payload)
+    early = reject_reason(F.col(content_type), size, F.lit(C.UPLOAD_FORMATS[0]), max_bytes=max_bytes)
+    looked = uploads.withColumn("_header", image_header()(F.when(early.isNull(), F.col(payload))))
+    flat = looked.select("*", *[F.col(f"_header.{n}").alias(n) for n in ("format", "width", "height", "mode")]).drop("_header")
+    return triage(flat, F.col("format"), content_type=content_type, payload=payload, max_bytes=max_bytes)
+
+
 def accepted(triaged: DataFrame) -> DataFrame:
     return triaged.where(F.col("reject_reason").isNull()).drop("reject_reason")
 
@@ -76,13 +90,16 @@ def store_scans(triaged: DataFrame, score: Callable[[DataFrame], DataFrame], his
 
 
 def write_batch(scans: DataFrame, batch_id: int, history_path: str) -> None:
-    """Write one batch of scans; writing it again replaces it. The scans are evaluated once."""
+    """Write one batch of scans; writing it again replaces it. The scans are evaluated once.
+
+    Ids are ranked over the keys alone. The rows with their images move once, to meet
+    their ids through a hash join that does not sort them.
+    """
     keyed = table.scan_key(scans).persist(StorageLevel.DISK_ONLY)
     try:
-        ranked = rank_by_digest(keyed, "_key")
-        table.write_scans(
-            ranked.withColumn("id", F.lit(batch_id * BATCH_IDS) + F.col("rank")),
-            history_path, batch_id, "overwrite",
-        )
+        ids = rank_by_digest(keyed.select("_key"), "_key").select(
+            F.col("_key").alias("_ranked"), (F.lit(batch_id * BATCH_IDS) + F.col("rank")).alias("id"))
+        placed = keyed.drop("id").join(ids.hint("shuffle_hash"), F.col("_key") == F.col("_ranked"))
+        table.write_scans(placed, history_path, batch_id, "overwrite")
     finally:
         keyed.unpersist()

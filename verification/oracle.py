@@ -227,13 +227,19 @@ counted AS (
   SELECT *, pos - max(CASE WHEN improved THEN pos END) OVER (ORDER BY epoch) AS stale FROM marked)"""
 
 UPLOADS = """
+kinds AS (
+  SELECT doc_id, text, octet_length(encode(text)) AS n, substr(md5(text), 1, 1) AS digit,
+         CASE lang WHEN 'es' THEN 'text/plain' WHEN 'fr' THEN 'image/png' ELSE 'image/jpeg' END AS content_type FROM documents),
+sized AS (
+  SELECT *, CAST(CASE WHEN digit < '5' THEN n + 55 WHEN digit < '9' THEN n + 57 WHEN digit < 'c' THEN 43
+                      WHEN digit < 'e' THEN n WHEN digit = 'e' THEN n + 50 ELSE n + 57 END AS BIGINT) AS file_size FROM kinds),
 uploads AS (
-  SELECT doc_id, CASE lang WHEN 'es' THEN 'text/plain' WHEN 'fr' THEN 'image/png' ELSE 'image/jpeg' END AS content_type,
-         CAST(octet_length(encode(text)) AS BIGINT) AS file_size,
-         CASE WHEN substr(md5(text), 1, 1) >= 'c' THEN NULL WHEN substr(md5(text), 1, 1) >= '9' THEN 'GIF' ELSE 'JPEG' END AS format
-  FROM documents),
+  SELECT *, CASE WHEN content_type NOT IN ('image/jpeg', 'image/png') OR file_size > 4096 THEN NULL
+                 WHEN digit < '5' THEN 'JPEG' WHEN digit < '9' THEN 'PNG' WHEN digit < 'c' THEN 'GIF' END AS format FROM sized),
 triaged AS (
-  SELECT doc_id, content_type, file_size,
+  SELECT doc_id, text, content_type, file_size, format, CASE WHEN format IS NOT NULL THEN CAST(1 + doc_id % 4000 AS INTEGER) END AS width,
+         CASE WHEN format IS NOT NULL THEN CAST(1 + doc_id % 3000 AS INTEGER) END AS height,
+         CASE format WHEN 'GIF' THEN 'P' WHEN 'JPEG' THEN 'RGB' WHEN 'PNG' THEN 'RGB' END AS mode,
          CASE WHEN content_type NOT IN ('image/jpeg', 'image/png') THEN 'content_type_415'
               WHEN file_size = 0 THEN 'empty_400' WHEN file_size > 4096 THEN 'too_large_413'
               WHEN format IS NULL THEN 'not_an_image_400'
@@ -455,7 +461,7 @@ SELECT sha256, class_id, relative_path, files, CASE WHEN place = 1 THEN 'KEEP' E
 FROM ranked WHERE files > 1""",
     "dedup_keep_first": f"""WITH {FILES}
 SELECT doc_id, class_id, relative_path, sha256, file_size FROM ranked WHERE place = 1""",
-    "upload_triage": f"WITH {UPLOADS} SELECT doc_id, content_type, file_size, reject_reason FROM triaged",
+    "upload_triage": f"WITH {UPLOADS} SELECT doc_id, content_type, file_size, format, width, height, mode, reject_reason FROM triaged",
     "difference_hash": f"""WITH {_hash(8, 8)}
 SELECT vec_id AS image, dhash, printf('%016x', dhash) AS hash_text FROM hashed""",
     "visual_duplicates": f"""WITH {_hash(5, 2, ALL_LOGITS)}
@@ -586,8 +592,14 @@ SELECT doc_id, place, CAST((place - 1) // 32 AS BIGINT) AS batch FROM r""",
         for metric, column in (("price", "l_extendedprice"), ("quantity", "l_quantity"))
         for name, p in (("p10", 0.1), ("median", 0.5), ("p90", 0.9))
     ) + " FROM lineitem GROUP BY l_returnflag",
-    "stream_triage": f"""WITH {UPLOADS}
-SELECT doc_id, coalesce(reject_reason, 'accepted') AS outcome FROM triaged""",
+    "stream_triage": f"""WITH {UPLOADS},
+features AS (SELECT doc_id, unnest(range(64)) AS j, unnest(list_transform(range(64), lambda i:
+               instr('0123456789abcdef', substr(sha256(text), i::INTEGER + 1, 1)) + (i + 1) * (i + 1) / 7919::DOUBLE)) AS v FROM triaged WHERE reject_reason IS NULL),
+logits AS (SELECT doc_id, k, sum(v * ((k * 7 + j * 3) % 11 - 5) / 10) AS logit FROM features CROSS JOIN range(10) r(k) GROUP BY ALL),
+e AS (SELECT *, exp(logit - max(logit) OVER (PARTITION BY doc_id)) AS e FROM logits),
+scored AS (SELECT doc_id, 'class_' || arg_max(k, logit) AS class_key, round(max(e) / sum(e), 6) AS confidence FROM e GROUP BY doc_id)
+SELECT doc_id, coalesce(reject_reason, 'accepted') AS outcome, class_key, confidence,
+       CASE WHEN reject_reason IS NULL THEN file_size END AS image_bytes FROM triaged LEFT JOIN scored USING (doc_id)""",
     "stream_history": f"""WITH {HISTORY}
 SELECT class_key, CAST(CAST(ts AS DATE) AS VARCHAR) AS scan_date, count(*) AS scans, count(*) AS ids,
        round(sum(confidence_percent), 4) AS percent_sum FROM history GROUP BY ALL""",

@@ -404,21 +404,47 @@ def near_duplicate_classes(spark, folder):
     return dedup.near_duplicate_classes(_hashed(spark, folder), bits=HASH_BITS, max_distance=NEAR_DISTANCE)
 
 
-def _uploads(documents: DataFrame) -> DataFrame:
-    """Documents as uploads: declared type by language, real format by a digest of the whole text."""
+def _payload() -> Column:
+    """Image bytes around a document's text, the kind by a digit of its digest: JPEG, PNG, GIF, cut, forged, none."""
+    def number(value: Column | int, octets: int) -> Column:
+        return F.unhex(F.lpad(F.hex(value if isinstance(value, Column) else F.lit(value)), 2 * octets, "0"))
+
+    def raw(text: str) -> Column:
+        return F.unhex(F.lit(text.replace(" ", "")))
+
+    def chunk(kind: str, data: Column, flaw: int = 0) -> Column:
+        whole = F.concat(F.lit(kind).cast("binary"), data)
+        return F.concat(number(F.octet_length(data), 4), whole, number(F.crc32(whole).bitwiseXOR(F.lit(flaw).cast("bigint")), 4))
+
+    body, digit = F.col("text").cast("binary"), F.substring(F.md5(F.col("text").cast("binary")), 1, 1)
+    width, height = 1 + F.col("doc_id") % 4000, 1 + F.col("doc_id") % 3000
+    shape = F.concat(number(height, 2), number(width, 2))
+    jpeg = F.concat(raw("FFD8 FFE0 0010 4A46494600 0101 00 0001 0001 0000 FFC0 0011 08"), shape,
+                    raw("03 011100 021100 031100 FFDA 000C 03 0100 0211 0311 003F00"), body, raw("FFD9"))
+    start = F.concat(raw("89504E470D0A1A0A"), chunk("IHDR", F.concat(number(width, 4), number(height, 4), raw("0802000000"))))
+    end = chunk("IEND", raw(""))
+    png = F.concat(start, chunk("IDAT", body), end)
+    little = F.concat(*[F.reverse(F.lpad(F.hex(v), 4, "0")) for v in (width, height)])
+    sides = F.unhex(F.regexp_replace(little, "(.)(.)", "$2$1"))
+    gif = F.concat(F.lit("GIF89a").cast("binary"), sides, raw("000000 2C 00000000"), sides, raw("00 08 10"),
+                   F.unhex(F.md5(body)), raw("00 3B"))
+    return (F.when(digit < "5", jpeg).when(digit < "9", png).when(digit < "c", gif).when(digit < "e", body)
+            .when(digit == "e", F.substr(png, F.lit(1), F.octet_length(png) - 7))
+            .otherwise(F.concat(start, chunk("IDAT", body, flaw=1), end)))
+
+
+def _uploads(documents: DataFrame, *more: str) -> DataFrame:
+    """Documents as uploads: declared type by language, image bytes around the text."""
     declared = F.when(F.col("lang") == "es", "text/plain").when(
         F.col("lang") == "fr", "image/png").otherwise("image/jpeg")
-    digit = F.substring(F.md5(F.col("text").cast("binary")), 1, 1)
-    decoded = F.when(digit >= "c", F.lit(None).cast("string")).when(digit >= "9", "GIF").otherwise("JPEG")
-    rows = documents.select("doc_id", declared.alias("content_type"), F.col("text").cast("binary")
-                            .alias("payload"), decoded.alias("format"))
-    return uploads.triage(rows, F.col("format"), max_bytes=UPLOAD_BYTES)
+    rows = documents.select("doc_id", declared.alias("content_type"), _payload().alias("payload"), *more)
+    return uploads.inspect_uploads(rows, max_bytes=UPLOAD_BYTES)
 
 
 @query
 def upload_triage(spark, folder):
     return _uploads(V.table(spark, folder, "documents")).select(
-        "doc_id", "content_type", "file_size", "reject_reason")
+        "doc_id", "content_type", "file_size", "format", "width", "height", "mode", "reject_reason")
 
 
 # -- scoring and evaluation -------------------------------------------------
@@ -454,19 +480,20 @@ def normalize_features(spark, folder):
         "image", F.posexplode(normal).alias("position", "value")).withColumn("value", r6("value"))
 
 
-@query
-def batch_scoring(spark, folder):
-    def linear_head():
-        k, j = np.meshgrid(np.arange(10), np.arange(64), indexing="ij")
-        weights = ((k * 7 + j * 3) % 11 - 5) / 10.0
+def _linear_head():
+    k, j = np.meshgrid(np.arange(10), np.arange(64), indexing="ij")
+    weights = ((k * 7 + j * 3) % 11 - 5) / 10.0
+
+    def predict(batch: np.ndarray) -> np.ndarray:
+        return batch.astype(np.float64) @ weights.T
 
-        def predict(batch: np.ndarray) -> np.ndarray:
-            return batch.astype(np.float64) @ weights.T
+    return predict
 
-        return predict
 
+@query
+def batch_scoring(spark, folder):
     scored = scoring.score_batches(
-        V.vectors(spark, folder).drop("logits"), linear_head, "embedding", feature_shape=[64])
+        V.vectors(spark, folder).drop("logits"), _linear_head, "embedding", feature_shape=[64])
     return scoring.predicted_class(scored).select("image", "predicted", r6("confidence").alias("confidence"))
 
 
@@ -642,24 +669,29 @@ def _finish(stream: StreamingQuery) -> None:
 
 @query
 def stream_triage(spark, folder):
+    """Uploads from a stream: headers walked, accepted ones scored into the history, others set aside."""
     base = _scratch(spark)
-    triaged = _uploads(_stream(spark, folder, "documents")).select(
-        "doc_id", "file_size", "reject_reason", F.lit("all").alias("class_key"))
+    digits = F.sha2("text", 256)
+    features = F.transform(F.sequence(F.lit(1), F.lit(64)), lambda i: F.instr(F.lit("0123456789abcdef"), F.substr(digits, i, F.lit(1))) + i * i / F.lit(7919.0))
+    documents = _stream(spark, folder, "documents")
+    triaged = _uploads(documents.withColumn("features", features), "features")
 
     def as_scans(accepted: DataFrame) -> DataFrame:
-        nothing = [F.lit(None).cast(t).alias(n) for n, t in (
-            ("crop", "string"), ("disease", "string"), ("display_name", "string"), ("confidence", "double"),
-            ("confidence_percent", "double"), ("inference_ms", "double"), ("image", "binary"))]
-        return accepted.select(
-            F.col("doc_id").cast("string").alias("filename"), F.lit("image/jpeg").alias("content_type"),
-            "class_key", *nothing, F.timestamp_seconds("doc_id").alias("created_at"))
-
-    _finish(uploads.store_scans(
-        triaged, as_scans, f"{base}/history", f"{base}/rejects", f"{base}/checkpoint"))
+        scored = scoring.score_batches(accepted, _linear_head, "features", feature_shape=[64])
+        named = scoring.predicted_class(scored)
+        unknown = [F.lit(None).cast(t).alias(n) for n, t in (
+            ("crop", "string"), ("disease", "string"), ("display_name", "string"), ("inference_ms", "double"))]
+        return named.select(
+            F.col("doc_id").cast("string").alias("filename"), "content_type", F.col("payload").alias("image"),
+            F.concat(F.lit("class_"), "predicted").alias("class_key"), "confidence",
+            (F.col("confidence") * 100).alias("confidence_percent"), *unknown, F.timestamp_seconds("doc_id").alias("created_at"))
+
+    _finish(uploads.store_scans(triaged, as_scans, f"{base}/history", f"{base}/rejects", f"{base}/checkpoint"))
     taken = with_partitions(spark, f"{base}/history").select(
-        F.col("filename").cast("bigint").alias("doc_id"), F.lit("accepted").alias("outcome"))
+        F.col("filename").cast("bigint").alias("doc_id"), F.lit("accepted").alias("outcome"), "class_key",
+        r6("confidence").alias("confidence"), F.octet_length("image").cast("bigint").alias("image_bytes"))
     rejected = spark.read.parquet(f"{base}/rejects").select("doc_id", F.col("reject_reason").alias("outcome"))
-    return taken.unionByName(rejected)
+    return taken.unionByName(rejected, allowMissingColumns=True)
 
 
 @query
