@@ -97,17 +97,12 @@ _ATS, _DOTS = "|".join(AT_WORDS), "|".join(DOT_WORDS)
 _AT_BOXED = rf"{_OPEN}(?:{_ATS}|@){_SHUT}"
 _DOT_BOXED = rf"{_OPEN}(?:{_DOTS}|\.){_SHUT}"
 _DOT_WORD = rf"[ \t]{{1,3}}(?:{_DOTS})[ \t]{{1,3}}"
-_LABEL = r"[A-Za-z0-9-]{1,63}"
-_LOCAL = r"[A-Za-z0-9_%+-]{1,64}"
-# A boxed at is a clear sign; a bare word at needs a domain with a disguised dot.
-ADDRESS = re.compile(
-    rf"(?<![A-Za-z0-9_%+-]){_LOCAL}(?:(?:\.|{_DOT_BOXED}|{_DOT_WORD}){_LOCAL}){{0,5}}"
-    rf"(?:(?:{_AT_BOXED}){_LABEL}(?:(?:\.|{_DOT_BOXED}|{_DOT_WORD}){_LABEL}){{1,6}}"
-    rf"|(?:@|[ \t]{{1,3}}(?:@|{_ATS})[ \t]{{1,3}}){_LABEL}(?:\.{_LABEL}){{0,5}}"
-    rf"(?:(?:{_DOT_BOXED}|{_DOT_WORD}){_LABEL}){{1,6}})",
-    re.IGNORECASE)
-SIGN = re.compile(rf"(?P<at>{_AT_BOXED}|[ \t]{{1,3}}(?:@|{_ATS})[ \t]{{1,3}})|(?P<dot>{_DOT_BOXED}|{_DOT_WORD})",
-                  re.IGNORECASE)
+AT_SIGN = re.compile(rf"(?P<boxed>{_AT_BOXED})|[ \t]{{1,3}}(?:@|{_ATS})[ \t]{{1,3}}|@", re.IGNORECASE)
+LABEL = re.compile(r"[A-Za-z0-9-]+")
+DOT_SIGN = re.compile(rf"(?P<hidden>{_DOT_BOXED}|{_DOT_WORD})|\.", re.IGNORECASE)
+CHAIN = re.compile(rf"[A-Za-z0-9_%+-]+(?:(?:{_DOT_BOXED}|{_DOT_WORD}|\.)[A-Za-z0-9_%+-]+)*+(?P<open>(?:{_DOT_BOXED}|{_DOT_WORD}|\.)?)", re.IGNORECASE)
+REACH = 256
+LONGEST_SIGN = 32  # no disguised dot is longer
 BOX_CUE = re.compile(rf"[(\[{{<][ \t]{{0,2}}(?:{_ATS}|@|{_DOTS}|\.)[ \t]{{0,2}}[)\]}}>]")
 DOT_CUES = tuple(f"{before}{word}{after}" for word in DOT_WORDS for before in " \t" for after in " \t")
 
@@ -236,11 +231,55 @@ def ascii_forms(tape: Tape) -> Tape:
     return tape.rewrite([(m.start(), m.end(), ASCII_OF[m.group()]) for m in ODD.finditer(tape.text)])
 
 
+def _local_part(text: str, low: int, end: int) -> int | None:
+    """Where the chain of name parts that ends at ``end`` begins, not before ``low``."""
+    reach = REACH
+    while True:
+        start = max(low, end - reach)
+        last = None
+        for last in CHAIN.finditer(text, start, end):
+            pass
+        if last is None or last.end() != end or last["open"]:
+            return None
+        if last.start() > start + LONGEST_SIGN or start == low:
+            return last.start()
+        reach *= 2  # the chain may begin further to the left
+
+
+def _domain(text: str, at: int) -> tuple[int, list[tuple[int, int]], int, int]:
+    """End of the chain of labels at a place, the disguised dots in it, and how many dots of either kind."""
+    label, end, edits, hidden, dots = LABEL.match(text, at), at, [], 0, 0
+    while label:
+        end = label.end()
+        dot = DOT_SIGN.match(text, end)
+        label = LABEL.match(text, dot.end()) if dot else None
+        if label:
+            dots += 1
+            if dot["hidden"]:
+                hidden += 1
+                edits.append(dot.span())
+    return end, edits, hidden, dots
+
+
 def written_signs(tape: Tape) -> Tape:
-    edits = []
-    for match in ADDRESS.finditer(tape.text):
-        edits += [(s.start(), s.end(), "@" if s.lastgroup == "at" else ".")
-                  for s in SIGN.finditer(tape.text, match.start(), match.end())]
+    """Write the disguised signs of addresses: a boxed at needs a dot behind it, any other a disguised dot.
+
+    Each at is the place a chain of any length is followed from to both sides.
+    """
+    edits, done, text = [], 0, tape.text
+    for sign in AT_SIGN.finditer(text):
+        if sign.start() < done:
+            continue
+        end, right, hidden, dots = _domain(text, sign.end())
+        if not (dots if sign["boxed"] else hidden):
+            continue
+        start = _local_part(text, done, sign.start())
+        if start is None:
+            continue
+        left = [m.span() for m in DOT_SIGN.finditer(text, start, sign.start()) if m["hidden"]]
+        edits += [(*span, ".") for span in left] + ([(*sign.span(), "@")] if sign.group() != "@" else [])
+        edits += [(*span, ".") for span in right]
+        done = end
     return tape.rewrite(edits)
 
 
