@@ -98,6 +98,55 @@ def dedup_plan(records: DataFrame, key: str, *, class_col: str = "class_id",
     )
 
 
+def removal_plan(records: DataFrame, *, exact_key: str = "sha256", visual_key: str = "dhash",
+                 order_by: Sequence[str] = _ORDER) -> DataFrame:
+    """Every file that duplicate removal would delete, with the file kept in its place.
+
+    Exact copies go first (``stage`` is ``exact``); visual duplicates are judged among
+    the files that remain, so none is deleted on account of a file that goes itself
+    and none is listed twice. ``files`` is the size of the group in its stage. Invalid
+    records and records without a hash stay. ``order_by`` must identify a file; the same
+    file listed twice is no duplicate of itself.
+
+    Groups travel as keys: one narrow row per distinct exact hash is written to the
+    checkpoint folder and carries the visual hash of the record it keeps.
+    """
+    usable = records.where("valid") if "valid" in records.columns else records
+    row = F.struct(*order_by, F.col(visual_key).alias("_visual"))
+    exact = cut_lineage(usable.where(F.col(exact_key).isNotNull()).groupBy(F.col(exact_key).alias("_hash")).agg(
+        F.count(F.lit(1)).alias("files"), F.min(row).alias("keep")))
+    bare = usable.where(F.col(exact_key).isNull()).select(F.col(visual_key).alias("_visual"), *order_by)
+    remaining = exact.select("keep._visual", *[F.col(f"keep.{c}").alias(c) for c in order_by]).unionByName(bare).where(
+        "_visual is not null")
+    visual = remaining.groupBy("_visual").agg(
+        F.count(F.lit(1)).alias("files"), F.min(F.struct(*order_by)).alias("keep")).where("files > 1")
+
+    def gone(members: DataFrame, groups: DataFrame, key: str, stage: str) -> DataFrame:
+        joined = join_group_rows(members.select(key, *order_by), groups.select(key, "files", "keep"), key, "files")
+        first = F.struct(*[F.col(f"keep.{c}").alias(c) for c in order_by])
+        return joined.where(F.struct(*order_by) != first).select(
+            F.lit(stage).alias("stage"), *order_by, *[F.col(f"keep.{c}").alias(f"keep_{c}") for c in order_by], "files")
+
+    members = usable.where(F.col(exact_key).isNotNull()).withColumn("_hash", F.col(exact_key))
+    return gone(members, exact.where("files > 1"), "_hash", "exact").unionByName(
+        gone(remaining, visual, "_visual", "visual"))
+
+
+def removal_counts(plan: DataFrame) -> DataFrame:
+    """One row: files that each stage of a removal plan deletes."""
+    return plan.agg(*[F.count_if(F.col("stage") == s).alias(f"{s}_removed") for s in ("exact", "visual")])
+
+
+def example_classes(examples: DataFrame, key: str, *, class_col: str = "class_id",
+                    id_col: str = "relative_path") -> DataFrame:
+    """Cross-class examples per group and class: number of files and the first of them.
+
+    Its size is bounded by examples times classes, whatever the groups' sizes.
+    """
+    return examples.groupBy("example", key, class_col).agg(
+        F.count(F.lit(1)).alias("files"), F.min(id_col).alias("first_file"))
+
+
 def keep_first(records: DataFrame, key: str, *, order_by: Sequence[str] = _ORDER) -> DataFrame:
     """All records but the redundant members of duplicate groups.
 

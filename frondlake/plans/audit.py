@@ -10,11 +10,12 @@ from pyspark.sql import functions as F
 from .. import constants as C
 from ..operators import balance, dedup, health, profile
 from ..operators.rows import merge_single_rows
+from ..sources.sinks import write_document
 
 
 @dataclass(frozen=True)
 class Audit:
-    """Lazy frames of one audit; class-sized or one-row unless noted."""
+    """Frames of one audit; class-sized or one-row unless noted."""
 
     distribution: DataFrame
     totals: DataFrame
@@ -30,7 +31,7 @@ class Audit:
     exact_examples: DataFrame
     visual_examples: DataFrame
     near_duplicates: DataFrame  # grows with the number of pairs
-    removal_plan: DataFrame  # grows with the number of duplicates
+    removal_plan: DataFrame  # exact, then visual removals; grows with the number of duplicates
     readiness: DataFrame
     health: DataFrame
 
@@ -60,7 +61,7 @@ def audit_records(records: DataFrame, catalog: DataFrame, *,
         exact_examples=dedup.cross_class_examples(records, "sha256"),
         visual_examples=dedup.cross_class_examples(records, "dhash"),
         near_duplicates=dedup.near_duplicates(records, max_distance=max_distance, bits=hash_bits),
-        removal_plan=dedup.dedup_plan(records, "sha256"),
+        removal_plan=dedup.removal_plan(records),
         readiness=health.readiness_report(quality, distribution),
         health=health.health_score(quality, duplicates, distribution),
     )
@@ -89,6 +90,10 @@ def audit_document(audit: Audit, catalog: DataFrame, root: str = "") -> DataFram
         .agg(F.array_sort(F.collect_list(F.struct("class_id", "file_a", "file_b", "hamming_distance")))
              .alias("near_duplicate_examples"))
     )
+
+    def across(found: DataFrame, key: str, name: str) -> DataFrame:
+        return _by_class(dedup.example_classes(found, key), name, "example")
+
     # Fixed values used by this audit.
     configuration = F.create_map(*[F.lit(x) for pair in (
         ("min_acceptable_size", float(C.INPUT_SIZE)), ("ideal_source_size", float(C.IDEAL_SIZE)),
@@ -106,13 +111,28 @@ def audit_document(audit: Audit, catalog: DataFrame, root: str = "") -> DataFram
         _by_class(audit.formats, "formats"), _by_class(audit.modes, "modes"),
         _by_class(audit.defects, "defect_examples", "defect"),
         _nested(audit.duplicates, "duplicates"),
+        across(audit.exact_examples, "sha256", "exact_cross_class_examples"),
+        across(audit.visual_examples, "dhash", "visual_cross_class_examples"),
         near.agg(F.count(F.lit(1)).alias("near_duplicate_pairs")), examples,
+        _nested(dedup.removal_counts(audit.removal_plan), "removal"),
         _nested(audit.readiness, "readiness"), _map(audit.weights, "class_id", "weight", "class_weights"),
         _nested(audit.health, "health"),
     ).withColumns({"dataset_root": F.lit(root), "configuration": configuration})
     return merged.select(F.to_json(F.struct(*merged.columns)).alias("value"))
 
 
+def write_audit(audit: Audit, catalog: DataFrame, path: str, root: str = "") -> None:
+    """Write the report document, the removal plan and the members of the cross-class examples below ``path``.
+
+    The report holds class-sized results only; what grows with the duplicates is
+    written as tables, many files wide.
+    """
+    write_document(audit_document(audit, catalog, root), f"{path}/report")
+    audit.removal_plan.write.mode("overwrite").parquet(f"{path}/removals")
+    for name, examples in (("exact", audit.exact_examples), ("visual", audit.visual_examples)):
+        examples.write.mode("overwrite").parquet(f"{path}/{name}_examples")
+
+
 def training_config(distribution: DataFrame, catalog: DataFrame) -> DataFrame:
     """One row ``value``: input size, normalisation, class names, counts and weights as JSON."""
     def numbers(values):

@@ -148,6 +148,48 @@ def test_cross_class_examples(copies):
     assert {(r["example"], r["relative_path"]) for r in rows} == {(1, "p/b"), (1, "p/c"), (1, "p/z")}
 
 
+RECORD = "valid boolean, class_id int, relative_path string, sha256 string, dhash bigint"
+
+
+def _removed(rows):
+    """Brute force: exact copies, then visual ones among what is left."""
+    found, left = set(), [r for r in rows if r[0]]
+    for stage, at in (("exact", 3), ("visual", 4)):
+        groups = {}
+        for r in left:
+            groups.setdefault(r[at], []).append(r[1:3])
+        first = {h: min(g) for h, g in groups.items() if h is not None}
+        gone = [r for r in left if r[at] is not None and r[1:3] != first[r[at]]]
+        found |= {(stage, *r[1:3], *first[r[at]], len(groups[r[at]])) for r in gone}
+        left = [r for r in left if r not in gone]
+    return found
+
+
+def test_removal_plan_judges_visual_duplicates_over_the_exact_survivors(spark):
+    rng = random.Random(5)
+    rows = [(rng.random() > 0.05, rng.randint(1, 4), f"f{i:04d}",
+             rng.choice([None, "hot", "hot", *map(str, range(150))]), rng.choice([None, 7, 7, *range(100, 220)]))
+            for i in range(600)]
+    df = spark.createDataFrame(rows, RECORD)
+    plan = dedup.removal_plan(df)
+    got = [tuple(r) for r in plan.collect()]
+    assert set(got) == _removed(rows) and len(got) == len(set(got))
+    files = [r[1:3] for r in got]
+    assert len(files) == len(set(files)) and {r[0] for r in got} == {"exact", "visual"}
+    assert tuple(dedup.removal_counts(plan).first()) == tuple(
+        sum(r[0] == stage for r in got) for stage in ("exact", "visual"))
+    chained = [(True, 1, "a", "x", 1), (True, 1, "b", "x", 2), (True, 1, "c", "y", 2), (True, 1, "a", "x", 1)]
+    # b goes as a copy of a, so c has no visual duplicate left; a listed twice is not its own copy.
+    assert [r["relative_path"] for r in dedup.removal_plan(spark.createDataFrame(chained, RECORD)).collect()] == ["b"]
+    assert dedup.removal_plan(df.where("class_id > 9")).count() == 0
+    assert tuple(dedup.removal_counts(dedup.removal_plan(df.where("class_id > 9"))).first()) == (0, 0)
+
+
+def test_example_classes(copies):
+    found = dedup.example_classes(dedup.cross_class_examples(copies, "sha256"), "sha256").collect()
+    assert {tuple(r) for r in found} == {(1, "h1", 1, 2, "p/c"), (1, "h1", 2, 1, "p/b")}
+
+
 def test_empty_input(spark, copies):
     nothing = copies.where("class_id > 99")
     assert tuple(dedup.duplicate_summary(nothing, "sha256").first()) == (0, 0, 0, 0, 0)

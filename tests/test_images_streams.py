@@ -253,6 +253,34 @@ def test_stream_statistics_equal_batch(spark, tmp_path):
     assert tuple(streamed) == tuple(batch) == (3, 1, 2, 26.7, "A__X")
 
 
+def test_class_totals_keep_few_snapshots(spark, tmp_path):
+    path = str(tmp_path / "totals")
+    schema = "class_key string, display_name string, scans bigint, percent_sum double, percent_count bigint"
+
+    def totals(n):
+        return spark.createDataFrame([("a__x", "A", n, 10.0 * n, n), ("b__y", "B", 1, 2.0, 1)], schema)
+
+    def stored():
+        return {int(p.name.split("=")[1]) for p in (tmp_path / "totals").glob("batch_id=*")}
+
+    with pytest.raises(FileNotFoundError):
+        stats.latest_class_totals(spark, path)
+    for batch in range(50):
+        stats.store_class_totals(totals(batch), batch, path)
+        assert len(stored()) <= 3
+    stats.store_class_totals(totals(49), 49, path)
+    assert stored() == {47, 48, 49}
+    assert sorted(stats.latest_class_totals(spark, path).collect()) == sorted(totals(49).collect())
+    # A folder without its mark was not finished: the one before it counts.
+    stats.store_class_totals(totals(50), 50, path)
+    (tmp_path / "totals" / "batch_id=50" / "_SUCCESS").unlink()
+    assert {r["scans"] for r in stats.latest_class_totals(spark, path).collect()} == {49, 1}
+    stats.store_class_totals(totals(50), 50, path, keep=1)
+    assert stored() == {50}
+    with pytest.raises(ValueError):
+        stats.store_class_totals(totals(51), 51, path, keep=0)
+
+
 def test_checkpoint_folder_is_stable(spark):
     assert checkpoint_folder(spark) == checkpoint_folder(spark)
     assert cut_lineage(spark.range(3)).count() == 3

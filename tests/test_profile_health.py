@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from frondlake.operators import balance, dedup, health, profile
-from frondlake.plans.audit import audit_document, audit_records, training_config
+from frondlake.plans.audit import audit_document, audit_records, training_config, write_audit
 
 RAW = ("class_id int, relative_path string, valid boolean, width int, height int, format string, mode string, "
        "file_size bigint, sha256 string, dhash bigint")
@@ -146,3 +146,16 @@ def test_audit_document(records, catalog):
     config = json.loads(training_config(audit.distribution, catalog).first()["value"])
     assert config["num_classes"] == 3 and config["class_counts"] == {"1": 4, "2": 1, "3": 0}
     assert config["class_weights"] == {"1": 0.625, "2": 2.5} and config["normalization_mean"] == [0.485, 0.456, 0.406]
+
+
+def test_audit_document_names_examples_and_removals(spark, records, catalog, tmp_path):
+    audit = audit_records(records, catalog)
+    write_audit(audit, catalog, str(tmp_path), "/data")
+    report = json.loads(spark.read.text(f"{tmp_path}/report").first()["value"])
+    assert report["exact_cross_class_examples"] == [
+        {"example": 1, "sha256": "h1", "class_id": 1, "files": 1, "first_file": "a/1"},
+        {"example": 1, "sha256": "h1", "class_id": 2, "files": 1, "first_file": "b/1"}]
+    assert [e["class_id"] for e in report["visual_cross_class_examples"]] == [1, 2]
+    assert report["removal"] == {"exact_removed": 1, "visual_removed": 0}
+    assert [tuple(r) for r in spark.read.parquet(f"{tmp_path}/removals").collect()] == [("exact", 2, "b/1", 1, "a/1", 2)]
+    assert spark.read.parquet(f"{tmp_path}/exact_examples").count() == 2

@@ -102,6 +102,24 @@ def test_ranked_predictions_and_exports(spark, catalog, tmp_path):
     assert [p["rank"] for p in stored["a"]["predictions"]] == [1, 2] and stored["a"]["checkpoint"] == "model"
 
 
+def test_inference_time_reaches_the_written_predictions(spark, catalog, tmp_path):
+    rows = spark.createDataFrame([(f"i{i}", [float(i), 1.0, 0.0]) for i in range(7)], "image string, features array<double>")
+
+    def predictor():
+        return lambda batch: np.asarray(batch, dtype=np.float64)
+
+    plain = scoring.score_batches(rows, predictor, "features", feature_shape=[3])
+    timed = scoring.score_batches(rows, predictor, "features", feature_shape=[3], time_into="inference_ms")
+    assert timed.columns == ["image", "features", "logits", "inference_ms"]
+    assert sorted(timed.drop("inference_ms").collect()) == sorted(plain.collect())
+    ranked = scoring.rank_predictions(timed, catalog, top_k=2, carry=["inference_ms"])
+    path = str(tmp_path / "predictions")
+    sinks.write_predictions_json(scoring.nest_predictions(ranked, carry=["inference_ms"]), path, checkpoint="model")
+    stored = spark.read.json(path).collect()
+    assert len(stored) == 7 and all(0 <= r["inference_ms"] < 60_000 for r in stored)
+    assert all(set(p.asDict()) >= {"rank", "confidence"} and "inference_ms" not in p for r in stored for p in r["predictions"])
+
+
 def test_low_confidence_is_strict(spark):
     rows = spark.createDataFrame([(0.5,), (0.49,)], "confidence double")
     assert [r["uncertain"] for r in scoring.flag_uncertain(rows).collect()] == [False, True]

@@ -112,6 +112,22 @@ ranked AS (
   FROM files)"""
 
 
+REMOVALS = ASSETS + """,
+exact AS (
+  SELECT *, count(*) OVER w AS n, first_value(class_id) OVER o AS first_class, first_value(relative_path) OVER o AS first_path
+  FROM assets WHERE valid
+  WINDOW w AS (PARTITION BY sha256), o AS (PARTITION BY sha256 ORDER BY class_id, relative_path)),
+visual AS (
+  SELECT *, count(*) OVER w AS m, first_value(class_id) OVER o AS second_class, first_value(relative_path) OVER o AS second_path
+  FROM exact WHERE relative_path = first_path AND class_id = first_class
+  WINDOW w AS (PARTITION BY dhash), o AS (PARTITION BY dhash ORDER BY class_id, relative_path)),
+removals AS (
+  SELECT 'exact' AS stage, class_id, relative_path, first_class AS keep_class_id, first_path AS keep_relative_path, n AS files
+  FROM exact WHERE relative_path <> first_path OR class_id <> first_class
+  UNION ALL SELECT 'visual', class_id, relative_path, second_class, second_path, m
+  FROM visual WHERE relative_path <> second_path OR class_id <> second_class)"""
+
+
 # Ten logits a vector: the sums of every tenth value.
 ALL_LOGITS = "[" + ", ".join(
     " + ".join(f"embedding[{i + 1}]::DOUBLE" for i in range(k, 64, 10)) for k in range(10)) + "]"
@@ -284,6 +300,27 @@ SELECT split, CASE WHEN class_id > 7 THEN class_id - 1 ELSE class_id END AS clas
        CASE WHEN class_id > 7 THEN class_index - 1 ELSE class_index END AS class_index,
        class_key, display_name, crop, disease, family_id, augmentation, relative_path
 FROM manifest WHERE class_id <> 7""",
+    "manifest_changes": f"""WITH {MANIFEST}
+SELECT 'rename' AS operation, regexp_replace(relative_path, '^[^/]+', 'far_east') AS relative_path, 'changed' AS change,
+       1::BIGINT AS old_rows, 1::BIGINT AS new_rows, 'class_key,display_name,crop,relative_path' AS fields
+FROM manifest WHERE class_id = 3
+UNION ALL SELECT 'delete', relative_path, CASE WHEN class_id = 7 THEN 'removed' ELSE 'changed' END,
+       1, CASE WHEN class_id = 7 THEN 0 ELSE 1 END, CASE WHEN class_id = 7 THEN '' ELSE 'class_id,class_index' END
+FROM manifest WHERE class_id >= 7""",
+    "change_records": f"""WITH {MANIFEST}
+SELECT 'rename' AS operation, max(key) FILTER (id = 3) AS old_keys, max('far_east__' || disease) FILTER (id = 3) AS new_keys,
+       'Far East 2' AS new_names, string_agg(id || ':' || id, ',' ORDER BY id || ':' || id) AS id_remap,
+       0::BIGINT AS manifest_paths_added, 0::BIGINT AS manifest_paths_removed,
+       (SELECT count(*) FROM manifest WHERE class_id = 3) AS manifest_paths_changed,
+       (SELECT count(*) FROM manifest WHERE class_id = 3) AS moved_files, false AS applied
+FROM classes
+UNION ALL
+SELECT 'delete', max(key) FILTER (id = 7), '', '',
+       string_agg(id || ':' || (CASE WHEN id > 7 THEN id - 1 ELSE id END), ','
+         ORDER BY id || ':' || (CASE WHEN id > 7 THEN id - 1 ELSE id END)) FILTER (id <> 7),
+       0, (SELECT count(*) FROM manifest WHERE class_id = 7), (SELECT count(*) FROM manifest WHERE class_id > 7),
+       (SELECT count(*) FROM manifest WHERE class_id = 7), false
+FROM classes""",
     "manifest_scan": f"WITH {MANIFEST} SELECT {MANIFEST_COLUMNS} FROM manifest",
     "manifest_class_counts": f"""WITH {MANIFEST}
 SELECT CAST(id AS BIGINT) AS class_id, c.display_name, count(relative_path) AS manifest_images
@@ -459,6 +496,14 @@ SELECT example, sha256, class_id, relative_path FROM ranked JOIN groups USING (s
     "dedup_plan": f"""WITH {FILES}
 SELECT sha256, class_id, relative_path, files, CASE WHEN place = 1 THEN 'KEEP' ELSE 'DUPLICATE' END AS status
 FROM ranked WHERE files > 1""",
+    "removal_plan": f"WITH {REMOVALS} SELECT * FROM removals",
+    "removal_counts": f"""WITH {REMOVALS} SELECT count(*) FILTER (stage = 'exact') AS exact_removed,
+       count(*) FILTER (stage = 'visual') AS visual_removed FROM removals""",
+    "duplicate_example_classes": f"""WITH {FILES},
+groups AS (SELECT sha256, CAST(row_number() OVER (ORDER BY class_id, relative_path) AS INTEGER) AS example
+           FROM ranked WHERE place = 1 AND files > 1 AND cross_class)
+SELECT example, sha256, class_id, count(*) AS files, min(relative_path) AS first_file
+FROM ranked r JOIN groups USING (sha256) WHERE example <= 15 GROUP BY ALL""",
     "dedup_keep_first": f"""WITH {FILES}
 SELECT doc_id, class_id, relative_path, sha256, file_size FROM ranked WHERE place = 1""",
     "upload_triage": f"WITH {UPLOADS} SELECT doc_id, content_type, file_size, format, width, height, mode, reject_reason FROM triaged",

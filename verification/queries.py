@@ -14,7 +14,7 @@ from pyspark.sql.window import Window
 from frondlake.functions import text, vectors
 from frondlake.operators import (
     balance, dedup, evaluation, guidance, health, history, integrity, mutation, ordering, profile,
-    scoring, training,
+    scoring, training, versions,
 )
 from frondlake.plans.dataset import dataset_summary, dataset_violations
 from frondlake.session import checkpoint_folder
@@ -111,6 +111,36 @@ def class_delete(spark, folder):
     return _manifest_columns(change.manifest)
 
 
+def _changes(spark, folder) -> tuple[DataFrame, DataFrame, dict[str, mutation.Change]]:
+    catalog, manifest = V.classes(spark, folder), V.manifest(spark, folder)
+    return catalog, manifest, {
+        "rename": mutation.rename_class(catalog, manifest, 3, crop="Far East", display_name=" Far East 2 "),
+        "delete": mutation.delete_class(catalog, manifest, 7)}
+
+
+@query
+def manifest_changes(spark, folder):
+    """Paths that a rename and a deletion of a class touch."""
+    _, manifest, changes = _changes(spark, folder)
+    found = [versions.manifest_changes(manifest, c.manifest, c.moves if name == "rename" else None).withColumn("operation", F.lit(name))
+             for name, c in changes.items()]
+    return found[0].unionByName(found[1]).withColumn("fields", joined("fields"))
+
+
+@query
+def change_records(spark, folder):
+    """What the operation log keeps of a rename and a deletion."""
+    catalog, manifest, changes = _changes(spark, folder)
+    records = [versions.change_record(c, catalog, manifest, applied=False).withColumn("operation", F.lit(name))
+               for name, c in changes.items()]
+    pairs = F.transform(F.map_entries("id_remap"), lambda e: F.concat(e["key"], F.lit(":"), e["value"].cast("string")))
+    return records[0].unionByName(records[1]).select(
+        "operation", F.array_join("old_classes.key", ",").alias("old_keys"),
+        F.array_join("new_classes.key", ",").alias("new_keys"),
+        F.array_join("new_classes.display_name", ",").alias("new_names"), F.array_join(F.array_sort(pairs), ",").alias("id_remap"),
+        "manifest_paths_added", "manifest_paths_removed", "manifest_paths_changed", "moved_files", "applied")
+
+
 @query
 def manifest_scan(spark, folder):
     return _manifest_columns(integrity.check_manifest_header(V.manifest(spark, folder)))
@@ -360,6 +390,21 @@ def dedup_plan(spark, folder):
     return dedup.dedup_plan(V.files(spark, folder), "sha256")
 
 
+@query
+def removal_plan(spark, folder):
+    return dedup.removal_plan(V.assets(spark, folder))
+
+
+@query
+def removal_counts(spark, folder):
+    return dedup.removal_counts(dedup.removal_plan(V.assets(spark, folder)))
+
+
+@query
+def duplicate_example_classes(spark, folder):
+    return dedup.example_classes(dedup.cross_class_examples(V.files(spark, folder), "sha256"), "sha256")
+
+
 @query
 def dedup_keep_first(spark, folder):
     return dedup.keep_first(V.files(spark, folder), "sha256")
