@@ -5,8 +5,12 @@ the base rules go into quantile sketches per (language, source): relative-error
 histograms whose bucket is the value cut to its leading ``BITS`` bits. Counts of
 equal buckets add up, so sketches merge exactly, in any order, and the result
 does not depend on how the rows are spread or on which task was run twice.
-Fences are read from the sketch of the (language, source); if it has fewer than
-``least`` texts, from the merged sketch of the language, else of everything:
+The sketch of a (language, source) is blended with that of its language, which is
+itself blended with the sketch of everything: the parent's shares count like ``prior``
+further rows, so shares move smoothly from the parent's to the group's own as its rows
+become more, and there is no size at which the rule changes. Where a group and its parent
+differ much, their blend has two heights and a quartile may still step from one to the
+other; the wide range between its quartiles then spares both. From the blended sketch:
 
     upper = q3 + REACH * max(q3 - q1, spread),  lower = q1 - REACH * max(q3 - q1, spread)
 
@@ -14,13 +18,13 @@ A text is kept if it passes the base rules and no measure is outside its
 fences. Only far outliers of the own group fall, whatever is usual there.
 
 The sketches have a few hundred rows per group and come from a map-side combined
-aggregate; the measured table (no texts) is kept in the checkpoint folder and
-joined with the fences, a join that Spark may broadcast or split when one source
-holds most rows. Only built-in functions are used.
+aggregate; they and the measured table (no texts) are kept in the checkpoint folder.
+The latter is joined with the fences, a join that Spark may broadcast or split when one
+source holds most rows. Only built-in functions are used.
 
 Rows: null text counts as empty; it has no words and fails the base rules. Null
 language or source is a group of its own. Ties and repeated rows count each.
-Input columns other than the measured ones pass unchanged, except columns with
+Very long texts are measured whole, in one task each. Input columns other than the measured ones pass unchanged, except columns with
 the name of a result. An empty table gives an empty table.
 """
 
@@ -32,8 +36,10 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from ..session import cut_lineage
+from .ordered import free_names
 
 SYMBOLS = "#*$%&|<>"
 SPACES = "\t\n\x0b\x0c\r "
@@ -50,7 +56,7 @@ MEASURES = (
     ("capital_rate", "n_capitals", 1000, "word_chars", 100, False),
 )
 REACH = 3
-LEAST_ROWS = 200
+PRIOR = 100
 BITS = 6
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_capitals")
 
@@ -97,21 +103,21 @@ def repeated_words(words: Column) -> Column:
 
 def measure(docs: DataFrame, text: str = "text") -> DataFrame:
     """Add the counts of ``COUNTS`` and ``base_failed``, drop the text."""
-    kept = [c for c in docs.columns if c not in (*COUNTS, "base_failed", text, "_t", "_w", "_l")]
-    whole = F.coalesce(F.col(text), F.lit(""))
-    rows = docs.select(*kept, whole.alias("_t")).withColumn(
-        "_w", F.array_remove(F.split("_t", r"[ \x09-\x0D]+"), "")).withColumn(
-        "_l", F.filter(F.split("_t", "\n"), lambda line: line.rlike(r"[^ \x09-\x0D]")))
+    kept = [c for c in docs.columns if c not in (*COUNTS, "base_failed", text)]
+    whole, words, lines = free_names([*docs.columns, *COUNTS], "whole", "words", "lines")
+    rows = docs.select(*kept, F.coalesce(F.col(text), F.lit("")).alias(whole)).withColumn(
+        words, F.array_remove(F.split(whole, r"[ \x09-\x0D]+"), "")).withColumn(
+        lines, F.filter(F.split(whole, "\n"), lambda line: line.rlike(r"[^ \x09-\x0D]")))
 
     def without(characters: str) -> Column:
-        return F.length(F.translate("_t", characters, ""))
+        return F.length(F.translate(whole, characters, ""))
 
     rows = rows.select(
-        *kept, F.size("_w").cast("long").alias("n_words"), without(SPACES).cast("long").alias("word_chars"),
-        (F.length("_t") - without(SYMBOLS)).cast("long").alias("n_symbols"),
-        (F.size("_l") - F.size(F.array_distinct("_l"))).cast("long").alias("n_dup_lines"),
-        repeated_words(F.col("_w")).alias("n_repeat_words"), F.size("_l").cast("long").alias("n_lines"),
-        (F.length("_t") - without(string.ascii_uppercase)).cast("long").alias("n_capitals"))
+        *kept, F.size(words).cast("long").alias("n_words"), without(SPACES).cast("long").alias("word_chars"),
+        (F.length(whole) - without(SYMBOLS)).cast("long").alias("n_symbols"),
+        (F.size(lines) - F.size(F.array_distinct(lines))).cast("long").alias("n_dup_lines"),
+        repeated_words(F.col(words)).alias("n_repeat_words"), F.size(lines).cast("long").alias("n_lines"),
+        (F.length(whole) - without(string.ascii_uppercase)).cast("long").alias("n_capitals"))
     return rows.withColumn("base_failed", (F.col("n_words") < LEAST_WORDS) | (
         100 * F.col("n_repeat_words") > REPEAT_PERCENT * F.col("n_words")))
 
@@ -137,56 +143,63 @@ def sketches(measured: DataFrame, lang: str = "lang", source: str = "source") ->
         "lang", "source", "v.measure", "v.bucket").agg(F.count(F.lit(1)).alias("n"))
 
 
-def _quartiles(sketch: DataFrame, keys: list[str]) -> DataFrame:
-    """Rows and quartiles per key and measure: the lowest bucket that reaches a quarter, three quarters."""
-    summed = sketch.groupBy(*keys, "measure", "bucket").agg(F.sum("n").alias("n"))
-    pairs = F.array_sort(F.collect_list(F.struct("bucket", "n")))  # the buckets of one measure: a few hundred
-    grouped = summed.groupBy(*keys, "measure").agg(pairs.alias("b"), F.sum("n").alias("rows"))
-
-    def quartile(quarters: int) -> Column:
-        state = F.aggregate(
-            "b", F.struct(F.lit(0).cast("long").alias("seen"), F.lit(None).cast("long").alias("at")),
-            lambda a, x: F.struct((a.seen + x.n).alias("seen"), F.when(
-                a["at"].isNull() & (4 * (a.seen + x.n) >= quarters * F.col("rows")), x.bucket).otherwise(a["at"]).alias("at")))
-        return state["at"]
-
-    return grouped.select(*keys, "measure", "rows", quartile(1).alias("q1"), quartile(3).alias("q3"))
+def _blend(sketch: DataFrame, keys: list[str], parent: DataFrame | None, prior: int) -> DataFrame:
+    """(keys, measure, bucket, share): the part of the values up to each bucket, the parent's counted as ``prior`` rows.
+
+    ``parent`` is the blend of all but the last key; it has every bucket of this level.
+    """
+    counts = sketch.groupBy(*keys, "measure", "bucket").agg(F.sum("n").alias("n"))
+    upto = Window.partitionBy(*keys, "measure").orderBy("bucket").rowsBetween(Window.unboundedPreceding, 0)
+    whole = Window.partitionBy(*keys, "measure")
+    running, rows = F.sum("n").over(upto).cast("double"), F.sum("n").over(whole).cast("double")
+    if parent is None:
+        return counts.select(*keys, "measure", "bucket", (running / rows).alias("share"))
+    above = parent.groupBy(*keys[:-1], "measure").agg(
+        F.collect_list(F.struct("bucket", "share")).alias("above"))  # the buckets of one measure: a few hundred
+    above = above.select(*[F.col(k).alias(f"above_{k}") for k in keys[:-1]], F.col("measure").alias("above_measure"), "above")
+    on = reduce(lambda a, k: a & F.col(k).eqNullSafe(F.col(f"above_{k}")), keys[:-1], F.col("measure") == F.col("above_measure"))
+    groups = counts.select(*keys, "measure").distinct()
+    # without keys the parent is a row a measure, each of at most 2 ** BITS * 64 buckets
+    grid = groups.join(above if keys[:-1] else F.broadcast(above), on).select(*keys, "measure", F.explode("above").alias("a"))
+    none, zero = F.lit(None).cast("double").alias("share"), F.lit(0).cast("long").alias("n")
+    both = grid.select(*keys, "measure", "a.bucket", zero, "a.share").unionByName(
+        counts.select(*keys, "measure", "bucket", "n", none))
+    filled = both.groupBy(*keys, "measure", "bucket").agg(F.sum("n").alias("n"), F.max("share").alias("share"))
+    mixed = (running + F.lit(float(prior)) * F.col("share")) / (rows + F.lit(float(prior)))
+    return filled.select(*keys, "measure", "bucket", mixed.alias("share"))
+
+
+def fences(sketch: DataFrame, prior: int = PRIOR) -> DataFrame:
+    """One row per (lang, source) with a map from measure to (lower, upper)."""
+    blend = None
+    for keys in ([], ["lang"], ["lang", "source"]):
+        blend = _blend(sketch, keys, blend, prior)
 
+    def quartile(quarters: float) -> Column:
+        return F.min(F.when(4 * F.col("share") >= quarters, F.col("bucket")))
 
-def fences(sketch: DataFrame, least: int = LEAST_ROWS) -> DataFrame:
-    """One row per (lang, source) with a map from measure to (lower, upper)."""
-    levels = [_quartiles(sketch, keys).withColumn("level", F.lit(i))
-              for i, keys in enumerate((["lang", "source"], ["lang"], []))]
-    groups = sketch.select("lang", "source", "measure").distinct()
     spread = F.create_map(*[F.lit(x) for m in MEASURES for x in (m[0], m[4])])
     two = F.create_map(*[F.lit(x) for m in MEASURES for x in (m[0], m[5])])
-    joined = groups.alias("g")
-    for i, keys in enumerate((["lang", "source"], ["lang"], [])):
-        on = reduce(lambda a, k: a & F.col(f"g.{k}").eqNullSafe(F.col(f"l{i}.{k}")), keys,
-                    F.col("g.measure") == F.col(f"l{i}.measure"))
-        joined = joined.join(levels[i].alias(f"l{i}"), on, "left")
-    enough = [F.col(f"l{i}.rows") >= least for i in range(2)]
-    chosen = F.when(enough[0], F.struct("l0.q1", "l0.q3")).when(enough[1], F.struct("l1.q1", "l1.q3")).otherwise(
-        F.struct("l2.q1", "l2.q3"))
-    picked = joined.select("g.lang", "g.source", "g.measure", chosen.alias("q")).withColumn(
-        "reach", REACH * F.greatest(F.col("q.q3") - F.col("q.q1"), spread[F.col("measure")]))
+    picked = blend.groupBy("lang", "source", "measure").agg(quartile(1.0).alias("q1"), quartile(3.0).alias("q3")).withColumn(
+        "reach", REACH * F.greatest(F.col("q3") - F.col("q1"), spread[F.col("measure")]))
     limits = picked.select("lang", "source", "measure", F.struct(
-        F.when(two[F.col("measure")], F.col("q.q1") - F.col("reach")).alias("lower"),
-        (F.col("q.q3") + F.col("reach")).alias("upper")).alias("limits"))
+        F.when(two[F.col("measure")], F.col("q1") - F.col("reach")).alias("lower"),
+        (F.col("q3") + F.col("reach")).alias("upper")).alias("limits"))
     return limits.groupBy("lang", "source").agg(
         F.map_from_entries(F.collect_list(F.struct("measure", "limits"))).alias("fences"))  # five entries
 
 
-def judge(measured: DataFrame, lang: str = "lang", source: str = "source", least: int = LEAST_ROWS) -> DataFrame:
+def judge(measured: DataFrame, lang: str = "lang", source: str = "source", prior: int = PRIOR) -> DataFrame:
     """Add ``kept`` and ``outside``, the measures outside their fences, to a stored ``measure`` table."""
-    limits = fences(sketches(measured, lang, source), least).select(
-        F.col("lang").alias("_lang"), F.col("source").alias("_source"), "fences")
-    on = F.col(lang).eqNullSafe(F.col("_lang")) & F.col(source).eqNullSafe(F.col("_source"))
+    own_lang, own_source, own = free_names([*measured.columns, "kept", "outside"], "of_lang", "of_source", "fences")
+    limits = fences(cut_lineage(sketches(measured, lang, source)), prior).select(
+        F.col("lang").alias(own_lang), F.col("source").alias(own_source), F.col("fences").alias(own))
+    on = F.col(lang).eqNullSafe(F.col(own_lang)) & F.col(source).eqNullSafe(F.col(own_source))
     kept = [c for c in measured.columns if c not in ("kept", "outside")]
     rows = measured.select(*kept).join(limits, on, "left")
     tests = []
     for name, top, factor, below, _, _ in MEASURES:
-        value, limit = bucket(rate(top, factor, below)), F.col("fences")[name]
+        value, limit = bucket(rate(top, factor, below)), F.col(own)[name]
         tests.append(F.when((value > limit.upper) | (value < F.coalesce(limit.lower, value)), name))
     outside = F.filter(F.array(*tests), lambda t: t.isNotNull())
     return rows.select(*kept, outside.alias("outside")).withColumn(
@@ -194,9 +207,9 @@ def judge(measured: DataFrame, lang: str = "lang", source: str = "source", least
 
 
 def rules(docs: DataFrame, text: str = "text", lang: str = "lang", source: str = "source",
-          least: int = LEAST_ROWS) -> DataFrame:
+          prior: int = PRIOR) -> DataFrame:
     """Measure, learn the fences from all rows, and judge every row. The texts are read once."""
-    return judge(cut_lineage(measure(docs, text)), lang, source, least)
+    return judge(cut_lineage(measure(docs, text)), lang, source, prior)
 
 
 def keep(docs: DataFrame, verdicts: DataFrame, key: str) -> DataFrame:
@@ -217,12 +230,21 @@ def sql(documents: str = "documents") -> str:
         f"{spread} AS spread, {str(two).lower()} AS two FROM measured" for name, top, factor, below, spread, two in MEASURES)
     cut = f"(v >> greatest(length(bin(v)) - {BITS}, 0)) << greatest(length(bin(v)) - {BITS}, 0)"
 
-    def quartiles(name: str, keys: str) -> str:
-        own = f"{keys}, " if keys else ""
-        part = f"PARTITION BY {own}measure"
-        return f"""{name} AS (SELECT {own}measure, any_value(total) AS n, min(b) FILTER (4 * seen >= total) AS q1,
-  min(b) FILTER (4 * seen >= 3 * total) AS q3 FROM (SELECT {own}measure, b, sum(count(*)) OVER ({part} ORDER BY b) AS seen,
-  sum(count(*)) OVER ({part}) AS total FROM buckets WHERE NOT base_failed GROUP BY {own}measure, b) GROUP BY {own}measure)"""
+    def shares(name: str, keys: list[str], above: str | None) -> str:
+        own = "".join(f"g.{k}, " for k in keys)
+        part = f"PARTITION BY {own}g.measure"
+        up = "".join(f" AND g.{k} IS NOT DISTINCT FROM a.{k}" for k in keys[:-1])
+        same = "".join(f" AND g.{k} IS NOT DISTINCT FROM c.{k}" for k in keys)
+        running = f"sum(coalesce(c.n, 0)) OVER ({part} ORDER BY p.b)::DOUBLE"
+        total = f"sum(coalesce(c.n, 0)) OVER ({part})::DOUBLE"
+        share = f"({running} + {PRIOR}.0::DOUBLE * a.share) / ({total} + {PRIOR}.0::DOUBLE)" if above else f"{running} / {total}"
+        plain = "".join(f"{k}, " for k in keys)
+        return f"""{name} AS (SELECT {own}g.measure, p.b, {share} AS share
+  FROM (SELECT DISTINCT {plain}measure FROM buckets WHERE NOT base_failed) g
+  JOIN (SELECT DISTINCT measure, b FROM buckets WHERE NOT base_failed) p ON g.measure = p.measure
+  LEFT JOIN (SELECT {plain}measure, b, count(*) AS n FROM buckets WHERE NOT base_failed GROUP BY {plain}measure, b) c
+    ON g.measure = c.measure AND p.b = c.b{same}""" + (
+            f"\n  JOIN {above} a ON g.measure = a.measure AND p.b = a.b{up}" if above else "") + ")"
 
     return f"""
 WITH texts AS (SELECT row_number() OVER () AS r, doc_id, lang, source, coalesce(text, '') AS t FROM {documents}),
@@ -239,14 +261,14 @@ measured AS (SELECT words.r, doc_id, lang, source, len(w) AS n_words,
   FROM words LEFT JOIN repeats ON words.r = repeats.r),
 vals AS ({values}),
 buckets AS (SELECT *, {cut} AS b FROM vals),
-{quartiles('own', 'lang, source')}, {quartiles('tongue', 'lang')}, {quartiles('everything', '')},
-limits AS (SELECT k.r, k.b, k.two, k.spread,
-  CASE WHEN own.n >= {LEAST_ROWS} THEN own.q1 WHEN tongue.n >= {LEAST_ROWS} THEN tongue.q1 ELSE everything.q1 END AS q1,
-  CASE WHEN own.n >= {LEAST_ROWS} THEN own.q3 WHEN tongue.n >= {LEAST_ROWS} THEN tongue.q3 ELSE everything.q3 END AS q3
-  FROM buckets k
-  LEFT JOIN own ON k.lang IS NOT DISTINCT FROM own.lang AND k.source IS NOT DISTINCT FROM own.source AND k.measure = own.measure
-  LEFT JOIN tongue ON k.lang IS NOT DISTINCT FROM tongue.lang AND k.measure = tongue.measure
-  LEFT JOIN everything ON k.measure = everything.measure WHERE NOT k.base_failed),
+{shares('everything', [], None)},
+{shares('tongue', ['lang'], 'everything')},
+{shares('own', ['lang', 'source'], 'tongue')},
+quartiles AS (SELECT lang, source, measure, min(b) FILTER (4 * share >= 1) AS q1, min(b) FILTER (4 * share >= 3) AS q3
+  FROM own GROUP BY lang, source, measure),
+limits AS (SELECT k.r, k.b, k.two, k.spread, q1, q3 FROM buckets k JOIN quartiles q
+  ON k.lang IS NOT DISTINCT FROM q.lang AND k.source IS NOT DISTINCT FROM q.source AND k.measure = q.measure
+  WHERE NOT k.base_failed),
 outside AS (SELECT DISTINCT r FROM limits WHERE b > q3 + {REACH} * greatest(q3 - q1, spread)
   OR (two AND b < q1 - {REACH} * greatest(q3 - q1, spread)))
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,

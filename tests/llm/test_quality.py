@@ -37,6 +37,42 @@ def test_equals_brute_force(spark):
     assert not any(kept[i] for i in (1000, 1001, 1002, 1003, 1004, 1006, 1009))
 
 
+def test_fences_follow_groups_of_any_size(spark):
+    """Groups of 5 to 2,000 texts against the same rules in SQL; a usual source is judged by its own habits."""
+    rows, n = [], 0
+    for size, lang in ((5, "en"), (40, "en"), (150, "de"), (199, "en"), (200, "en"), (2000, "en"), (30, None)):
+        for i in range(size):
+            shout = size in (40, 199)  # sources that write in capitals
+            text = prose(n, 40 + n % 30)
+            rows.append((n, text.upper() if shout else text, lang, f"s{size}"))
+            n += 1
+    rows += [(10_000 + i, prose(i, 50).upper(), "en", "s2000") for i in range(20)]
+    con = duckdb.connect()
+    con.execute("CREATE TABLE documents (doc_id BIGINT, text VARCHAR, lang VARCHAR, source VARCHAR)")
+    con.executemany("INSERT INTO documents VALUES (?, ?, ?, ?)", rows)
+    got = sorted(tuple(r) for r in quality.rules(spark.createDataFrame(rows, COLUMNS)).select("doc_id", *quality.DIGEST).collect())
+    assert got == want(con)
+    kept = {r[0]: r[-1] for r in got}
+    assert all(kept[i] for i in range(n)) and not any(kept[10_000 + i] for i in range(20))
+
+
+def test_one_more_row_moves_shares_little(spark):
+    """No size at which a group is suddenly judged by other shares, and its own habits pass at each."""
+    def judged(size):
+        rows = [(i, prose(i, 50), "en", "big") for i in range(600)] + [
+            (1000 + i, prose(i, 20).upper() + " " + prose(i, 30), "en", "odd") for i in range(size)]
+        stored = quality.measure(spark.createDataFrame(rows, COLUMNS)).cache()
+        sketch = quality.sketches(stored)
+        parent = quality._blend(sketch, ["lang"], quality._blend(sketch, [], None, quality.PRIOR), quality.PRIOR)
+        own = quality._blend(sketch, ["lang", "source"], parent, quality.PRIOR).where("source = 'odd'")
+        return ({(r.measure, r.bucket): r.share for r in own.collect()}, quality.judge(stored).where("not kept").count())
+
+    shares = [judged(size) for size in (99, 100, 200, 201)]
+    assert all(rejected == 0 for _, rejected in shares)
+    for (a, _), (b, _) in (shares[:2], shares[2:]):
+        assert all(abs(a[k] - b[k]) < 0.01 for k in a.keys() & b.keys())
+
+
 def test_repeats_against_python(spark):
     for row in spark.createDataFrame(ROWS, COLUMNS).join(
             quality.measure(spark.createDataFrame(ROWS, COLUMNS)).select("doc_id", "n_repeat_words"), "doc_id").collect():
@@ -50,9 +86,12 @@ def test_repeats_against_python(spark):
 
 
 def test_empty_table_and_clashing_columns(spark):
-    frame = spark.createDataFrame(ROWS[:300], COLUMNS).selectExpr("*", "7 AS kept", "8 AS n_words", "9 AS other")
+    frame = spark.createDataFrame(ROWS[:300], COLUMNS).selectExpr("*", "7 AS kept", "8 AS n_words", "9 AS other", "1 AS whole", "2 AS words", "3 AS lines", "4 AS of_lang",
+                                                              "5 AS of_source", "6 AS fences", "7 AS _t", "8 AS measure", "9 AS bucket")
     out = quality.rules(frame)
     assert out.columns.count("kept") == 1 and out.columns.count("n_words") == 1 and "other" in out.columns
+    assert {"whole", "words", "lines", "of_lang", "of_source", "fences", "_t", "measure", "bucket"} <= set(out.columns)
+    assert set(map(tuple, out.select("whole", "words", "lines", "fences").collect())) == {(1, 2, 3, 6)}
     assert out.where("kept").count() == 300
     assert quality.rules(frame.limit(0)).count() == 0
     assert quality.keep(frame, out, "doc_id").count() == 300
