@@ -5,7 +5,8 @@ what they are: blocks in menus, headers, footers, side bars, notices, adverts,
 forms or comments (by element, role, class or id) and blocks made of links are
 boilerplate; long blocks with the stop-word density of running text are content,
 and if a page has none of these, as in a language without stop words here, all
-other long blocks are.
+other long blocks are. A class or id is evidence, not a verdict: on a page with no
+content otherwise, the long blocks of running text that only such a name speaks against are it.
 The second pass gives every block left, mostly short ones, the label of its
 nearest decided neighbours: if the two differ, the neighbour in the closer
 common container wins, then the nearer one, and a heading goes with what
@@ -89,43 +90,48 @@ STOP_WORDS = frozenset(
     "che di e gli nel non per piu sono della delle um uma não com os as dos het een van niet op te zijn".split())
 
 
+NAMED, SURE = 1, 2  # boilerplate by class or id only; by element, role or style
+
+
 class Block:
-    __slots__ = ("pieces", "linked", "bad", "path", "heading", "text", "label")
+    __slots__ = ("pieces", "linked", "bad", "named", "path", "heading", "text", "label")
 
-    def __init__(self, bad: bool, path: tuple[int, ...], heading: bool):
+    def __init__(self, bad: int, path: tuple[int, ...], heading: bool):
         self.pieces: list[str] = []
         self.linked = 0
-        self.bad, self.path, self.heading = bad, path, heading
+        self.bad, self.named = bad > 0, bad == NAMED
+        self.path, self.heading = path, heading
         self.text, self.label = "", None
 
 
-def _is_bad(name: str, attributes: str, in_content: bool) -> bool:
+def _is_bad(name: str, attributes: str, in_content: bool) -> int:
     if name in BAD_ELEMENTS or (name == "header" and not in_content):
-        return True
+        return SURE
     if not attributes or name in ("html", "body", *CONTENT):
         if "comment" not in attributes:
-            return False
+            return 0
+    named = 0
     for match in ATTRIBUTE.finditer(attributes):
         key, value = match.group(1).lower(), match.group(2) or match.group(3) or match.group(4) or ""
         if key in ("class", "id"):
             if not BAD_NAMES.isdisjoint(part.lower() for part in NAME_PART.findall(value)):
-                return True
+                named = NAMED
         elif key == "role":
             if value.strip().lower() in BAD_ROLES:
-                return True
+                return SURE
         elif key == "style":
             if "display:none" in value.replace(" ", "").lower():
-                return True
+                return SURE
         elif key == "hidden" or value == "true":
-            return True
-    return False
+            return SURE
+    return named
 
 
 def blocks(page: str) -> list[Block]:
     """Non-empty blocks in page order. The stack holds (element, bad, in a link, in content, path of sections)."""
     found: list[Block] = []
-    root = ("", False, False, False, ())
-    stack: list[tuple[str, bool, bool, bool, tuple[int, ...]]] = [root]
+    root = ("", 0, False, False, ())
+    stack: list[tuple[str, int, bool, bool, tuple[int, ...]]] = [root]
     opened: Counter[str] = Counter()
     current: Block | None = None
     sections, at, end = 0, 0, len(page)
@@ -192,7 +198,7 @@ def blocks(page: str) -> list[Block]:
         if attributes.endswith("/") and name not in BLOCKS:
             continue
         _, bad, linked, content, path = stack[-1]
-        own = bad or _is_bad(name, attributes, content)
+        own = bad if bad == SURE else max(bad, _is_bad(name, attributes, content))
         if own != bad:
             current = None
         if name in SECTIONS and len(path) < NESTING:
@@ -222,9 +228,16 @@ def first_pass(found: list[Block]) -> None:
             elif not any(p < 0 for p in block.path):
                 block.label = False
                 sparse.append(block)
-    if not any(block.label for block in found):  # the stop words don't tell on this page
-        for block in sparse:
-            block.label = True
+    if any(block.label for block in found):
+        return
+    for block in sparse:  # the stop words don't tell on this page
+        block.label = True
+    if not sparse and not any(p < 0 for b in found if not b.bad for p in b.path):
+        for block in found:
+            size = len(block.text)
+            if block.named and size >= LONG and block.linked <= LINK_DENSITY * size and (
+                    stop_density(block.text) >= STOP_DENSITY):
+                block.bad, block.label = False, True
 
 
 def _closeness(a: tuple[int, ...], b: tuple[int, ...]) -> int:

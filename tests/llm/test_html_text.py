@@ -29,6 +29,11 @@ LONG = "The people of the town said that it was the best of all the days in the
     (f"<div class=cookie-notice>{LONG}</div><p>{LONG} end</p><div id=mainSidebar>{LONG}</div>", f"{LONG} end"),
     (f"<article><p>{LONG}</p><!-- open", LONG), (f"<p>{LONG}</p><script>never closed", LONG),
     (f"<p>1 < 2 and {LONG}</p>", f"1 < 2 and {LONG}"),
+    (f"<div class='legal'><p>{LONG}</p><p>{LONG} 2</p></div>", f"{LONG}\n{LONG} 2"),
+    (f"<nav>x</nav><div id=social-history><p>{LONG}</p></div><footer>(c) us</footer>", LONG),
+    (f"<div class=legal><p>{LONG}</p></div><div><p>{LONG} end</p></div>", f"{LONG} end"),
+    (f"<div class=menu><nav><p>{LONG}</p></nav></div><div>ok</div>", "ok"),
+    (f"<div class=menu hidden><p>{LONG}</p></div><div>ok</div>", "ok"),
 ])
 def test_pages(page, want):
     assert html_text.main_text(page) == want
