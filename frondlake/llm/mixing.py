@@ -18,7 +18,7 @@ hot source.
 
 Rows: null text has no tokens; a null source is a source of its own; a source
 without tokens has weight 0 and is passed once. Repeated rows count and are
-mixed like other rows. Input columns pass unchanged, ``mix_pass`` replaces one of
+mixed like other rows; the length of a text changes nothing but its weight. Input columns pass unchanged, whatever their names; ``mix_pass`` replaces one of
 that name. An empty table gives an empty table.
 """
 
@@ -31,6 +31,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..session import cut_lineage
+from .ordered import free_names
 
 MAX_REPEATS = 2.0
 STEPS = 14
@@ -115,14 +116,15 @@ def mix(docs: DataFrame, max_repeats: float = MAX_REPEATS, entropy: float | None
     measured = cut_lineage(own.groupBy("source", "block").agg(F.sum("tokens").alias("tokens")))
     sources = measured.groupBy("source").agg(F.sum("tokens").alias("tokens"))
     alpha = exponent(sources, max_repeats, entropy, budget)
+    kept = [c for c in docs.columns if c != "mix_pass"]
+    at, of, whole, last = free_names([*docs.columns, "mix_pass"], "at", "of", "whole", "last")
     taken = passes(measured, sources, alpha, budget, seed).select(
-        F.col("source").alias("_source"), F.col("whole").alias("_whole"), F.col("last").alias("_last"))
+        F.col("source").alias(of), F.col("whole").alias(whole), F.col("last").alias(last))
     if sources.count() <= BROADCAST_SOURCES:  # a hundred bytes each; beyond it Spark joins and splits hot sources
         taken = F.broadcast(taken)
-    kept = [c for c in docs.columns if c != "mix_pass"]
-    joined = docs.select(*kept, position(F.col(source), block(key), seed).alias("_at")).join(
-        taken, F.col(source).eqNullSafe(F.col("_source")), "left")
-    times = F.col("_whole") + F.coalesce((F.col("_at") <= F.col("_last")).cast("int"), F.lit(0))
+    joined = docs.select(*kept, position(F.col(source), block(key), seed).alias(at)).join(
+        taken, F.col(source).eqNullSafe(F.col(of)), "left")
+    times = F.col(whole) + F.coalesce((F.col(at) <= F.col(last)).cast("int"), F.lit(0))
     numbers = F.when(times > 0, F.sequence(F.lit(0), times - 1)).otherwise(F.array().cast("array<int>"))
     return joined.select(*kept, F.explode(numbers).alias("mix_pass"))
 

@@ -15,7 +15,13 @@ its k-mers, in slices of fixed size.
 
 ``with_next`` pairs each document with its successor by key without ordering
 everything in one task: rows are range-partitioned once, and the first document of
-every range is sent to the range before it as well.
+every range is sent to the range before it as well. Keys are whole numbers; rows of null or equal
+key follow one another in the order of their texts and lie in one range.
+
+Repeated rows have equal fingerprints, each row is followed by the next copy. Columns
+pass ``with_next`` unchanged, whatever their names, but for those it adds; ``fingerprint_edits``
+returns the key and its own columns only. An empty table gives an empty table, a single row
+is followed by itself.
 """
 
 from __future__ import annotations
@@ -30,6 +36,7 @@ from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from .arrow import output_schema, replace_column
+from .ordered import free_names
 
 K = 6
 TUPLE = 2
@@ -124,13 +131,13 @@ def fingerprints(docs: DataFrame, text: str = "text", fingerprint: str = "finger
     return docs.mapInArrow(run, schema)
 
 
-def _range(borders: list[int], first: int = 0) -> Column:
-    """Number of borders not above the key ``k``: a binary decision tree."""
+def _range(borders: list[int], key: str, first: int = 0) -> Column:
+    """Number of borders not above the key: a binary decision tree."""
     if not borders:
         return F.lit(first)
     half = len(borders) // 2
-    return F.when(F.col("k") < borders[half], _range(borders[:half], first)).otherwise(
-        _range(borders[half + 1:], first + half + 1))
+    return F.when(F.col(key) < borders[half], _range(borders[:half], key, first)).otherwise(
+        _range(borders[half + 1:], key, first + half + 1))
 
 
 def with_next(docs: DataFrame, columns: list[str], key: str = "doc_id", tie: str = "text",
@@ -142,24 +149,26 @@ def with_next(docs: DataFrame, columns: list[str], key: str = "doc_id", tie: str
     keys that costs less to read than ``docs``.
     """
     spark = docs.sparkSession
-    rows = docs.withColumn("k", F.col(key).cast("long"))
+    k, part, at, own_range, before, first = free_names(
+        [*docs.columns, *[f"next_{c}" for c in columns]], "k", "part", "at", "own_range", "before", "first")
+    rows = docs.withColumn(k, F.col(key).cast("long"))
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    keys = (docs if keys is None else keys).select(F.col(key).cast("long").alias("k"))
+    keys = (docs if keys is None else keys).select(F.col(key).cast("long").alias(k))
     shares = [i / parts for i in range(1, parts)] or [0.5]
-    quantiles = keys.agg(F.percentile_approx("k", shares, 10 * parts)).first()[0] or []
-    place = F.coalesce(_range(sorted({int(q) for q in quantiles})), F.lit(0))
-    place = F.when(F.col("k").isNull(), 0).otherwise(place)
-    firsts = [(r["r"], r["first"]["k"]) for r in keys.groupBy(place.alias("r")).agg(
-        F.min(F.struct("k")).alias("first")).orderBy("r").collect()]  # one row a range
-    ring = [(r, firsts[i - 1][0], first) for i, (r, first) in enumerate(firsts)] or [(0, 0, None)]
-    known = F.broadcast(spark.createDataFrame(ring, "_r int, _before int, _first long"))
-    own = F.struct(F.col("_r").alias("r"), F.lit(0).alias("extra"))
-    extra = F.struct(F.col("_before").alias("r"), F.lit(1).alias("extra"))
-    spread = rows.withColumn("_p", place).join(known, F.col("_p") == F.col("_r")).withColumn(
-        "_at", F.explode(F.when(F.col("k").eqNullSafe(F.col("_first")), F.array(own, extra)).otherwise(F.array(own))))
-    window = Window.partitionBy("_at.r").orderBy("_at.extra", F.col("k").asc_nulls_first(), F.col(tie).asc_nulls_first())
-    following = spread.select(*docs.columns, "_at", *[F.lead(c).over(window).alias(f"next_{c}") for c in columns])
-    return following.where("_at.extra = 0").drop("_at")
+    quantiles = keys.agg(F.percentile_approx(k, shares, 10 * parts)).first()[0] or []
+    place = F.coalesce(_range(sorted({int(q) for q in quantiles}), k), F.lit(0))
+    place = F.when(F.col(k).isNull(), 0).otherwise(place)
+    firsts = [(r["r"], r["first"][k]) for r in keys.groupBy(place.alias("r")).agg(
+        F.min(F.struct(k)).alias("first")).orderBy("r").collect()]  # one row a range
+    ring = [(r, firsts[i - 1][0], low) for i, (r, low) in enumerate(firsts)] or [(0, 0, None)]
+    known = F.broadcast(spark.createDataFrame(ring, f"{own_range} int, {before} int, {first} long"))
+    own = F.struct(F.col(own_range).alias("r"), F.lit(0).alias("extra"))
+    extra = F.struct(F.col(before).alias("r"), F.lit(1).alias("extra"))
+    spread = rows.withColumn(part, place).join(known, F.col(part) == F.col(own_range)).withColumn(
+        at, F.explode(F.when(F.col(k).eqNullSafe(F.col(first)), F.array(own, extra)).otherwise(F.array(own))))
+    window = Window.partitionBy(f"{at}.r").orderBy(f"{at}.extra", F.col(k).asc_nulls_first(), F.col(tie).asc_nulls_first())
+    following = spread.select(*docs.columns, at, *[F.lead(c).over(window).alias(f"next_{c}") for c in columns])
+    return following.where(f"{at}.extra = 0").drop(at)
 
 
 def edited(text: Column, following: Column) -> Column:

@@ -15,8 +15,10 @@ groups stay together.
 
 Rows: null text counts as an empty text and is placed with the empty texts.
 Null keys and repeated rows are placed like any other row, each with a slot of
-its own. An empty table gives an empty table. Columns pass unchanged; the added
-ones replace columns of the same name.
+its own. Very long texts are measured whole and never leave the task that reads them. An
+empty table gives an empty table. ``assign`` returns the key, the measures and what
+``extra`` names; ``place``, ``with_slots`` and ``write_shards`` pass columns unchanged, whatever
+their names, and the added ``shard`` and ``slot`` replace columns of the same name.
 """
 
 from __future__ import annotations
@@ -30,6 +32,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..session import cut_lineage
+from .ordered import free_names
 
 FINE = 256
 BUNDLES = 4096
@@ -128,19 +131,19 @@ def plan(rows: DataFrame, shards: int) -> Packing:
                    tuple(pieces))
 
 
-def place(rows: DataFrame, packing: Packing, key: str = "doc_id") -> DataFrame:
-    """Add ``shard`` to rows that have ``text_group``; nothing is shuffled."""
+def place(rows: DataFrame, packing: Packing, key: str = "doc_id", group: str = "text_group") -> DataFrame:
+    """Add ``shard`` to rows whose column ``group`` is that of ``measured``; nothing is shuffled."""
     spark = rows.sparkSession
     parts = dict(packing.pieces)
+    own, count, to = free_names([*rows.columns, "shard"], "own", "count", "to")
     known = spark.createDataFrame([(g, p, s, parts.get(g, 1)) for g, p, s in packing.large] or [(None, 0, 0, 1)],
-                                  "_group string, _piece int, _shard int, _parts int")
-    grouped = known.where("_group is not null").groupBy("_group", "_parts").agg(F.array_sort(F.collect_list(
-        F.struct("_piece", "_shard"))).alias("_to"))  # a large group has few pieces
-    joined = rows.drop("shard").join(F.broadcast(grouped), F.col("text_group") == F.col("_group"), "left")
-    piece = F.pmod(F.xxhash64(F.lit("piece"), key), F.col("_parts")).cast("int")
-    bundle = F.get(F.array(*map(F.lit, packing.bundles)), _bundle("text_group"))
-    return joined.withColumn("shard", F.coalesce(F.get(F.col("_to"), piece)["_shard"], bundle)).drop(
-        "_group", "_parts", "_to")
+                                  f"{own} string, piece int, shard int, {count} int")
+    grouped = known.where(F.col(own).isNotNull()).groupBy(own, count).agg(F.array_sort(F.collect_list(
+        F.struct("piece", "shard"))).alias(to))  # a large group has few pieces
+    joined = rows.drop("shard").join(F.broadcast(grouped), F.col(group) == F.col(own), "left")
+    piece = F.pmod(F.xxhash64(F.lit("piece"), key), F.col(count)).cast("int")
+    bundle = F.get(F.array(*map(F.lit, packing.bundles)), _bundle(group))
+    return joined.withColumn("shard", F.coalesce(F.get(F.col(to), piece)["shard"], bundle)).drop(own, count, to)
 
 
 def with_slots(rows: DataFrame, count: int, key: str = "doc_id") -> DataFrame:
@@ -150,14 +153,15 @@ def with_slots(rows: DataFrame, count: int, key: str = "doc_id") -> DataFrame:
     those before them, and rows within their strip, so no task orders a shard.
     """
     strips = max(64, count // SLOT_ROWS)
-    cut = rows.drop("slot").withColumn("_strip", F.pmod(F.xxhash64(F.lit("slot"), key), F.lit(strips)))
-    before = Window.partitionBy("shard").orderBy("_strip").rowsBetween(Window.unboundedPreceding, -1)
-    starts = cut.groupBy("shard", "_strip").agg(F.count(F.lit(1)).alias("_n")).select(
-        "shard", "_strip", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))
-    inside = Window.partitionBy("shard", "_strip").orderBy(F.col(key).asc_nulls_first(), "text_group")
-    numbered = cut.withColumn("_row", F.row_number().over(inside))
-    return numbered.join(starts, ["shard", "_strip"]).withColumn(
-        "slot", (F.col("_start") + F.col("_row") - 1).cast("long")).drop("_strip", "_row", "_start")
+    strip, number, start, row = free_names([*rows.columns, "slot"], "strip", "number", "start", "row")
+    cut = rows.drop("slot").withColumn(strip, F.pmod(F.xxhash64(F.lit("slot"), key), F.lit(strips)))
+    before = Window.partitionBy("shard").orderBy(strip).rowsBetween(Window.unboundedPreceding, -1)
+    starts = cut.groupBy("shard", strip).agg(F.count(F.lit(1)).alias(number)).select(
+        "shard", strip, F.coalesce(F.sum(number).over(before), F.lit(0)).alias(start))
+    inside = Window.partitionBy("shard", strip).orderBy(F.col(key).asc_nulls_first(), "text_group")
+    numbered = cut.withColumn(row, F.row_number().over(inside))
+    return numbered.join(starts, ["shard", strip]).withColumn(
+        "slot", (F.col(start) + F.col(row) - 1).cast("long")).drop(strip, row, start)
 
 
 def assign(docs: DataFrame, shards: int = 8, text: str = "text", key: str = "doc_id",
@@ -170,6 +174,7 @@ def assign(docs: DataFrame, shards: int = 8, text: str = "text", key: str = "doc
 
 def write_shards(docs: DataFrame, path: str, shards: int = 8, text: str = "text", key: str = "doc_id") -> None:
     """Write whole rows below ``path/shard=N``; texts are not shuffled, files follow the input's partitions."""
-    group = measured(docs, text)[0]
+    (group,) = free_names([*docs.columns, "shard"], "text_group")
     packing = plan(docs.select(*measured(docs, text)), shards)
-    place(docs.withColumn("text_group", group), packing, key).drop("text_group").write.partitionBy("shard").parquet(path)
+    grouped = docs.withColumn(group, measured(docs, text)[0])
+    place(grouped, packing, key, group).drop(group).write.partitionBy("shard").parquet(path)

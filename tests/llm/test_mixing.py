@@ -71,6 +71,11 @@ def test_odd_rows(spark):
     assert out.columns == ["doc_id", "text", "source", "whole", "mix_pass"]
     assert out.where("mix_pass = 0").count() == len(data)
     assert mixing.mix(frame.limit(0)).count() == 0
+    names = ["at", "of", "whole", "last", "_source", "_whole", "_last", "_at", "tokens", "block"]
+    mine = spark.createDataFrame(data, COLUMNS).selectExpr("*", *[f"'{n}' AS {n}" for n in names])
+    got = mixing.mix(mine)
+    assert got.columns == ["doc_id", "text", "source", *names, "mix_pass"] and got.count() == out.count()
+    assert set(map(tuple, got.select(*names).collect())) == {tuple(names)}
 
 
 def test_query_equals_sql(spark):

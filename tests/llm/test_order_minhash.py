@@ -80,6 +80,15 @@ def test_rows_and_ties(spark, parts):
     assert sorted(map(str, want)) == sorted(str((r.doc_id, r.n_chars, r.edited_sha256)) for r in got)
 
 
+def test_next_row_beside_columns_of_any_name(spark):
+    names = ["k", "part", "at", "own_range", "before", "first", "_p", "_r", "_at", "_before", "_first"]
+    frame = spark.createDataFrame([(3, "c"), (1, "a"), (2, "b")], "doc_id long, text string").selectExpr(
+        "*", *[f"'{n}' AS {n}" for n in names])
+    got = omh.with_next(frame, ["text"])
+    assert got.columns == ["doc_id", "text", *names, "next_text"]
+    assert sorted(map(tuple, got.collect())) == [(1, "a", *names, "b"), (2, "b", *names, "c"), (3, "c", *names, "a")]
+
+
 def test_query(spark):
     from frondlake.llm.queries import QUERIES
 

@@ -72,6 +72,19 @@ def test_write_shards(spark, tmp_path):
     assert back.groupBy("text").agg({"shard": "max"}).count() == back.select("text", "shard").distinct().count() == 40
 
 
+def test_columns_of_any_name_pass(spark, tmp_path):
+    names = ["text_group", "own", "count", "to", "strip", "number", "start", "row", "_group", "_strip"]
+    frame = spark.createDataFrame([(i, f"text {i % 3}") for i in range(30)], "doc_id long, text string").selectExpr(
+        "*", *[f"'{n}' AS {n}" for n in names])
+    sharding.write_shards(frame, str(tmp_path / "out"), 4)
+    back = spark.read.parquet(str(tmp_path / "out"))
+    assert back.count() == 30 and set(map(tuple, back.select(*names).collect())) == {tuple(names)}
+    rows = frame.drop("text_group").selectExpr("*", "text AS text_group", "doc_id % 2 AS shard")
+    slots = sharding.with_slots(rows, 30)
+    assert sorted(r.slot for r in slots.where("shard = 0").collect()) == list(range(15))
+    assert set(map(tuple, slots.select(*names[1:]).collect())) == {tuple(names[1:])}
+
+
 def test_query(spark):
     from frondlake.llm.queries import QUERIES
 
