@@ -196,3 +196,32 @@ def test_query(spark):
     got = QUERIES["op7_near_duplicates"](spark, folder).collect()
     assert sorted((r.doc_id, r.class_id) for r in got) == brute(rows)
     assert all(r.kept == (r.doc_id == r.class_id) for r in got)
+
+
+@pytest.mark.parametrize("parts", [1, 9])
+def test_document_frequencies_of_all_shingles(spark, parts, monkeypatch):
+    """Rare shingles are counted as exactly as frequent ones, whatever the blocks and buckets."""
+    monkeypatch.setattr(nd, "CHUNK_BYTES", 3000)
+    rows = corpus(9, 20, 30) + [(900, None, "en"), (901, "too short", "en")]
+    frame = spark.createDataFrame(rows, COLUMNS).repartition(parts)
+    stored = nd.stamped(frame)
+    got = nd.counted(stored, nd.bucket_count(stored)).toArrow()
+    found = {}
+    for name, df in zip(nd.unpack(got["shingle"], got["bucket"]).tolist(), nd.numbers(got["df"]).tolist()):
+        assert found.setdefault(name, df) == df
+    want = Counter(s for bag in bags([r[1] for r in rows]) for s in bag)
+    assert sorted(found.values()) == sorted(want.values()) and len(got["bucket"].unique()) > 5
+
+
+def test_common_passages_weigh_less(spark):
+    """A passage in a twentieth of all documents does not link texts that are otherwise different."""
+    pick = random.Random(12)
+
+    def words(n):
+        return ["".join(pick.choices("abcdefghij", k=8)) for _ in range(n)]
+
+    passage = words(200)
+    rows = [(i, " ".join((passage if i % 20 == 0 else words(200)) + words(20)), "en") for i in range(400)]
+    rows.append((400, rows[1][1] + " end", "en"))
+    got = {r.key: r.class_id for r in nd.classes(spark.createDataFrame(rows, COLUMNS)).collect()}
+    assert got == {i: 1 if i == 400 else i for i in range(401)}
