@@ -10,12 +10,13 @@ fit ``budget`` together with the system turn (the first turn if its role is ``sy
 only assistant texts of new turns are under the loss mask. A turn over the budget has a window
 of its own, with the system turn, and is not cut; history gives way before a turn does.
 
-On the cluster: conversations of at most ``LIMIT`` bytes, by a count beforehand, meet in one shuffle
-by conversation and are windowed as they stream by. Longer ones are placed by prefix sums
-over range partitions (``ordered.ranked``) and cut in cells of ``CELL`` budgets; windows do not
-cross a cell, each cell gets the system turn and the history it needs, so no task gathers
-a conversation. Reading back hashes a conversation as a whole: its cells pass one after another
-through one task, a few rows each, and nothing is kept but the hash states.
+On the cluster: one rule cuts all conversations, whatever their size. Those of at most ``LIMIT`` bytes,
+by a count beforehand, meet in one shuffle by conversation and are windowed as they stream by.
+Longer ones are placed over range partitions (``ordered.ranked``); only the tokens of their
+turns pass one after another through ``Cutter``, which holds a window and its history and names the
+windows of each turn. Turns then meet in cells of ``CELL`` windows, so no task gathers a
+conversation. Both ways give the same windows. Reading back hashes a conversation as a whole: its cells pass
+one after another through one task, a few rows each, and nothing is kept but the hash states.
 
 Rows: null text and null role count as empty; a null conversation is one of its own. Turns go by
 ``turn`` (null first), then role, then text; repeated rows are turns of their own. An empty
@@ -79,6 +80,25 @@ def spans(ends: np.ndarray, system: int, first: int, budget: int, history: int)
         i = j
 
 
+class Cutter:
+    """``spans`` of turns that come in pieces, in order; holds no more than a window and its history."""
+
+    def __init__(self, system: int, budget: int, history: int):
+        self.rule, self.history = (budget, history), history
+        self.system, self.base, self.first, self.ends = system, 0, 0, np.zeros(1, np.int64)
+
+    def feed(self, tokens: np.ndarray, last: bool = False) -> Iterator[tuple[int, int, int]]:
+        """The spans that further turns cannot change; all that are left with the ``last`` piece."""
+        self.ends = np.concatenate([self.ends, self.ends[-1] + np.cumsum(tokens, dtype=np.int64)])
+        for oldest, new, end in spans(self.ends, self.system, self.first - self.base, *self.rule):
+            if end == len(self.ends) - 1 and not last:
+                break
+            yield self.base + oldest, self.base + new, self.base + end
+            self.first = self.base + end
+        done = int(np.searchsorted(self.ends, self.ends[self.first - self.base] - self.history))
+        self.base, self.ends = self.base + done, self.ends[done:]
+
+
 def _groups(batches: Iterator[pa.RecordBatch], names: tuple[str, ...]) -> Iterator[list[dict]]:
     """Rows that follow each other with equal values of the names."""
     held: list[dict] = []
@@ -98,28 +118,88 @@ def _written(row: dict) -> tuple[str, int]:
     return f"{head}{row['body']}{CLOSE}\n", len(head)
 
 
-def _windows_of(rows: list[dict], budget: int, history: int) -> Iterator[tuple]:
-    """Windows of one cell, whose rows are [system turn,] repeated turns, own turns."""
-    conv, cell = rows[0]["conv"], rows[0]["cell"]
-    system = rows[0] if rows[0]["kind"] == 0 or (cell == 0 and rows[0]["role"] == "system") else None
+def _window(conv: str, number: int, cell: int, first: int, system: dict | None, again: list[dict], new: list[dict]) -> tuple:
+    """A window of the system turn, repeated turns and new ones, of which ``first`` is the place of the first."""
+    text, at, loss = [], 0, []
+    for i, row in enumerate(([system] if system else []) + again + new):
+        whole, skip = _written(row)
+        if row["role"] == "assistant" and i >= len(again) + (1 if system else 0):
+            loss.append({"start": at + skip, "end": at + len(whole) - len(CLOSE) - 1})
+        text.append(whole)
+        at += len(whole)
+    repeated = len(again) + (1 if system and number else 0)
+    tokens = sum(r["tokens"] for r in again + new) + (system["tokens"] if system else 0)
+    return conv, number // cell, number, first, repeated, tokens, "".join(text), loss
+
+
+def _windows_of(rows: list[dict], budget: int, history: int, cell: int) -> Iterator[tuple]:
+    """Windows of a whole conversation."""
+    system = rows[0] if rows[0]["role"] == "system" else None
     turns = rows[1:] if system else rows
-    own = next((i for i, r in enumerate(turns) if r["kind"] == 2), len(turns))
     ends = np.concatenate([[0], np.cumsum([r["tokens"] for r in turns], dtype=np.int64)])
-    cuts = list(spans(ends, system["tokens"] if system else 0, own, budget, history))
-    if system and cell == 0 and not turns:
-        cuts = [(0, 0, 0)]
-    for number, (oldest, new, end) in enumerate(cuts):
-        begins = cell == 0 and number == 0
-        text, at, loss = [], 0, []
-        for i, row in ([(-1, system)] if system else []) + list(enumerate(turns[oldest:end], oldest)):
-            whole, skip = _written(row)
-            if row["role"] == "assistant" and (i >= new or i < 0 and begins):
-                loss.append({"start": at + skip, "end": at + len(whole) - len(CLOSE) - 1})
-            text.append(whole)
-            at += len(whole)
-        repeated = new - oldest + (1 if system and not begins else 0)
-        tokens = int(ends[end] - ends[oldest]) + (system["tokens"] if system else 0)
-        yield conv, cell, number, new - own, repeated, tokens, "".join(text), loss
+    for number, (oldest, new, end) in enumerate(list(spans(ends, system["tokens"] if system else 0, 0, budget, history)) or [(0, 0, 0)]):
+        yield _window(rows[0]["conv"], number, cell, new, system, turns[oldest:new], turns[new:end])
+
+
+def _windows_in(rows: list[dict], cell: int) -> Iterator[tuple]:
+    """Windows of a cell, whose rows are [system turn,] then window by window repeated turns and new ones."""
+    system = rows[0] if rows[0]["kind"] == 0 else None
+    held: dict[int, tuple[list, list]] = {rows[0]["window"]: ([], [])}
+    for row in rows[1:] if system else rows:
+        held.setdefault(row["window"], ([], []))[row["kind"] - 1].append(row)
+    for number, (again, new) in held.items():
+        first = new[0]["at"] - (1 if system else 0) if new else 0
+        yield _window(rows[0]["conv"], number, cell, first, system, again, new)
+
+
+MARK = "conv string, at long, cell long, window long, kind int"
+
+
+def _marks(budget: int, history: int, cell: int):
+    """From the tokens of all turns, in order, to the windows that hold each: repeated (kind 1) or new (2).
+
+    The system turn (0) comes once a cell.
+    """
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        conv, cutter, lead, number = None, None, 0, 0
+
+        def marked(spans_found):
+            nonlocal number
+            rows = []
+            for oldest, new, end in spans_found:
+                if lead and number % cell == 0:
+                    rows.append((conv, 0, number // cell, number, 0))
+                rows += [(conv, turn + lead, number // cell, number, 1 if turn < new else 2) for turn in range(oldest, end)]
+                number += 1
+            return rows
+
+        def ended():
+            rows = marked(cutter.feed(np.zeros(0, np.int64), last=True))
+            return rows if number else marked([(0, 0, 0)])
+
+        def read():
+            nonlocal conv, cutter, lead, number
+            for batch in batches:
+                names, tokens = batch.column("conv").to_pylist(), batch.column("tokens").to_numpy()
+                starts = [i for i, name in enumerate(names) if (name != names[i - 1] if i else True)]
+                for low, high in zip(starts, starts[1:] + [len(names)]):
+                    if cutter is None or names[low] != conv:
+                        if cutter is not None:
+                            yield from ended()
+                        lead = int(batch.column("leads")[low].as_py())
+                        conv, number, cutter = names[low], 0, Cutter(int(tokens[low]) if lead else 0, budget, history)
+                        low += lead
+                    yield from marked(cutter.feed(tokens[low:high]))
+            if cutter is not None:
+                yield from ended()
+
+        return _batched(read(), _MARK_TYPES, _MARK_NAMES, lambda row: 40)
+
+    return run
+
+
+_MARK_NAMES = [f.split()[0] for f in MARK.split(", ")]
+_MARK_TYPES = [pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.int32()]
 
 
 _WINDOW_NAMES = ["conv", "cell", "window", "first_turn", "repeated", "tokens", "text", "loss"]
@@ -139,14 +219,6 @@ def _batched(rows: Iterator[tuple], types: list, names: list[str], weight: Calla
         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*held), types)], names)
 
 
-def _cut(budget: int, history: int):
-    def run(batches):
-        found = (w for rows in _groups(batches, ("conv", "cell")) for w in _windows_of(rows, budget, history))
-        return _batched(found, _WINDOW_TYPES, _WINDOW_NAMES, lambda w: len(w[6]))
-
-    return run
-
-
 def prepared(turns: DataFrame, conv: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text",
              tokens: Column | None = None) -> DataFrame:
     """``conv`` (never null), turn, role and body as written, tokens. ``tokens`` may give exact counts of a vocabulary."""
@@ -158,39 +230,39 @@ def prepared(turns: DataFrame, conv: str = "conv_id", turn: str = "turn", role:
 
 
 def split_by_size(rows: DataFrame, limit: int = LIMIT) -> tuple[DataFrame, DataFrame]:
-    """Rows of conversations of at most ``limit`` bytes, and the others."""
+    """Rows of conversations of at most ``limit`` bytes, and the others; results do not depend on the limit."""
     size = F.sum(F.octet_length("body") + F.octet_length("role") + len(OPEN + CLOSE) + 2)
     long = cut_lineage(rows.groupBy("conv").agg(size.alias("size")).where(F.col("size") > limit).select("conv"))
     return rows.join(long, "conv", "left_anti"), rows.join(long, "conv", "left_semi")
 
 
-def short_windows(rows: DataFrame, budget: int = BUDGET, history: int = HISTORY) -> DataFrame:
+def short_windows(rows: DataFrame, budget: int = BUDGET, history: int = HISTORY, cell: int = CELL) -> DataFrame:
     """Windows of conversations that fit a task, one conversation's in order after another's."""
-    laid = rows.select("*", F.lit(0).cast("long").alias("cell"), F.lit(2).alias("kind")).repartition("conv")
-    return laid.sortWithinPartitions("conv", "turn", "role", "body").mapInArrow(_cut(budget, history), WINDOW)
+    def run(batches):
+        found = (w for own in _groups(batches, ("conv",)) for w in _windows_of(own, budget, history, cell))
+        return _batched(found, _WINDOW_TYPES, _WINDOW_NAMES, lambda w: len(w[6]))
+
+    laid = rows.select("conv", "turn", "role", "body", "tokens").repartition("conv")
+    return laid.sortWithinPartitions("conv", "turn", "role", "body").mapInArrow(run, WINDOW)
 
 
 def long_windows(rows: DataFrame, budget: int = BUDGET, history: int = HISTORY, cell: int = CELL) -> DataFrame:
-    """Windows of conversations of any length, a cell's in order after another's."""
-    width = cell * budget
-    placed = ranked(rows, "conv", ["turn", "role", "body"], "tokens", "at", "start")
-    own = F.floor(F.col("start") / width).cast("long")
-    celled = placed.withColumn("own", own)
-    leads = (F.col("at") == 0) & (F.col("role") == "system")
-    last = celled.groupBy("conv").agg(F.max("own").alias("last"))
-    columns = ["conv", "turn", "role", "body", "tokens", "at"]
-    here = F.struct(F.col("own").alias("cell"), F.lit(2).alias("kind"))
-    further = F.struct((F.col("own") + 1).alias("cell"), F.lit(1).alias("kind"))
-    near_end = F.col("start") >= (F.col("own") + 1) * width - history
-    plain = celled.where(~leads).select(*columns, F.explode(F.when(near_end, F.array(here, further)).otherwise(F.array(here))).alias("x"))
-    each = celled.where(leads).join(last, "conv").select(*columns, F.explode(F.sequence(F.lit(0).cast("long"), F.col("last"))).alias("cell"))
-    laid = plain.select(*columns, "x.cell", "x.kind").unionByName(each.withColumn("kind", F.lit(0)))
-    return laid.repartition("conv", "cell").sortWithinPartitions("conv", "cell", "at").mapInArrow(_cut(budget, history), WINDOW)
+    """The same windows of conversations of any length, a cell's in order after another's."""
+    def run(batches):
+        found = (w for own in _groups(batches, ("conv", "cell")) for w in _windows_in(own, cell))
+        return _batched(found, _WINDOW_TYPES, _WINDOW_NAMES, lambda w: len(w[6]))
+
+    placed = ranked(rows, "conv", ["turn", "role", "body"])
+    leads = ((F.col("at") == 0) & (F.col("role") == "system")).alias("leads")
+    turns = placed.select("conv", "at", "tokens", leads).repartition("conv").sortWithinPartitions("conv", "at")
+    marks = turns.mapInArrow(_marks(budget, history, cell), MARK)
+    laid = placed.select("conv", "at", "role", "body", "tokens").join(marks, ["conv", "at"]).repartition("conv", "cell")
+    return laid.sortWithinPartitions("conv", "cell", "window", "at").mapInArrow(run, WINDOW)
 
 
 def windows(turns: DataFrame, conv: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text",
             tokens: Column | None = None, budget: int = BUDGET, history: int = HISTORY) -> DataFrame:
-    """All windows: ``conv`` (``=`` and the id), cell, window, first_turn (in its cell), repeated, tokens, text, loss."""
+    """All windows: ``conv`` (``=`` and the id), cell, window, first_turn (behind the system turn), repeated, tokens, text, loss."""
     short, long = split_by_size(prepared(turns, conv, turn, role, text, tokens))
     return short_windows(short, budget, history).unionByName(long_windows(long, budget, history))
 
@@ -262,7 +334,7 @@ def round_trip(turns: DataFrame, conv: str = "conv_id", turn: str = "turn", role
     """Format and read back: the conversation and the columns of ``DIGEST``."""
     short, long = split_by_size(prepared(turns, conv, turn, role, text, tokens), limit)
     cells = long_windows(long, budget, history, cell).mapInArrow(_pieces, PIECE)
-    both = read_back(short_windows(short, budget, history), in_order=True).unionByName(
+    both = read_back(short_windows(short, budget, history, cell), in_order=True).unionByName(
         cells.repartition("conv").sortWithinPartitions("conv", "cell").mapInArrow(_digests, DIGEST))
     kind = turns.schema[conv].dataType
     own = F.when(F.col("conv") != "", F.substr("conv", F.lit(2))).cast(kind)

@@ -89,6 +89,34 @@ def test_windows_keep_their_rules(spark, cell):
     assert any(w.repeated > 1 for w in found.collect())
 
 
+@pytest.mark.parametrize("budget, history", [(90, 40), (30, 29), (5, 0)])
+def test_windows_do_not_depend_on_the_limit(spark, budget, history):
+    """Long conversations are cut like short ones, across cells too."""
+    rows = random_turns(3) + [(20, 0, "system", "only"), (21, None, None, None)]
+    prepared = chat.prepared(spark.createDataFrame(rows, SCHEMA).repartition(5))
+    short, long = (sorted(map(tuple, f(prepared, budget, history, 2).collect())) for f in (chat.short_windows, chat.long_windows))
+    assert short == long and len(short) > 50
+    frame = spark.createDataFrame(rows, SCHEMA)
+    whole, split = ({r[0]: r.formatted_chars for r in chat.round_trip(frame, budget=budget, history=history, limit=n, cell=1).collect()}
+                    for n in (chat.LIMIT, 400))
+    assert whole == split
+
+
+def test_cutter_equals_spans():
+    rng = random.Random(4)
+    for _ in range(300):
+        sizes = np.array([rng.choice([0, 1, 5, 9, 40, 200]) for _ in range(rng.randint(0, 60))], np.int64)
+        system, budget, history = rng.choice([0, 7, 50]), rng.choice([10, 40, 90]), rng.choice([0, 5, 39])
+        cutter, found, at = chat.Cutter(system, budget, history), [], 0
+        while at < len(sizes):
+            step = rng.randint(1, 9)
+            found += cutter.feed(sizes[at:at + step])
+            at += step
+        found += cutter.feed(sizes[:0], last=True)
+        ends = np.concatenate([[0], np.cumsum(sizes)])
+        assert found == list(chat.spans(ends, system, 0, budget, history))
+
+
 def test_greedy_spans():
     sizes = [10, 20, 30, 100, 5, 5, 5, 40]
     ends = np.concatenate([[0], np.cumsum(sizes)])
