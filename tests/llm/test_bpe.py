@@ -112,3 +112,46 @@ def test_query(spark, theirs):
         assert row.n_tokens == len(ids)
         assert row.ids_sha256 == hashlib.sha256(" ".join(map(str, ids)).encode()).hexdigest()
         assert row.decoded_sha256 == hashlib.sha256((doc.text or "").encode()).hexdigest()
+
+
+def test_pairs_follow_as_merges_say():
+    """Pairs of tokens, of which many are cut from a third one, against merging their bytes."""
+    own, rng = bpe.Transducer(bpe.read_ranks(PATH)), random.Random(3)
+    tokens = list(own.token_bytes)
+    seen = set()
+    for _ in range(20_000):
+        a, b = rng.choice(tokens), rng.choice(tokens)
+        whole = own.token_bytes[rng.choice(tokens)]
+        if rng.random() < 0.5 and len(whole) > 1:
+            cut = rng.randint(1, len(whole) - 1)
+            a, b = own.ranks.get(whole[:cut], a), own.ranks.get(whole[cut:], b)
+        parts = [own.token_bytes[a], own.token_bytes[b]]
+        assert own._may_follow(a, b) == (own._merge(b"".join(parts)) == parts)
+        seen.add(own._may_follow(a, b))
+    assert seen == {True, False}
+
+
+def test_emptied_caches_need_no_collector():
+    """States refer to each other in circles; they are freed at once, so encoding tasks run without the collector."""
+    import gc
+    import weakref
+
+    class Watched(bpe.State):
+        __slots__ = ("__weakref__",)
+
+    own = bpe.Transducer(bpe.read_ranks(PATH))
+    gc.collect()
+    gc.disable()
+    try:
+        own.states = {}
+        state = Watched()
+        state.paths = own.root.paths
+        own.states[state.paths] = own.root = state
+        own.encode(b"aaaa" * 50 + b"the end")
+        state[0] = 0, state  # a circle
+        gone = weakref.ref(state)
+        del state
+        own._reset()
+        assert gone() is None
+    finally:
+        gc.enable()
