@@ -49,7 +49,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from ..session import cut_lineage, release_shuffles
+from ..session import cut_lineage, discard, shuffles_released
 from .arrow import output_schema, replace_column, slices, text_bytes, tidy
 from .ordered import free_names
 
@@ -320,7 +320,7 @@ def frequent_shingles(docs: DataFrame, text: str = "text") -> Frequent:
 
 
 def signatures(stored: DataFrame, total: int, plain: bool = False) -> DataFrame:
-    """(key, tag, node, bands, text, df): ``tag`` hashes the text as it is, ``node`` names its sequence of words.
+    """Stored (key, tag, node, bands, text, df): ``tag`` hashes the text as it is, ``node`` names its sequence of words.
 
     ``df`` packs the document frequencies (``LEAST`` at least) of the text's distinct shingles, ascending by shingle.
     """
@@ -328,7 +328,6 @@ def signatures(stored: DataFrame, total: int, plain: bool = False) -> DataFrame:
                                                          "text": T.StringType(), "df": T.BinaryType()})
     buckets = bucket_count(stored)
     back = cut_lineage(counted(stored, buckets, LEAST + 1), "zstd")  # what is not sent back weighs like ``LEAST``
-    release_shuffles(stored.sparkSession)
 
     def run(rows: pa.Table, sent: pa.Table) -> pa.Table:
         known, often = unpack(sent.column("shingle"), sent.column("bucket")), numbers(sent.column("df"))
@@ -373,7 +372,9 @@ def signatures(stored: DataFrame, total: int, plain: bool = False) -> DataFrame:
                 part.column("text"), pa.array([df[cut[i]:cut[i + 1]].tobytes() for i in range(n)], pa.binary())], schema.names))
         return pa.Table.from_batches(found)
 
-    return stored.groupBy("block").cogroup(back.groupBy("block")).applyInArrow(run, schema)
+    signed = cut_lineage(stored.groupBy("block").cogroup(back.groupBy("block")).applyInArrow(run, schema), "zstd")
+    discard(back)
+    return signed
 
 
 @lru_cache(maxsize=1)
@@ -447,17 +448,27 @@ def components(links: DataFrame) -> DataFrame:
 
 def classes(docs: DataFrame, text: str = "text", key: str = "doc_id", threshold: float = THRESHOLD,
             plain: bool = False) -> DataFrame:
-    """(key, tag, node, root, class_id) of every row of ``docs``."""
+    """(key, tag, node, root, class_id) of every row of ``docs``.
+
+    A table or a shuffle that holds texts or shingles is as large as ``docs``: each goes as soon as the next step is stored.
+    """
+    with shuffles_released(docs.sparkSession):
+        return _classes(docs, text, key, threshold, plain)
+
+
+def _classes(docs: DataFrame, text: str, key: str, threshold: float, plain: bool) -> DataFrame:
     stored = stamped(docs, text, key)
     total = max(stored.count(), 1)
-    signed = cut_lineage(signatures(stored, total, plain), "zstd")
-    release_shuffles(docs.sparkSession)
+    signed = signatures(stored, total, plain)
+    discard(stored)
     nodes = signed.where("node is not null").groupBy("node").agg(F.min("key").alias("key"), F.min("bands").alias("bands"))
     met = nodes.select("node", F.explode("bands").alias("bucket"))
     full = met.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("bucket")
     members = cut_lineage(met.join(full, "bucket", "left_semi"))
     wanted = members.select("node").distinct()
     texts = cut_lineage(signed.select("node", "text", "df").join(wanted, "node", "left_semi").dropDuplicates(["node"]))
+    names = cut_lineage(signed.select("key", "tag", "node"))
+    discard(signed)
 
     linked = F.col("weighted") >= threshold
     if plain:
@@ -469,7 +480,7 @@ def classes(docs: DataFrame, text: str = "text", key: str = "doc_id", threshold:
     heads = weighed.groupBy("bucket").agg(F.max(F.struct("degree", "node"))["node"].alias("b"))
     meets = cut_lineage(members.withColumnRenamed("node", "a").join(heads, "bucket").where("a <> b"))
     if meets.isEmpty():
-        return _attach(signed, nodes.select("node", F.col("node").alias("root")))
+        return _attach(names, names.where("node is not null").select("node", F.col("node").alias("root")).distinct(), texts)
     found = compare(meets.select("a", "b").distinct(), texts, total)
     judged = cut_lineage(meets.join(found, ["a", "b"]).withColumn("linked", linked))
     roots = components(judged.where("linked").select("a", "b").distinct())
@@ -489,7 +500,7 @@ def classes(docs: DataFrame, text: str = "text", key: str = "doc_id", threshold:
         if ranked.isEmpty():
             break
         done, taken = taken, taken ** 4
-    return _attach(signed, roots)
+    return _attach(names, roots, texts)
 
 
 def apart(pairs: DataFrame, roots: DataFrame) -> DataFrame:
@@ -598,9 +609,9 @@ def elements(nodes: DataFrame, texts: DataFrame, total: int) -> DataFrame:
     return rows.mapInArrow(run, "short long, shingle long, w double")
 
 
-def _attach(signed: DataFrame, roots: DataFrame) -> DataFrame:
-    rows = signed.select("key", "tag", "node").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    rows = cut_lineage(rows)
+def _attach(names: DataFrame, roots: DataFrame, texts: DataFrame) -> DataFrame:
+    rows = cut_lineage(names.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")))
+    discard(texts, names)
     first = rows.where("root is not null").groupBy("root").agg(F.min("key").alias("class_id"))
     return rows.join(first, "root", "left").withColumn("class_id", F.when(
         F.col("root").isNull(), F.col("key")).otherwise(F.col("class_id")))
@@ -609,7 +620,8 @@ def _attach(signed: DataFrame, roots: DataFrame) -> DataFrame:
 def deduplicate(docs: DataFrame, text: str = "text", key: str = "doc_id", threshold: float = THRESHOLD,
                 plain: bool = False) -> DataFrame:
     """One row of each class, the one with the smallest key (ties: smallest tag); rows of null text stay."""
-    found = cut_lineage(classes(docs, text, key, threshold, plain))
+    with shuffles_released(docs.sparkSession):
+        found = cut_lineage(classes(docs, text, key, threshold, plain))
     first = found.where("root is not null").groupBy("root").agg(F.min(F.struct("key", "tag")).alias("s"))
     name, tag = free_names(docs.columns, "key", "tag")
     keepers = first.select(F.col("s.key").alias(f"{name}_"), F.col("s.tag").alias(f"{tag}_"))

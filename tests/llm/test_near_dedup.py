@@ -1,4 +1,6 @@
+import os
 import random
+import time
 from collections import Counter
 
 import numpy as np
@@ -225,3 +227,28 @@ def test_common_passages_weigh_less(spark):
     rows.append((400, rows[1][1] + " end", "en"))
     got = {r.key: r.class_id for r in nd.classes(spark.createDataFrame(rows, COLUMNS)).collect()}
     assert got == {i: 1 if i == 400 else i for i in range(401)}
+
+
+def test_texts_and_shuffles_do_not_stay(spark):
+    """Neither stored copies of the texts nor shuffle files are left once the classes are found."""
+    from frondlake.session import SHUFFLE_CLEANUP, checkpoint_folder
+
+    folder = checkpoint_folder(spark).removeprefix("file:")
+    places = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirs()
+
+    def shuffles():
+        return {f for place in places for _, _, names in os.walk(place.getPath()) for f in names if f.startswith("shuffle_")}
+
+    frame = spark.createDataFrame(corpus(13, 30, 5), COLUMNS)
+    held, before = set(os.listdir(folder)), shuffles()
+    found = nd.classes(frame)
+    with_text = [d for d in set(os.listdir(folder)) - held
+                 if {"text", "shingle", "df"} & set(spark.read.parquet(f"file:{folder}/{d}").columns)
+                 and "short" not in spark.read.parquet(f"file:{folder}/{d}").columns]
+    assert with_text == []
+    until = time.time() + 20
+    while shuffles() - before and time.time() < until:  # removed by the executors in their own time
+        time.sleep(0.2)
+    assert not shuffles() - before
+    assert spark.conf.get(SHUFFLE_CLEANUP) == "false"
+    assert found.count() == frame.count()
