@@ -10,7 +10,10 @@ holds its last bigram one place further, where an insertion may have moved it).
 looked up in an index of the prefixes. Position limits: a surviving bigram moves by nothing
 or by the difference of the lengths. An edit behind the surviving bigram leaves the head
 of the word unchanged, one before it the tail; that side is part of the key, which splits the
-groups of frequent bigrams. The other pivot bounds the edit too: what lies beyond it must be
+groups of frequent bigrams. What remains of the word is halved: an edit in one half leaves the
+other unchanged, which joins the key (``halves``). A key thus fixes more than half of a word, so words
+that share an end and a length are not all compared. The other pivot bounds the edit too: a half
+it cannot be in is not looked up, what lies beyond it must be
 equal, and only the few characters between are verified by their edit distance.
 
 A word's *form* is its near word of largest count if that is ``FACTOR`` times its own at
@@ -30,6 +33,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -37,6 +41,7 @@ from pyspark.sql import functions as F
 from ..session import cut_lineage
 
 RUNS = r"[A-Za-zÀ-ÿ]+"
+CHUNK_WORDS, CHUNK_CHARS = 2048, 1 << 17
 LEAST_CHARS = 7
 LEAST_COUNT = 2
 FACTOR = 10
@@ -56,9 +61,8 @@ def damaged(run: Column, key: Column) -> Column:
 
 def words(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
     """``word`` and ``n``: the distinct words of at least ``LEAST_CHARS`` code points that occur ``LEAST_COUNT`` times."""
-    lower = F.translate(F.col(text), UPPER, LOWER)
-    runs = F.regexp_extract_all(lower, F.lit(r"[a-zÀ-ÿ]{%d,}" % LEAST_CHARS), F.lit(0))
-    found = docs.select(F.col(key).alias("key"), F.explode(runs).alias("run"))
+    runs = F.regexp_extract_all(F.col(text), F.lit(r"[A-Za-zÀ-ÿ]{%d,}" % LEAST_CHARS), F.lit(0))
+    found = docs.select(F.col(key).alias("key"), F.explode(runs).alias("run")).withColumn("run", F.translate("run", UPPER, LOWER))
     spelled = found.select(damaged(F.col("run"), F.col("key")).alias("word")).where(F.length("word") >= LEAST_CHARS)
     return spelled.groupBy("word").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= LEAST_COUNT)
 
@@ -94,59 +98,137 @@ def pivots(word: str, places: list[int], shared: dict[str, int]) -> list[int]:
     return list(best[-1][-1][1])
 
 
-def unchanged(word: str, chosen: list[int]) -> list[tuple[int, str, int, int]]:
+def unchanged(size: np.ndarray, one: np.ndarray, two: np.ndarray) -> list[tuple[np.ndarray, str, np.ndarray, np.ndarray]]:
     """Look-ups for the places an edit can be at: (surviving pivot, side whose rest is the key, unchanged head and tail)."""
-    one, two = chosen
-    size = len(word)
-    return [(two, "head", two + GRAM, 0),                            # behind both pivots
-            (one, "tail", 0, size - one),                            # before both
+    none = np.zeros_like(size)
+    return [(two, "head", two + GRAM, none),                         # behind both pivots
+            (one, "tail", none, size - one),                         # before both
             (one, "head", one + GRAM, size - two - GRAM),            # between them or in the second
             (two, "tail", one, size - two)]                          # in the first
 
 
-def index_rows(vocabulary: DataFrame, shared: DataFrame) -> DataFrame:
-    """Pivot and prefix entries of every word.
+def halves(side: str, at: np.ndarray, length: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Numbers of characters of a word of this length: those of the unchanged side, the near half and the far half of the rest."""
+    kept = at + GRAM if side == "head" else length - at
+    near = (length - kept) // 2
+    return kept, near, length - kept - near
 
-    ``meet`` is a digest of bigram, place, length of the word looked for, and the unchanged side;
-    ``last`` orders words by their last prefix bigram; ``head`` and ``tail`` are the numbers of
-    code points an edit leaves at either end.
+
+class Digests:
+    """Digests of the two ends of words, from running sums over the characters of all words."""
+
+    STEP = np.uint64(0x9E3779B97F4A7C15)
+    BACK = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
+
+    def __init__(self, words: list[str]):
+        points = np.frombuffer("".join(words).encode("utf-32-le"), np.uint32).astype(np.uint64)
+        self.size = np.array([len(w) for w in words], np.int64)
+        self.starts = np.cumsum(self.size) - self.size
+        powers = np.cumprod(np.full(len(points), self.STEP)) * self.BACK
+        self.back = np.cumprod(np.full(len(points) + 1, self.BACK)) * self.STEP
+        self.sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum(mixed(points + np.uint64(1)) * powers)))
+
+    def piece(self, low: np.ndarray, count: np.ndarray) -> np.ndarray:
+        return (self.sums[low + count] - self.sums[low]) * self.back[low]
+
+    def __call__(self, word: np.ndarray, kind: int, at: np.ndarray, length: np.ndarray, head: np.ndarray, tail: np.ndarray) -> np.ndarray:
+        """Of kind, place, length, and so many characters of the head and of the tail of the words."""
+        low = self.starts[word]
+        found = mixed((kind + 4 * at).astype(np.uint64)) + mixed(length.astype(np.uint64) * self.BACK + self.piece(low, head))
+        return mixed(found * self.STEP + self.piece(low + self.size[word] - tail, tail)).view(np.int64)
+
+
+def mixed(x: np.ndarray) -> np.ndarray:
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
+
+
+def keys(digest: Digests, word: np.ndarray, side: str, at: np.ndarray, length: np.ndarray, least: np.ndarray | None = None,
+         most: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """(which, key): keys of words for an edit in either half of what remains beside the bigram at ``at``.
+
+    ``length`` is that of the word looked for. The edit leaves from ``least`` to ``most`` characters
+    of the unchanged side's end; without them it may be anywhere.
     """
+    kept, near, far = halves(side, at, length)
+    in_near, in_far = near > 0, np.ones(len(at), bool)
+    if least is not None:
+        in_near &= (least < kept + near) & (least <= most)
+        in_far &= (most >= kept + near) & (least <= most)
+    out = []
+    for kind, which, own, other in ((0, in_near, kept, far), (1, in_far, kept + near, np.zeros_like(far))):
+        i = np.flatnonzero(which)
+        head, tail = (own[i], other[i]) if side == "head" else (other[i], own[i])
+        out.append((i, digest(word[i], kind + 2 * (side == "tail"), at[i], length[i], head, tail)))
+    return np.concatenate([i for i, _ in out]), np.concatenate([k for _, k in out])
+
+
+def described(vocabulary: DataFrame, shared: DataFrame) -> DataFrame:
+    """(word, n, last, places, pivots) of every word; ``last`` orders words by their last prefix bigram."""
     frequency = {r["gram"]: r["words"] for r in shared.collect()}  # at most the square of the alphabet
     known = vocabulary.sparkSession.sparkContext.broadcast(frequency)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = known.value
         order = {g: i for i, g in enumerate(sorted(counts, key=lambda g: (counts[g], g)))}
-        rows: list[tuple] = []
-        held = 0
         for batch in batches:
-            for word, n in zip(batch.column("word").to_pylist(), batch.column("n").to_pylist()):
+            last, held, chosen = [], [], []
+            for word in batch.column("word").to_pylist():
                 first, places = prefix(word, counts)
-                size, last = len(word), order[word[first[-1]:first[-1] + GRAM]] << 32 | first[-1]
-                for at in places:
-                    gram = word[at:at + GRAM]
-                    rows.append((word, n, False, last, 0, 0, gram, at, size, "head", word[:at]))
-                    rows.append((word, n, False, last, 0, 0, gram, at, size, "tail", word[at + GRAM:]))
-                for at, side, head, tail in unchanged(word, pivots(word, first, counts)):
-                    gram, rest = word[at:at + GRAM], word[:at] if side == "head" else word[at + GRAM:]
-                    for more in (-1, 0, 1) if head + tail < size else (1,):  # with nothing between, only an insertion fits
-                        rows.append((word, n, True, last, head, tail, gram, at + more * (side == "tail"), size + more, side, rest))
-                held += size
-                if len(rows) > 50_000 or held > 1 << 20:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), _TYPES)], _NAMES)
-                    rows, held = [], 0
-        if rows:
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), _TYPES)], _NAMES)
-
-    found = vocabulary.mapInArrow(run, ENTRY)
-    return found.select("word", "n", "pivot", "last", "head", "tail", F.xxhash64("gram", "at", "length", "side", "rest").alias("meet"))
-
-
-ENTRY = ("word string, n long, pivot boolean, last long, head int, tail int, gram string, at int, length int, side string, "
-         "rest string")
-_NAMES = [f.split()[0] for f in ENTRY.split(", ")]
-_TYPES = [pa.string(), pa.int64(), pa.bool_(), pa.int64(), pa.int32(), pa.int32(), pa.string(), pa.int32(), pa.int32(),
-          pa.string(), pa.string()]
+                last.append(order[word[first[-1]:first[-1] + GRAM]] << 32 | first[-1])
+                held.append(places)
+                chosen.append(pivots(word, first, counts))
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("word"), batch.column("n"), pa.array(last, pa.int64()), pa.array(held, pa.list_(pa.int32())),
+                 pa.array(chosen, pa.list_(pa.int32()))], ["word", "n", "last", "places", "pivots"])
+
+    return vocabulary.select("word", "n").mapInArrow(run, "word string, n long, last long, places array<int>, pivots array<int>")
+
+
+def chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, list[str]]]:
+    """The batches in parts of ``CHUNK_WORDS`` words or about ``CHUNK_CHARS`` characters, with their words."""
+    for batch in batches:
+        words = batch.column("word").to_pylist()
+        low = held = 0
+        for i, word in enumerate(words):
+            held += len(word)
+            if i + 1 - low == CHUNK_WORDS or held > CHUNK_CHARS or i + 1 == len(words):
+                yield batch.slice(low, i + 1 - low), words[low:i + 1]
+                low, held = i + 1, 0
+
+
+def held_entries(stored: DataFrame) -> DataFrame:
+    """(met, b, b_n, b_last): the prefix entries of every word."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch, words in chunks(batches):
+            digest, places = Digests(words), batch.column("places")
+            word = np.repeat(np.arange(len(words)), [len(x) for x in places.to_pylist()])
+            at = places.flatten().to_numpy().astype(np.int64)
+            for side in ("head", "tail"):
+                i, key = keys(digest, word, side, at, digest.size[word])
+                rows = batch.take(pa.array(word[i]))
+                yield pa.RecordBatch.from_arrays([pa.array(key), *(rows.column(c) for c in ("word", "n", "last"))], ["met", "b", "b_n", "b_last"])
+
+    return stored.select("word", "n", "last", "places").mapInArrow(run, "met long, b string, b_n long, b_last long")
+
+
+def asked_entries(stored: DataFrame) -> DataFrame:
+    """(meet, head, tail, a, a_n, a_last): the look-ups of every word's pivots; an edit leaves ``head`` and ``tail`` characters."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch, words in chunks(batches):
+            digest, word = Digests(words), np.arange(len(words))
+            one, two = batch.column("pivots").flatten().to_numpy().astype(np.int64).reshape(-1, EDITS + 1).T
+            for at, side, head, tail in unchanged(digest.size, one, two):
+                least, other = (head, tail) if side == "head" else (tail, head)
+                for more in (-1, 0, 1):  # the word looked for is so much longer; unless it is, the edit takes a character of this one
+                    i, key = keys(digest, word, side, at + more * (side == "tail"), digest.size + more, least, digest.size - other - (more < 1))
+                    rows = batch.take(pa.array(i))
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(key), pa.array(head[i], pa.int32()), pa.array(tail[i], pa.int32()),
+                         *(rows.column(c) for c in ("word", "n", "last"))], ["meet", "head", "tail", "a", "a_n", "a_last"])
+
+    return stored.select("word", "n", "last", "pivots").mapInArrow(run, "meet long, head int, tail int, a string, a_n long, a_last long")
 
 
 def one_edit(a: Column, b: Column, head: Column, tail: Column) -> Column:
@@ -163,12 +245,11 @@ def near(vocabulary: DataFrame) -> DataFrame:
     places = F.sequence(F.lit(1), F.length("word") - GRAM + 1)
     held = F.explode(F.array_distinct(F.transform(places, lambda i: F.substr("word", i, F.lit(GRAM)))))
     shared = vocabulary.select(held.alias("gram")).groupBy("gram").agg(F.count(F.lit(1)).alias("words"))
-    entries = cut_lineage(index_rows(vocabulary, shared))
-    asked = entries.where("pivot").select("meet", "head", "tail", F.col("word").alias("a"), F.col("n").alias("a_n"), F.col("last").alias("a_last"))
-    held = entries.where("NOT pivot").select("meet", F.col("word").alias("b"), F.col("n").alias("b_n"), F.col("last").alias("b_last"))
+    stored = cut_lineage(described(vocabulary, shared))
+    asked, held = asked_entries(stored), held_entries(stored)
     near_by = F.abs(F.length("a") - F.length("b")) <= EDITS
     fits = (F.col("a_last") <= F.col("b_last")) & near_by & one_edit(F.col("a"), F.col("b"), F.col("head"), F.col("tail"))
-    met = asked.join(held.withColumnRenamed("meet", "met"), (F.col("meet") == F.col("met")) & fits).select("a", "a_n", "b", "b_n")
+    met = asked.join(held.hint("merge"), (F.col("meet") == F.col("met")) & fits).select("a", "a_n", "b", "b_n")
     both = F.explode(F.array(F.struct(F.col("a").alias("word"), F.col("b").alias("other"), F.col("b_n").alias("other_n")),
                              F.struct(F.col("b").alias("word"), F.col("a").alias("other"), F.col("a_n").alias("other_n"))))
     return met.select(both.alias("x")).select("x.*").distinct()

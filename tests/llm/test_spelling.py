@@ -110,6 +110,20 @@ def test_hot_gram(spark):
     assert found(spelling.groups(frame)) == brute_groups(counts)
 
 
+def test_words_of_one_end_and_length_are_not_all_compared(spark):
+    """The rare bigram stands at the same end of all words: their meetings stay in proportion to them."""
+    rng = random.Random(8)
+    counts = {"qzj" + "".join(rng.choices("abcdefgh", k=9)): 2 + i for i in range(3000)}
+    counts |= {w[:i] + "x" + w[i + 1:]: 40 * n for w, n in list(counts.items())[:200] for i in (rng.randrange(12),)}
+    frame = spark.createDataFrame(list(counts.items()), "word string, n long")
+    shared = spark.createDataFrame(list(Counter(g for w in counts for g in set(spelling.grams(w))).items()), "gram string, words long")
+    stored = spelling.described(frame, shared).persist()
+    met = spelling.asked_entries(stored).join(spelling.held_entries(stored), F.expr("meet = met"))
+    assert met.count() < 100 * len(counts)
+    stored.unpersist()
+    assert found(spelling.groups(frame)) == brute_groups(counts)
+
+
 def test_query(spark):
     folder = "/root/testdata/sf0.001"
     rows = [tuple(r) for r in spark.read.parquet(f"{folder}/documents.parquet").select("doc_id", "text").collect()]
