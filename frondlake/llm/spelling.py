@@ -13,8 +13,7 @@ of the word unchanged, one before it the tail; that side is part of the key, whi
 groups of frequent bigrams. What remains of the word is halved: an edit in one half leaves the
 other unchanged, which joins the key (``halves``). A key thus fixes more than half of a word, so words
 that share an end and a length are not all compared. The other pivot bounds the edit too: a half
-it cannot be in is not looked up, what lies beyond it must be
-equal, and only the few characters between are verified by their edit distance.
+it cannot be in is not looked up. Words that meet are verified by their edit distance.
 
 A word's *form* is its near word of largest count if that is ``FACTOR`` times its own at
 least; its *root* is where the forms lead. Counts grow by the factor at each step, so a
@@ -38,7 +37,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..session import cut_lineage
+from ..session import cut_lineage, shuffles_released
 
 RUNS = r"[A-Za-zÀ-ÿ]+"
 CHUNK_WORDS, CHUNK_CHARS = 2048, 1 << 17
@@ -165,7 +164,7 @@ def keys(digest: Digests, word: np.ndarray, side: str, at: np.ndarray, length: n
 
 
 def described(vocabulary: DataFrame, shared: DataFrame) -> DataFrame:
-    """(word, n, last, places, pivots) of every word; ``last`` orders words by their last prefix bigram."""
+    """(word, n, last, places, pivots) of every word; ``last`` is the rank of its last prefix bigram."""
     frequency = {r["gram"]: r["words"] for r in shared.collect()}  # at most the square of the alphabet
     known = vocabulary.sparkSession.sparkContext.broadcast(frequency)
 
@@ -176,14 +175,14 @@ def described(vocabulary: DataFrame, shared: DataFrame) -> DataFrame:
             last, held, chosen = [], [], []
             for word in batch.column("word").to_pylist():
                 first, places = prefix(word, counts)
-                last.append(order[word[first[-1]:first[-1] + GRAM]] << 32 | first[-1])
+                last.append(order[word[first[-1]:first[-1] + GRAM]])
                 held.append(places)
                 chosen.append(pivots(word, first, counts))
             yield pa.RecordBatch.from_arrays(
-                [batch.column("word"), batch.column("n"), pa.array(last, pa.int64()), pa.array(held, pa.list_(pa.int32())),
+                [batch.column("word"), batch.column("n"), pa.array(last, pa.int32()), pa.array(held, pa.list_(pa.int32())),
                  pa.array(chosen, pa.list_(pa.int32()))], ["word", "n", "last", "places", "pivots"])
 
-    return vocabulary.select("word", "n").mapInArrow(run, "word string, n long, last long, places array<int>, pivots array<int>")
+    return vocabulary.select("word", "n").mapInArrow(run, "word string, n long, last int, places array<int>, pivots array<int>")
 
 
 def chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, list[str]]]:
@@ -210,11 +209,11 @@ def held_entries(stored: DataFrame) -> DataFrame:
                 rows = batch.take(pa.array(word[i]))
                 yield pa.RecordBatch.from_arrays([pa.array(key), *(rows.column(c) for c in ("word", "n", "last"))], ["met", "b", "b_n", "b_last"])
 
-    return stored.select("word", "n", "last", "places").mapInArrow(run, "met long, b string, b_n long, b_last long")
+    return stored.select("word", "n", "last", "places").mapInArrow(run, "met long, b string, b_n long, b_last int")
 
 
 def asked_entries(stored: DataFrame) -> DataFrame:
-    """(meet, head, tail, a, a_n, a_last): the look-ups of every word's pivots; an edit leaves ``head`` and ``tail`` characters."""
+    """(meet, a, a_n, a_last): the look-ups of every word's pivots."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, words in chunks(batches):
             digest, word = Digests(words), np.arange(len(words))
@@ -225,19 +224,9 @@ def asked_entries(stored: DataFrame) -> DataFrame:
                     i, key = keys(digest, word, side, at + more * (side == "tail"), digest.size + more, least, digest.size - other - (more < 1))
                     rows = batch.take(pa.array(i))
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array(key), pa.array(head[i], pa.int32()), pa.array(tail[i], pa.int32()),
-                         *(rows.column(c) for c in ("word", "n", "last"))], ["meet", "head", "tail", "a", "a_n", "a_last"])
+                        [pa.array(key), *(rows.column(c) for c in ("word", "n", "last"))], ["meet", "a", "a_n", "a_last"])
 
-    return stored.select("word", "n", "last", "pivots").mapInArrow(run, "meet long, head int, tail int, a string, a_n long, a_last long")
-
-
-def one_edit(a: Column, b: Column, head: Column, tail: Column) -> Column:
-    """Whether one edit between the unchanged ends makes ``b`` of ``a``."""
-    def middle(word: Column) -> Column:
-        return F.substr(word, head + 1, F.length(word) - head - tail)
-
-    return (F.startswith(b, F.substr(a, F.lit(1), head)) & F.endswith(b, F.substr(a, F.length(a) - tail + 1, tail))
-            & (F.levenshtein(middle(a), middle(b), EDITS) == EDITS))
+    return stored.select("word", "n", "last", "pivots").mapInArrow(run, "meet long, a string, a_n long, a_last int")
 
 
 def near(vocabulary: DataFrame) -> DataFrame:
@@ -246,9 +235,8 @@ def near(vocabulary: DataFrame) -> DataFrame:
     held = F.explode(F.array_distinct(F.transform(places, lambda i: F.substr("word", i, F.lit(GRAM)))))
     shared = vocabulary.select(held.alias("gram")).groupBy("gram").agg(F.count(F.lit(1)).alias("words"))
     stored = cut_lineage(described(vocabulary, shared))
-    asked, held = asked_entries(stored), held_entries(stored)
-    near_by = F.abs(F.length("a") - F.length("b")) <= EDITS
-    fits = (F.col("a_last") <= F.col("b_last")) & near_by & one_edit(F.col("a"), F.col("b"), F.col("head"), F.col("tail"))
+    asked, held = asked_entries(stored), held_entries(stored)  # many times larger than Spark estimates: joined by a merge
+    fits = (F.col("a_last") <= F.col("b_last")) & (F.levenshtein("a", "b", EDITS) == EDITS)
     met = asked.join(held.hint("merge"), (F.col("meet") == F.col("met")) & fits).select("a", "a_n", "b", "b_n")
     both = F.explode(F.array(F.struct(F.col("a").alias("word"), F.col("b").alias("other"), F.col("b_n").alias("other_n")),
                              F.struct(F.col("b").alias("word"), F.col("a").alias("other"), F.col("a_n").alias("other_n"))))
@@ -275,7 +263,8 @@ def groups(vocabulary: DataFrame) -> DataFrame:
 
 def variants(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
     """Words of the texts with their forms and roots."""
-    return groups(cut_lineage(words(docs, text, key)))
+    with shuffles_released(docs.sparkSession):
+        return groups(cut_lineage(words(docs, text, key)))
 
 
 def sql() -> str:
